@@ -86,17 +86,17 @@ forms AS (SELECT *, list_transform(v, lambda s: {sql_form('s')}) AS f,
 SELECT conv_id, turn,
   array_to_string(list_filter({sql_list(_KEYS)}, lambda k:
      len(list_filter(f, lambda s: contains(s, strip_accents(k)))) > 0)[1:8], '|') AS hits,
-  coalesce(list_filter(v, lambda s: contains({sql_form('s')}, 'die')
-     OR contains({sql_form('s')}, 'que'))[1], '') AS first_match,
-  coalesce(list_filter(v, lambda s: length(s) >= 30)[1], '') AS first_long,
+  rtrim(coalesce(list_filter(v, lambda s: contains({sql_form('s')}, 'die')
+     OR contains({sql_form('s')}, 'que'))[1], '')) AS first_match,
+  rtrim(coalesce(list_filter(v, lambda s: length(rtrim(s)) >= 30)[1], '')) AS first_long,
   (contains(whole, 'stat') OR contains(whole, 're'))::INT AS any_hit,
   len(list_filter(f, lambda s: s = '' OR {' OR '.join(
       f"contains(s, '{tx.match_key(k)}')" for k in fv.QUESTION_NOISE)}
       OR regexp_matches(s, '^\\d+\\s*/\\s*\\d+')))::BIGINT AS n_noise,
-  coalesce(list_filter(v, lambda s: {' OR '.join(
+  rtrim(coalesce(list_filter(v, lambda s: {' OR '.join(
       f"contains({sql_form('s')}, '{tx.match_key(k)}')" for k in fv.QUESTION_TIME)}
       OR regexp_matches(s, '\\b\\d{{1,2}}:\\d{{2}}\\b')
-      OR regexp_matches(s, '\\b\\d{{1,2}}[/-]\\d{{1,2}}([/-]\\d{{2,4}})?\\b'))[1], '') AS time_hint
+      OR regexp_matches(s, '\\b\\d{{1,2}}[/-]\\d{{1,2}}([/-]\\d{{2,4}})?\\b'))[1], '')) AS time_hint
 FROM forms
 """)
 def text_keywords(t: Tables):

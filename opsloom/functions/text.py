@@ -17,12 +17,12 @@ from opsloom import fixed_values as fv
 # Python's notion of white space: the Unicode property plus four separators.
 WS = r"[\s\x1c-\x1f]"
 _WS_RUN = f"(?U){WS}+"
-_WS_ENDS = f"(?U)^{WS}+|{WS}+$"
+_WS_CHARS = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(c, _WS_ENDS, "")
+    return F.trim(c, F.lit(_WS_CHARS))
 
 
 def clean(c: Column, max_chars: int | None = None) -> Column:

@@ -16,6 +16,7 @@ from opsloom import fixed_values as fv
 from opsloom.functions import text as tx
 from opsloom.operators.keyed import first_n
 from opsloom.operators.literals import lookup, text_array
+from opsloom.operators.settle import settle
 
 ANSWERS = "array<struct<step_id:string,selected:array<string>,free_text:string>>"
 
@@ -53,13 +54,14 @@ def normalise_answer(answer: Column) -> Column:
 
 def normalise_sessions(sessions: DataFrame) -> DataFrame:
     """Normalised answers in first-insertion order; the last value per step wins."""
-    cleaned = sessions.withColumn("answers", F.transform("answers", normalise_answer))
-    steps = F.array_distinct(F.transform("answers", lambda a: a["step_id"]))
+    cleaned = settle(sessions, {"answers": F.transform("answers", normalise_answer)})
+    steps = F.transform("answers", lambda a: a["step_id"])
     latest = F.transform(
-        steps,
+        F.array_distinct(steps),
         lambda s: F.element_at(F.filter("answers", lambda a: a["step_id"] == s), -1),
     )
-    return cleaned.withColumn("answers", latest)
+    repeated = F.size(F.array_distinct(steps)) < F.size("answers")
+    return settle(cleaned, {"answers": F.when(repeated, latest).otherwise(F.col("answers"))})
 
 
 def gate(sessions: DataFrame) -> DataFrame:
@@ -70,15 +72,14 @@ def gate(sessions: DataFrame) -> DataFrame:
         F.filter("answers", lambda a: (F.size(a["selected"]) == 0) & (a["free_text"] == "")),
         lambda a: a["step_id"],
     )
-    return (
-        sessions.withColumn("unknown_steps", F.array_except(given, steps))
-        .withColumn("empty_steps", F.array_intersect(steps, empty))
-        .withColumn("missing_steps", F.array_except(steps, given))
-        .withColumn(
-            "complete",
-            (F.size("unknown_steps") == 0) & (F.size("empty_steps") == 0)
-            & (F.size("missing_steps") == 0),
-        )
+    checked = settle(sessions, {
+        "unknown_steps": F.array_except(given, steps),
+        "empty_steps": F.array_intersect(steps, empty),
+        "missing_steps": F.array_except(steps, given),
+    })
+    return checked.withColumn(
+        "complete",
+        (F.size("unknown_steps") == 0) & (F.size("empty_steps") == 0) & (F.size("missing_steps") == 0),
     )
 
 
@@ -93,14 +94,38 @@ def session_text(answers: Column) -> Column:
     return F.array_join(F.transform(answers, line), "\n")
 
 
+_RULE_STEPS = (
+    "systems_involved", "frequency_volume", "rules_clarity", "human_dependency",
+    "access_security", "data_sensitivity", "economic_impact",
+)
+_TEXT_STEPS = ("process_to_automate", "business_pain")
+
+
+def spread(sessions: DataFrame) -> DataFrame:
+    """Chosen options and free texts of the steps the rules read, as columns."""
+
+    def answer(step: str) -> Column:
+        return F.get(F.filter("answers", lambda a: a["step_id"] == step), F.lit(0))
+
+    columns = {
+        f"options_{step}": F.coalesce(answer(step)["selected"], F.array().cast("array<string>"))
+        for step in _RULE_STEPS
+    }
+    columns |= {
+        f"text_{step}": F.coalesce(answer(step)["free_text"], F.lit("")) for step in _TEXT_STEPS
+    }
+    columns["all_text"] = F.lower(
+        F.array_join(F.transform("answers", lambda a: a["normalized_text"]), " ")
+    )
+    return settle(sessions, columns)
+
+
 def _selected(step: str) -> Column:
-    hit = F.get(F.filter("answers", lambda a: a["step_id"] == step), F.lit(0))
-    return F.coalesce(hit["selected"], F.array().cast("array<string>"))
+    return F.col(f"options_{step}")
 
 
 def _free_text(step: str) -> Column:
-    hit = F.get(F.filter("answers", lambda a: a["step_id"] == step), F.lit(0))
-    return F.coalesce(hit["free_text"], F.lit(""))
+    return F.col(f"text_{step}")
 
 
 def _has_any(options: Column, words: Sequence[str]) -> Column:
@@ -112,7 +137,7 @@ def _has_any(options: Column, words: Sequence[str]) -> Column:
 
 def interpret_mock(context_size: Column) -> dict[str, Column]:
     """Deterministic reading of the answers: systems, clarity hint, knowledge need."""
-    text = session_text(F.col("answers"))
+    text = F.col("query_text")
     return {
         "provider": F.lit("mock"),
         "summary": F.lit(fv.INTERPRETER_SUMMARIES["mock"]),
@@ -161,7 +186,8 @@ def interpret(sessions: DataFrame, provider: str, context_size: str = "context_s
     name = provider.strip().lower()
     if name not in INTERPRETERS:
         raise ValueError(f"unsupported interpreter: {provider}")
-    return sessions.withColumns(INTERPRETERS[name](F.col(context_size)))
+    asked = settle(sessions, {"query_text": session_text(F.col("answers"))})
+    return settle(asked, INTERPRETERS[name](F.col(context_size)))
 
 
 # Score ---------------------------------------------------------------------
@@ -188,6 +214,7 @@ def _group_columns(step: str, mode: str, rules: Sequence[tuple]) -> tuple[Column
 
 def score(sessions: DataFrame) -> DataFrame:
     """Eight components, total clamped to 0..100, rule hits, sorted risk flags."""
+    sessions = spread(sessions)
     parts: dict[str, Column] = {}
     hits: dict[str, Column] = {}
     flags: list[tuple[Column, str]] = []
@@ -204,10 +231,9 @@ def score(sessions: DataFrame) -> DataFrame:
     hits["digital_systems_present"] = digital > 0
     flags += [(_has_any(systems, words), flag) for words, flag in fv.SYSTEM_FLAGS]
 
-    all_text = F.lower(F.array_join(F.transform("answers", lambda a: a["normalized_text"]), " "))
     pain = F.lit(False)
     for term in fv.PAIN_TERMS:
-        pain = pain | all_text.contains(term)
+        pain = pain | F.col("all_text").contains(term)
     parts["impact"] = parts["impact"] + F.when(pain, 6).otherwise(0)
     hits["manual_repetitive_pain"] = pain
 
@@ -222,7 +248,7 @@ def score(sessions: DataFrame) -> DataFrame:
     for name in fv.SCORE_COMPONENTS:
         total = total + F.col(f"score_{name}")
     rule_flags = F.array_compact(F.array(*[F.when(test, F.lit(flag)) for test, flag in flags]))
-    return sessions.withColumns(named).withColumns({
+    return settle(settle(sessions, named), {
         "score_total": F.greatest(F.lit(0), F.least(F.lit(100), total)),
         "rule_hits": F.array_compact(
             F.array(*[F.when(hits[h], F.lit(h)) for h in fv.RULE_HIT_ORDER])
@@ -287,7 +313,7 @@ def classify(scored: DataFrame, packages: dict[str, str] | None = None) -> DataF
         for words, kind, needed in fv.SYSTEM_CREDENTIALS
     ]))
     return (
-        scored.withColumn("_d", decided)
+        settle(scored, {"_d": decided})
         .select("*", "_d.*").drop("_d")
         .withColumns({
             "blocked_actions": text_array(fv.BLOCKED_ACTIONS),
@@ -358,9 +384,9 @@ def knowledge_context(sessions: DataFrame, chunks: DataFrame, k: int = fv.KEYWOR
     its own scope. Distinct session tokens are counted per session before they
     meet the passages' terms.
     """
-    asked = sessions.select(
-        "session_id", F.col("knowledge_scope_id").alias("scope_id"),
-        tx.tokens(session_text(F.col("answers"))).alias("_t"),
+    asked = settle(
+        sessions.select("session_id", F.col("knowledge_scope_id").alias("scope_id"), "answers"),
+        {"_t": tx.tokens(session_text(F.col("answers")))},
     )
     wanted = (
         asked.select("session_id", "scope_id", F.size("_t").alias("n_tokens"),

@@ -55,9 +55,12 @@ def keyword_top_k(chunks: DataFrame, query: str, text: Sequence[str], tie: Seque
         raise ValueError("k must not be negative")
     k = k or fv.KEYWORD_TOP_K
     body = F.concat_ws(" ", *[F.col(c) for c in text])
-    scored = chunks.withColumn("_s", keyword_score(body, query)).where("_s > 0")
+    scored = chunks.withColumn("_s", keyword_score(body, query))
     order = [F.col("_s").desc(), *[F.col(c).asc() for c in tie]]
-    return top_k(scored, order, k).withColumn("score", F.bround("_s", 4)).drop("_s")
+    # Zero scores sort last, so they are dropped after the cut: a filter before
+    # it would be pushed into the scan and score every row twice.
+    best = top_k(scored, order, k).where("_s > 0")
+    return best.withColumn("score", F.bround("_s", 4)).drop("_s")
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -74,11 +77,11 @@ def keyword_top_k_batch(chunks: DataFrame, queries: DataFrame, chunk_id: str, te
                         k: int = fv.KEYWORD_TOP_K) -> DataFrame:
     """Best chunks for every query of a table, ties by chunk id.
 
-    Chunk tokens move once, hashed by chunk, so counting terms and adding up
-    scores share that placement. Tokens no query asks for are dropped before
-    the move. Each task then keeps k chunks per query (window group limit), so
-    the last shuffle carries k rows per query and task. The query terms are
-    broadcast only if Catalyst measures them small.
+    Tokens no query asks for are dropped first. The rest move once, hashed by
+    chunk; counting terms and adding up scores both run inside that placement,
+    so (query, chunk) pairs are never shuffled. Each task then keeps k chunks
+    per query (window group limit) and the last shuffle carries only those.
+    The query terms are broadcast only if Catalyst measures them small.
     """
     terms = query_terms(queries)
     vocabulary = terms.select("token").distinct()
@@ -86,6 +89,7 @@ def keyword_top_k_batch(chunks: DataFrame, queries: DataFrame, chunk_id: str, te
                                 F.explode(tx.tokens(F.col(text))).alias("token"))
     counted = (
         occurrences.join(vocabulary, "token", "left_semi")
+        .repartition("chunk_id")
         .groupBy("chunk_id", "token")
         .agg(F.count(F.lit(1)).alias("tf"))
     )

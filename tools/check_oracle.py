@@ -28,24 +28,26 @@ def _norm(v):
 
 
 def compare(df, sql, folder):
+    cols = sorted(df.columns)
+    t0 = time.time()
+    got = [tuple(_norm(r[c]) for c in cols) for r in df.collect()]
+    spent = time.time() - t0
     con = duckdb.connect()
     for name in TABLES:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet')")
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     want = cur.fetchall()
-    cols = sorted(df.columns)
     if cols != sorted(names):
-        return f"columns differ: {cols} vs {sorted(names)}", 0
-    got = [tuple(_norm(r[c]) for c in cols) for r in df.collect()]
+        return f"columns differ: {cols} vs {sorted(names)}", 0, spent
     at = [names.index(c) for c in cols]
     want = [tuple(_norm(r[i]) for i in at) for r in want]
     a, b = Counter(map(repr, got)), Counter(map(repr, want))
     if a == b:
-        return None, len(got)
+        return None, len(got), spent
     left, right = list((a - b).elements()), list((b - a).elements())
     return (f"rows {len(got)} vs {len(want)}; {len(left)} differ; cols {cols}\n   spark {sorted(left)[:3]}\n"
-            f"   duck  {sorted(right)[:3]}")[:1800], len(got)
+            f"   duck  {sorted(right)[:3]}")[:1800], len(got), spent
 
 
 def main():
@@ -74,13 +76,14 @@ def main():
         try:
             df = q.run(registry.Tables(spark, args.sf))
             if q.sql:
-                err, n = compare(df, q.sql, args.sf)
+                err, n, spent = compare(df, q.sql, args.sf)
             else:
                 n, err = len(df.collect()), None
+                spent = time.time() - t0
         except Exception as exc:  # noqa: BLE001
-            err, n = f"{type(exc).__name__}: {str(exc)[:1500]}", -1
+            err, n, spent = f"{type(exc).__name__}: {str(exc)[:1500]}", -1, 0
         bad += bool(err)
-        print(f"{'FAIL' if err else 'ok  '} {name:28s} {n:7d} rows {time.time() - t0:6.2f}s"
+        print(f"{'FAIL' if err else 'ok  '} {name:28s} {n:7d} rows {spent:6.2f}s of {time.time() - t0:6.2f}s"
               f"{'' if q.sql else ' (rows only)'}{chr(10) + '   ' + err if err else ''}", flush=True)
     print("failures:", bad)
     sys.exit(bool(bad))
