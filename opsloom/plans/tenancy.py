@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opsloom.operators.keyed import first_n
+from opsloom.operators.settle import settle
 
 
 def visible(rows: DataFrame, access: DataFrame, key: str = "workspace_id") -> DataFrame:
@@ -97,13 +98,13 @@ def effective_permissions(user_roles: DataFrame, role_permissions: DataFrame,
     return by_role.unionByName(by_profile).distinct()
 
 
-def actionable_tasks(tasks: DataFrame, permissions: DataFrame) -> DataFrame:
-    """(user, task) where approval is pending and the user holds the permission.
+def actionable_tasks(tasks: DataFrame, permissions: DataFrame, user_id: object) -> DataFrame:
+    """Pending tasks one user may act on.
 
     Global grants join on the permission alone, scoped ones also on workspace.
     """
     pending = tasks.where("approval_status = 'pending'")
-    grants = permissions.withColumnRenamed("permission", "required_permission")
+    grants = permissions.where(F.col("user_id") == user_id).withColumnRenamed("permission", "required_permission")
     everywhere = pending.join(grants.where("workspace_id IS NULL").drop("workspace_id"), "required_permission")
     scoped = pending.join(grants.where("workspace_id IS NOT NULL"), ["workspace_id", "required_permission"])
     pair = ["user_id", "task_id"]
@@ -156,22 +157,29 @@ def limit_state(entitled: DataFrame, usage: DataFrame) -> DataFrame:
 def route(messages: DataFrame, rules: DataFrame, at: str) -> DataFrame:
     """First routing rule per message: same channel, rule in force, type matches.
 
-    Rules meet messages on the channel; the message keeps the smallest
-    (priority, rule) as an aggregate that combines before the shuffle.
+    The rules of a channel travel as one list sorted by (priority, rule), so a
+    message meets one lookup row and picks its rule in place: messages are
+    not ranked and, while the rules are small enough to broadcast, not moved.
     """
-    matched = (
-        messages.join(rules.withColumnRenamed("channel_id", "_channel"),
-                      F.col("channel_id") == F.col("_channel"), "left")
-        .withColumn("_fits", F.col("rule_id").isNotNull()
-                    & in_force(F.col("active_from"), F.col("active_to"), F.col(at))
-                    & ((F.col("match_type") == "any")
-                       | ((F.col("match_type") == "sender") & (F.col("match_value") == F.col("sender")))
-                       | ((F.col("match_type") == "keyword") & F.col("body").contains(F.col("match_value")))))
-    )
-    best = F.min(F.when(F.col("_fits"), F.struct("priority", "rule_id", "target")))
-    return matched.groupBy("message_id", "channel_id").agg(best.alias("_b")).select(
-        "message_id", "channel_id", F.col("_b.rule_id").alias("rule_id"), F.col("_b.target").alias("target"),
-        F.when(F.col("_b").isNull(), "missed").otherwise("matched").alias("routing"),
+    listed = rules.groupBy(F.col("channel_id").alias("_channel")).agg(
+        F.array_sort(F.collect_list(F.struct(
+            "priority", "rule_id", "target", "match_type", "match_value", "active_from", "active_to"
+        ))).alias("_rules"))
+
+    def fits(rule: Column) -> Column:
+        kind, value = rule["match_type"], rule["match_value"]
+        return in_force(rule["active_from"], rule["active_to"], F.col(at)) & (
+            (kind == "any")
+            | ((kind == "sender") & (value == F.col("sender")))
+            | ((kind == "keyword") & F.col("body").contains(value))
+        )
+
+    joined = messages.join(listed, F.col("channel_id") == F.col("_channel"), "left")
+    picked = settle(joined, {"_best": F.get(F.filter("_rules", fits), F.lit(0))})
+    return picked.select(
+        "message_id", "channel_id", F.col("_best.rule_id").alias("rule_id"),
+        F.col("_best.target").alias("target"),
+        F.when(F.col("_best").isNull(), "missed").otherwise("matched").alias("routing"),
     )
 
 
