@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +11,6 @@ from pyspark.sql import functions as F
 from opsloom.operators import keyed, segmented
 from opsloom.operators.ranges import as_of, elementary_ranges
 
-MILLION = 1_000_000
-
 
 def priced_usage(usage: DataFrame, prices: DataFrame, bucket_days: int | None = None) -> DataFrame:
     """Usage with the price in force at its time: the latest start wins.
@@ -27,11 +26,18 @@ def priced_usage(usage: DataFrame, prices: DataFrame, bucket_days: int | None =
 
 
 def usage_cost() -> Column:
-    """Exact cost of one call as a decimal."""
-    dec = "decimal(20,6)"
-    part = lambda n, p: F.col(n).cast("decimal(18,0)") * F.col(p).cast(dec) / F.lit(MILLION)
+    """Exact cost of one call as a decimal.
+
+    Multiplying by a millionth keeps all twelve decimals; a decimal division
+    would be cut to six.
+    """
+
+    def part(tokens: str, price: str) -> Column:
+        exact = F.col(tokens).cast("decimal(15,0)") * F.col(price).cast("decimal(12,6)")
+        return exact * F.lit(Decimal("0.000001"))
+
     return (part("input_tokens", "input_price") + part("output_tokens", "output_price")).cast(
-        "decimal(24,10)")
+        "decimal(28,12)")
 
 
 def cost_by(usage: DataFrame, keys: Sequence[str]) -> DataFrame:
