@@ -87,7 +87,7 @@ SELECT month, advisor, revenue::DOUBLE AS revenue, rank() OVER (PARTITION BY mon
 """)
 def kpi_rank(t: Tables):
     totals = t.derive(SALES).groupBy("month", "advisor").agg(F.sum("price").alias("revenue"))
-    return kpi.ranking(totals, "month", "revenue").select(
+    return kpi.ranking(totals, "month", "revenue", target_rows=40).select(
         "month", "advisor", F.col("revenue").cast("double").alias("revenue"),
         F.col("rank_most").cast("long").alias("rank_most"), F.col("rank_least").cast("long").alias("rank_least"))
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opsloom import fixed_values as fv
 from opsloom.operators import segmented
+from opsloom.operators.ranking import competition_ranks
 
 
 def ratio(a: str, b: str) -> Column:
@@ -72,14 +72,9 @@ def with_totals(rows: DataFrame, period: str, member: str, sums: Sequence[str])
         F.when(F.col(period).isNull(), "all").when(F.col(member).isNull(), "team").otherwise("member"))
 
 
-def ranking(totals: DataFrame, period: str, measure: str) -> DataFrame:
-    """Spreadsheet-style ranks per period, best and worst first.
-
-    Runs over totals that hold one row per member and period, not over facts.
-    """
-    spec = W.partitionBy(period)
-    return totals.withColumn("rank_most", F.rank().over(spec.orderBy(F.col(measure).desc()))).withColumn(
-        "rank_least", F.rank().over(spec.orderBy(F.col(measure).asc())))
+def ranking(totals: DataFrame, period: str, measure: str, target_rows: int = 1_000_000) -> DataFrame:
+    """Spreadsheet-style ranks per period, best and worst first."""
+    return competition_ranks(totals, period, measure, "rank_most", "rank_least", target_rows)
 
 
 def target_difference(results: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
