@@ -252,14 +252,18 @@ def dq_counts(t: Tables):
 
 
 @query("dq_schema", """
-SELECT 'columns_present' AS check_id, table_name, 'failed' AS severity, n::BIGINT AS violations, CASE WHEN n = 0 THEN 'passed' ELSE 'failed' END AS status
+SELECT 'columns_present' AS check_id, table_name, 'failed' AS severity, n::BIGINT AS violations, CASE WHEN n = 0 THEN 'passed' ELSE 'failed' END AS status,
+ CASE table_name WHEN 'orders' THEN (SELECT count(*) FROM orders) ELSE (SELECT count(*) FROM documents) END::BIGINT AS n_rows
 FROM (SELECT 'orders' AS table_name, 3 - count(*) AS n FROM information_schema.columns WHERE table_name = 'orders' AND column_name IN ('o_orderkey', 'o_custkey', 'o_status')
 UNION ALL SELECT 'documents', 2 - count(*) FROM information_schema.columns WHERE table_name = 'documents' AND column_name IN ('doc_id', 'text'))
 """)
 def dq_schema(t: Tables):
     rules = (ql.TableRules("orders", columns=("o_orderkey", "o_custkey", "o_status")),
              ql.TableRules("documents", columns=("doc_id", "text")))
-    return ql.evaluate(_tables(t), rules)
+    sizes = ql.union_all([
+        df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
+        for name, df in (("orders", t.orders), ("documents", t.documents))])
+    return ql.evaluate(_tables(t), rules).join(sizes, "table_name")
 
 
 @query("dq_seed", """

@@ -39,9 +39,12 @@ def markdown_corpus(spark: SparkSession, folder: str, scope_id: str) -> DataFram
     files = spark.read.text(f"{folder}/*.md", wholetext=True).select(
         F.col("_metadata.file_path").alias("source_path"), F.col("value").alias("content"))
     stem = F.regexp_replace(F.element_at(F.split("source_path", "/"), -1), r"\.md$", "")
+    words = F.replace(F.url_decode(stem), F.lit("_"), F.lit(" "))
+    # Title case starts anew after every non-letter, digits included.
+    runs = F.regexp_extract_all(words, F.lit(r"(\p{L}+|\P{L}+)"))
     return files.select(
         F.sha2("source_path", 256).alias("document_id"), F.lit(scope_id).alias("scope_id"),
-        F.initcap(F.replace(F.url_decode(stem), F.lit("_"), F.lit(" "))).alias("title"),
+        F.array_join(F.transform(runs, F.initcap), "").alias("title"),
         "source_path", "content")
 
 
