@@ -46,7 +46,7 @@ _STEPS = (
 
 
 def sessions(t: Tables) -> DataFrame:
-    wide = t.derive(WIDE)
+    wide = t.derive(WIDE.replace("{orders}", "{wide_orders}"), wide_orders=t.spread("orders"))
     answers = [
         F.struct(
             F.lit(step).alias("step_id"),
@@ -165,11 +165,10 @@ UNION ALL SELECT session_id, 'frequency_volume', array_to_string(fr, '|'), '', a
 UNION ALL SELECT session_id, 'process_to_automate', '', process, process FROM n
 """)
 def answers_normalise(t: Tables):
-    rows = dx.normalise_sessions(sessions(t)).select("session_id", F.explode("answers").alias("a"))
+    rows = dx.answer_rows(dx.normalise_sessions(sessions(t)))
     wanted = ("systems_involved", "frequency_volume", "process_to_automate")
-    return rows.where(F.col("a.step_id").isin(*wanted)).select(
-        "session_id", "a.step_id", F.array_join("a.selected", "|").alias("selected"), "a.free_text",
-        "a.normalized_text")
+    return rows.where(F.col("step_id").isin(*wanted)).select(
+        "session_id", "step_id", F.array_join("selected", "|").alias("selected"), "free_text", "normalized_text")
 
 
 @query("session_gate", f"WITH {_BASE}" + """
@@ -187,7 +186,7 @@ def session_gate(t: Tables):
 @query("session_text", f"WITH {_BASE} SELECT session_id, qtext AS query_text FROM done")
 def session_text(t: Tables):
     rows = dx.gate(dx.normalise_sessions(sessions(t))).where("complete")
-    return rows.select("session_id", dx.session_text(F.col("answers")).alias("query_text"))
+    return rows.select("session_id", dx.session_text().alias("query_text"))
 
 
 @query("session_context", f"WITH {_BASE}" + """

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsloom.session import load_tables
+from opsloom.operators.settle import spread_small
+from opsloom.session import TABLES, load_tables
 
 
 class Tables:
@@ -22,12 +23,14 @@ class Tables:
             raise AttributeError(name)
         return self._tables[name]
 
-    def derive(self, sql: str) -> DataFrame:
-        """Run portable SQL text over the tables named in braces."""
-        from opsloom.session import TABLES
-
+    def derive(self, sql: str, **frames: DataFrame) -> DataFrame:
+        """Run portable SQL text over the tables or frames named in braces."""
         used = {name: self._tables[name] for name in TABLES if "{" + name + "}" in sql}
-        return self.spark.sql(sql, **used)
+        return self.spark.sql(sql, **used, **frames)
+
+    def spread(self, name: str) -> DataFrame:
+        """A table for heavy row work: on every core even when its file is small."""
+        return spread_small(self._tables[name])
 
 
 @dataclass(frozen=True)

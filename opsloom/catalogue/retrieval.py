@@ -27,14 +27,14 @@ SELECT doc_id, round_even(s, 4)::DOUBLE AS score, row_number() OVER (ORDER BY s
 FROM s ORDER BY s DESC, doc_id LIMIT 5
 """)
 def keyword_topk(t: Tables):
-    docs = t.documents.select("doc_id", "source", "text")
+    docs = t.spread("documents").select("doc_id", "source", "text")
     best = rt.keyword_top_k(docs, QUERY, ["source", "text"], ["doc_id"])
     return best.select("doc_id", "score", F.col("rank_position").cast("long").alias("rank_position"))
 
 
 def _batch(t: Tables, k: int = 5):
     queries = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    return rt.keyword_top_k_batch(t.documents, queries, "doc_id", "text", k)
+    return rt.keyword_top_k_batch(t.spread("documents"), queries, "doc_id", "text", k)
 
 
 _BATCH_SQL = f"""
@@ -60,7 +60,7 @@ SELECT doc_id, lang FROM documents
 WHERE len(list_intersect({sql_tokens('text')}, {sql_list(_AND)})) = {len(_AND)}
 """)
 def lexical_and_match(t: Tables):
-    return t.documents.where(rt.matches_all(F.col("text"), AND_QUERY)).select("doc_id", "lang")
+    return t.spread("documents").where(rt.matches_all(F.col("text"), AND_QUERY)).select("doc_id", "lang")
 
 
 # A cover runs from one query word to another, holds every word, and neither end
@@ -86,7 +86,7 @@ SELECT doc_id, round(s, 4) AS lexical_score, row_number() OVER (ORDER BY s::FLOA
 FROM sc ORDER BY s::FLOAT DESC, doc_id DESC LIMIT 8
 """)
 def lexical_cover_topk(t: Tables):
-    best = rt.lexical_top_k(t.documents.select("doc_id", "text"), AND_QUERY, "text", "doc_id")
+    best = rt.lexical_top_k(t.spread("documents").select("doc_id", "text"), AND_QUERY, "text", "doc_id")
     return best.select(
         "doc_id", F.round(F.col("lexical_score").cast("double"), 4).alias("lexical_score"),
         F.col("rank_position").cast("long").alias("rank_position"),
@@ -135,7 +135,7 @@ SELECT id, round(score, 6) AS score_final, row_number() OVER (ORDER BY score DES
 FROM z ORDER BY score DESC, id LIMIT 20
 """)
 def hybrid_rrf(t: Tables):
-    lexical = rt.keyword_top_k(t.documents.select(F.col("doc_id").alias("id"), "text"), QUERY, ["text"], ["id"], 50)
+    lexical = rt.keyword_top_k(t.spread("documents").select(F.col("doc_id").alias("id"), "text"), QUERY, ["text"], ["id"], 50)
     semantic = _label_search(t, 50).where("query_id = 0").withColumnRenamed("rank_position", "vector_rank")
     fused = topk.reciprocal_rank_fusion(
         lexical.withColumnRenamed("rank_position", "keyword_rank"), semantic, ["id"],
@@ -165,7 +165,7 @@ SELECT doc_id, chunk_index::BIGINT AS chunk_index, length(chunk_text)::BIGINT AS
   greatest(1, length(chunk_text) // 4)::BIGINT AS token_estimate, 'semantic' AS chunk_kind FROM chunks
 """)
 def chunk_overlap(t: Tables):
-    cut = t.documents.select(
+    cut = t.spread("documents").select(
         "doc_id", F.posexplode(ch.line_chunks(F.col("text"))).alias("chunk_index", "chunk_text"))
     c = F.col("chunk_text")
     return cut.select(
@@ -181,7 +181,7 @@ def chunk_markdown(t: Tables):
     headed = F.array_join(
         F.transform(lines, lambda s, i: F.when(i % 3 == 0, F.concat(F.lit("## "), s))
                     .otherwise(F.concat(s, F.lit("\n")))), "\n")
-    cut = t.documents.select(
+    cut = t.spread("documents").select(
         "doc_id", F.posexplode(ch.knowledge_chunks(headed)).alias("ordinal", "c"))
     return cut.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "c.title", "c.content")
 

@@ -10,6 +10,7 @@ from opsloom.catalogue.registry import Tables, query
 from opsloom.functions import jsonx
 from opsloom.functions import text as tx
 from opsloom.operators.literals import fixed_table
+from opsloom.operators.settle import settle
 
 
 def sql_list(words) -> str:
@@ -61,7 +62,7 @@ FROM documents
 """)
 def text_normalise(t: Tables):
     body = F.col("text")
-    return t.documents.select(
+    return t.spread("documents").select(
         "doc_id",
         tx.clean(body).alias("cleaned"),
         tx.match_form(body).alias("match_form"),
@@ -101,7 +102,7 @@ FROM forms
 """)
 def text_keywords(t: Tables):
     lines = tx.visible_lines(F.col("text"))
-    return t.conversations.withColumn("v", lines).select(
+    return settle(t.spread("conversations"), {"v": lines}).select(
         "conv_id", "turn",
         F.array_join(tx.keyword_hits(F.col("v"), _KEYS), "|").alias("hits"),
         tx.first_text_match(F.col("v"), ("die", "que")).alias("first_match"),

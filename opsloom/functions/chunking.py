@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opsloom import fixed_values as fv
 from opsloom.functions import text as tx
+from opsloom.functions.binding import bind
 
 # A heading mark, white space (which may run onto the next line) and a title.
 _HEADING = r"^#{1,4}(?U:\s+)[^\n]+$"
@@ -71,20 +72,21 @@ def markdown_sections(text: Column) -> Column:
     """
     body = F.coalesce(text, F.lit(""))
     marked = F.regexp_replace(body, f"(?dm)({_HEADING})", f"{_MARK}$1{_MARK}")
-    parts = F.split(marked, _MARK)
-    # Odd items are heading lines, each followed by its content.
-    pairs = F.transform(
-        F.filter(F.transform(parts, lambda p, i: F.struct(p.alias("p"), i.alias("i"))),
-                 lambda s: s["i"] % 2 == 1),
-        lambda s: F.struct(
+
+    def sections(parts: Column) -> Column:
+        # Odd items are heading lines, each followed by its content.
+        heads = F.filter(
+            F.transform(parts, lambda p, i: F.struct(p.alias("p"), i.alias("i"))),
+            lambda s: s["i"] % 2 == 1)
+        pairs = F.transform(heads, lambda s: F.struct(
             tx.strip(F.regexp_replace(s["p"], r"^#{1,4}(?U:\s+)", "")).alias("title"),
-            tx.strip(F.get(parts, s["i"] + 1)).alias("content"),
-        ),
-    )
-    kept = F.filter(pairs, lambda s: s["content"] != "")
+            tx.strip(F.get(parts, s["i"] + 1)).alias("content")))
+        return F.filter(pairs, lambda s: s["content"] != "")
+
     whole = F.array(F.struct(F.lit(fv.DEFAULT_SECTION_TITLE).alias("title"),
                              tx.strip(body).alias("content")))
-    return F.when(F.size(kept) > 0, kept).otherwise(whole)
+    return bind(bind(F.split(marked, _MARK), sections),
+                lambda kept: F.when(F.size(kept) > 0, kept).otherwise(whole))
 
 
 def knowledge_chunks(text: Column, max_chars: int = fv.KNOWLEDGE_MAX_CHARS) -> Column:

@@ -27,31 +27,34 @@ def unescape(c: Column) -> Column:
     return c
 
 
-def text_lines(html: Column) -> Column:
+# The functions below read the result of ``body``: settle it once, then use it.
+
+
+def text_lines(markup: Column) -> Column:
     """Visible text lines: every tag ends a line, blank lines are dropped."""
-    raw = F.split(F.regexp_replace(body(html), r"(?s)<[^>]*>", "\n"), "\n")
+    raw = F.split(F.regexp_replace(markup, r"(?s)<[^>]*>", "\n"), "\n")
     lines = F.transform(raw, lambda s: tx.clean(unescape(s)))
     return F.filter(lines, lambda s: s != "")
 
 
-def text_chunks(html: Column, limit: int = 20, max_len: int = 120) -> Column:
+def text_chunks(markup: Column, limit: int = 20, max_len: int = 120) -> Column:
     """First distinct text lines, each cut to ``max_len``."""
-    cut = F.transform(text_lines(html), lambda s: F.substring(s, 1, max_len))
+    cut = F.transform(text_lines(markup), lambda s: F.substring(s, 1, max_len))
     return F.slice(F.array_distinct(cut), 1, limit)
 
 
-def count_tags(html: Column, tag: str) -> Column:
-    return F.regexp_count(body(html), F.lit(rf"(?i)<{tag}\b"))
+def count_tags(markup: Column, tag: str) -> Column:
+    return F.regexp_count(markup, F.lit(rf"(?i)<{tag}\b"))
 
 
 def _attribute(markup: Column, name: str) -> Column:
     return F.regexp_extract(markup, rf'(?is)^<[^>]*\s{name}\s*=\s*"([^"]*)"', 1)
 
 
-def elements(html: Column, tag: str, limit: int | None = None) -> Column:
+def elements(markup: Column, tag: str, limit: int | None = None) -> Column:
     """Links or buttons: (text, href, aria_label, title), blanks dropped,
     distinct over the four fields in page order."""
-    found = F.regexp_extract_all(body(html), F.lit(rf"(?is)(<{tag}\b[^>]*>.*?</{tag}>)"))
+    found = F.regexp_extract_all(markup, F.lit(rf"(?is)(<{tag}\b[^>]*>.*?</{tag}>)"))
     rows = F.transform(
         found,
         lambda m: F.struct(
@@ -67,7 +70,7 @@ def elements(html: Column, tag: str, limit: int | None = None) -> Column:
     return kept if limit is None else F.slice(kept, 1, limit)
 
 
-def has_layer(html: Column, words: tuple[str, ...]) -> Column:
+def has_layer(markup: Column, words: tuple[str, ...]) -> Column:
     """An element whose class, role or test id names a banner or dialog."""
     names = "|".join(words)
-    return body(html).rlike(rf'(?i)\s(?:class|role|data-testid)\s*=\s*"[^"]*(?:{names})[^"]*"')
+    return markup.rlike(rf'(?i)\s(?:class|role|data-testid)\s*=\s*"[^"]*(?:{names})[^"]*"')

@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from opsloom import fixed_values as fv
+from opsloom.functions.binding import bind
 
 # Python's notion of white space: the Unicode property plus four separators.
 WS = r"[\s\x1c-\x1f]"
@@ -41,8 +42,7 @@ def at_least_one(c: Column) -> Column:
 
 def labelled_line(label: str, c: Column) -> Column:
     """``label: value``, or NULL when the cleaned value is blank."""
-    text = clean(c)
-    return F.when(text != "", F.concat(F.lit(f"{label}: "), text))
+    return F.concat(F.lit(f"{label}: "), F.nullif(clean(c), F.lit("")))
 
 
 def content_hash(c: Column) -> Column:
@@ -54,10 +54,9 @@ def token_estimate(c: Column) -> Column:
 
 
 def preview(c: Column, limit: int = 160) -> Column:
-    text = strip(c)
-    return F.when(
+    return bind(strip(c), lambda text: F.when(
         F.length(text) > limit, F.concat(F.substring(text, 1, limit - 3), F.lit("..."))
-    ).otherwise(text)
+    ).otherwise(text))
 
 
 def _fold_tables() -> tuple[str, str]:
@@ -97,17 +96,18 @@ def match_key(word: str) -> str:
     return " ".join(bare.lower().split())
 
 
-def contains_any(haystack: Column, keywords: Sequence[str]) -> Column:
-    """Whether text already in match form holds any keyword."""
+def any_of(keywords: Sequence[str]) -> str:
+    """Pattern that finds any keyword in text already in match form."""
     keys = sorted({match_key(k) for k in keywords} - {""})
-    return _any([haystack.contains(k) for k in keys])
+    return "|".join(re.escape(k) for k in keys)
+
 
+def contains_any(haystack: Column, keywords: Sequence[str]) -> Column:
+    """Whether text already in match form holds any keyword.
 
-def _any(tests: list[Column]) -> Column:
-    out = F.lit(False)
-    for test in tests:
-        out = out | test
-    return out
+    One pattern, so the haystack is evaluated once even inside a lambda.
+    """
+    return haystack.rlike(any_of(keywords))
 
 
 def item_matches(fields: Sequence[Column], keywords: Sequence[str]) -> Column:
@@ -117,13 +117,15 @@ def item_matches(fields: Sequence[Column], keywords: Sequence[str]) -> Column:
 
 def keyword_hits(values: Column, keywords: Sequence[str], limit: int = 8) -> Column:
     """Keywords, in declared order, found in any of the values; first ``limit``."""
-    forms = F.transform(values, match_form)
+    words = list(dict.fromkeys(keywords))
+
+    def search(forms: Column) -> Column:
+        def among(key: str) -> Column:
+            return F.exists(forms, lambda v: v.contains(key))
 
-    def among(key: str) -> Column:
-        return F.exists(forms, lambda v: v.contains(key))
+        return F.array(*[F.when(among(match_key(word)), F.lit(word)) for word in words])
 
-    found = [F.when(among(match_key(word)), F.lit(word)) for word in dict.fromkeys(keywords)]
-    return F.slice(F.array_compact(F.array(*found)), 1, limit)
+    return F.slice(F.array_compact(bind(F.transform(values, match_form), search)), 1, limit)
 
 
 def first_text_match(values: Column, keywords: Sequence[str]) -> Column:
@@ -144,8 +146,8 @@ _DATE = r"(?U)\b\d{1,2}[/-]\d{1,2}(?:[/-]\d{2,4})?\b"
 
 
 def looks_like_time(c: Column) -> Column:
-    text = clean(c, 200)
-    return contains_any(match_form(text), fv.QUESTION_TIME) | text.rlike(_CLOCK) | text.rlike(_DATE)
+    return bind(clean(c, 200), lambda text: contains_any(match_form(text), fv.QUESTION_TIME)
+                | text.rlike(f"{_CLOCK}|{_DATE}"))
 
 
 def first_time_hint(values: Column) -> Column:
@@ -154,10 +156,7 @@ def first_time_hint(values: Column) -> Column:
 
 
 def is_noise_line(c: Column) -> Column:
-    form = match_form(c)
-    return (form == "") | contains_any(form, fv.QUESTION_NOISE) | form.rlike(
-        r"(?U)^\d+\s*/\s*\d+"
-    )
+    return match_form(c).rlike(r"(?U)^$|^\d+\s*/\s*\d+|" + any_of(fv.QUESTION_NOISE))
 
 
 # Line ends that Python's splitlines knows.
@@ -201,7 +200,7 @@ def kpi_source(kpi: Column, area: Column) -> Column:
     text = F.lower(F.concat_ws(" ", F.coalesce(area, F.lit("")), F.coalesce(kpi, F.lit(""))))
     out = None
     for words, source in fv.KPI_SOURCE_RULES:
-        test = _any([text.contains(w) for w in words])
+        test = text.rlike("|".join(re.escape(w) for w in words))
         out = F.when(test, source) if out is None else out.when(test, source)
     return out.otherwise(fv.KPI_SOURCE_DEFAULT)
 

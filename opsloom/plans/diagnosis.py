@@ -18,64 +18,44 @@ from opsloom.operators.keyed import first_n
 from opsloom.operators.literals import lookup, text_array
 from opsloom.operators.settle import settle
 
-ANSWERS = "array<struct<step_id:string,selected:array<string>,free_text:string>>"
-
-
-def _options(step: Column) -> Column:
-    return lookup_array(step, fv.STEP_OPTIONS)
-
-
-def lookup_array(key: Column, mapping: dict[str, Sequence[str]]) -> Column:
-    out = None
-    for name, words in mapping.items():
-        value = text_array(words) if words else F.array().cast("array<string>")
-        out = F.when(key == name, value) if out is None else out.when(key == name, value)
-    return out
-
-
-def normalise_answer(answer: Column) -> Column:
-    """Trim options, keep the allowed ones, clean free text, join both."""
-    allowed = _options(answer["step_id"])
-    trimmed = F.filter(
-        F.transform(F.coalesce(answer["selected"], F.array().cast("array<string>")), tx.strip),
-        lambda s: s != "",
-    )
-    chosen = F.when(
-        F.size(allowed) > 0, F.filter(trimmed, lambda s: F.array_contains(allowed, s))
-    ).otherwise(trimmed)
-    free = tx.clean(answer["free_text"])
-    return F.struct(
-        answer["step_id"].alias("step_id"),
-        chosen.alias("selected"),
-        free.alias("free_text"),
-        tx.clean(F.concat_ws(" ", F.array_join(chosen, " "), free)).alias("normalized_text"),
-    )
+STEPS = tuple(fv.STEP_OPTIONS)
 
 
 def normalise_sessions(sessions: DataFrame) -> DataFrame:
-    """Normalised answers in first-insertion order; the last value per step wins."""
-    cleaned = settle(sessions, {"answers": F.transform("answers", normalise_answer)})
-    steps = F.transform("answers", lambda a: a["step_id"])
-    latest = F.transform(
-        F.array_distinct(steps),
-        lambda s: F.element_at(F.filter("answers", lambda a: a["step_id"] == s), -1),
-    )
-    repeated = F.size(F.array_distinct(steps)) < F.size("answers")
-    return settle(cleaned, {"answers": F.when(repeated, latest).otherwise(F.col("answers"))})
+    """Answers as columns, per step: first position, options, free text, both joined.
 
-
-def gate(sessions: DataFrame) -> DataFrame:
+    The last answer of a step counts, at the place of its first. Options are
+    trimmed and, where the step lists them, kept only if allowed. Everything
+    is read by position, so no step scans the answers of another.
+    """
+    placed = settle(sessions, {"step_ids": F.transform("answers", lambda a: a["step_id"])})
+    columns: dict[str, Column] = {}
+    for step, options in fv.STEP_OPTIONS.items():
+        from_end = F.array_position(F.reverse("step_ids"), step)
+        raw = F.get("answers", F.when(from_end > 0, F.size("step_ids") - from_end).cast("int"))
+        trimmed = F.transform(
+            F.coalesce(raw["selected"], F.array().cast("array<string>")), tx.strip)
+        columns[f"pos_{step}"] = F.array_position("step_ids", step)
+        columns[f"options_{step}"] = (
+            F.filter(trimmed, lambda o: o.isin(*options)) if options
+            else F.filter(trimmed, lambda o: o != ""))
+        columns[f"free_{step}"] = tx.clean(raw["free_text"])
+    read = settle(placed, columns)
+    joined = {}
+    for step, options in fv.STEP_OPTIONS.items():
+        text = F.concat_ws(" ", f"options_{step}", F.nullif(f"free_{step}", F.lit("")))
+        joined[f"text_{step}"] = text if options else tx.clean(text)
+    return settle(read, joined)
+
+
+def gate(normalised: DataFrame) -> DataFrame:
     """Add unknown, empty and missing steps, in step order, and ``complete``."""
-    steps = text_array(fv.STEP_OPTIONS)
-    given = F.transform("answers", lambda a: a["step_id"])
-    empty = F.transform(
-        F.filter("answers", lambda a: (F.size(a["selected"]) == 0) & (a["free_text"] == "")),
-        lambda a: a["step_id"],
-    )
-    checked = settle(sessions, {
-        "unknown_steps": F.array_except(given, steps),
-        "empty_steps": F.array_intersect(steps, empty),
-        "missing_steps": F.array_except(steps, given),
+    steps = text_array(STEPS)
+    empty = [F.when((F.col(f"pos_{s}") > 0) & (F.col(f"text_{s}") == ""), F.lit(s)) for s in STEPS]
+    checked = settle(normalised, {
+        "unknown_steps": F.array_except("step_ids", steps),
+        "empty_steps": F.array_compact(F.array(*empty)),
+        "missing_steps": F.array_except(steps, F.col("step_ids")),
     })
     return checked.withColumn(
         "complete",
@@ -83,41 +63,30 @@ def gate(sessions: DataFrame) -> DataFrame:
     )
 
 
-def session_text(answers: Column) -> Column:
-    """One line per answer, in answer order; ``-`` marks an empty part."""
-    line = lambda a: F.concat(
-        a["step_id"], F.lit(": selected=["),
-        F.when(F.size(a["selected"]) > 0, F.array_join(a["selected"], ", ")).otherwise("-"),
-        F.lit("] text="),
-        F.when(a["free_text"] != "", a["free_text"]).otherwise("-"),
-    )
-    return F.array_join(F.transform(answers, line), "\n")
-
-
-_RULE_STEPS = (
-    "systems_involved", "frequency_volume", "rules_clarity", "human_dependency",
-    "access_security", "data_sensitivity", "economic_impact",
-)
-_TEXT_STEPS = ("process_to_automate", "business_pain")
-
-
-def spread(sessions: DataFrame) -> DataFrame:
-    """Chosen options and free texts of the steps the rules read, as columns."""
+def answer_rows(normalised: DataFrame) -> DataFrame:
+    """One row per given answer, with its place in the session."""
+    rows = F.array_compact(F.array(*[
+        F.when(F.col(f"pos_{s}") > 0, F.struct(
+            F.col(f"pos_{s}").alias("position"), F.lit(s).alias("step_id"),
+            F.col(f"options_{s}").alias("selected"), F.col(f"free_{s}").alias("free_text"),
+            F.col(f"text_{s}").alias("normalized_text")))
+        for s in STEPS]))
+    return normalised.select("session_id", F.explode(rows).alias("a")).select("session_id", "a.*")
 
-    def answer(step: str) -> Column:
-        return F.get(F.filter("answers", lambda a: a["step_id"] == step), F.lit(0))
 
-    columns = {
-        f"options_{step}": F.coalesce(answer(step)["selected"], F.array().cast("array<string>"))
-        for step in _RULE_STEPS
-    }
-    columns |= {
-        f"text_{step}": F.coalesce(answer(step)["free_text"], F.lit("")) for step in _TEXT_STEPS
-    }
-    columns["all_text"] = F.lower(
-        F.array_join(F.transform("answers", lambda a: a["normalized_text"]), " ")
-    )
-    return settle(sessions, columns)
+def session_text() -> Column:
+    """One line per answer, in answer order; ``-`` marks an empty part."""
+    lines = F.array_compact(F.array(*[
+        F.when(F.col(f"pos_{s}") > 0, F.struct(
+            F.col(f"pos_{s}").alias("position"),
+            F.concat(
+                F.lit(f"{s}: selected=["),
+                F.coalesce(F.nullif(F.array_join(f"options_{s}", ", "), F.lit("")), F.lit("-")),
+                F.lit("] text="),
+                F.coalesce(F.nullif(f"free_{s}", F.lit("")), F.lit("-")),
+            ).alias("line")))
+        for s in STEPS]))
+    return F.array_join(F.transform(F.sort_array(lines), lambda x: x["line"]), "\n")
 
 
 def _selected(step: str) -> Column:
@@ -125,7 +94,7 @@ def _selected(step: str) -> Column:
 
 
 def _free_text(step: str) -> Column:
-    return F.col(f"text_{step}")
+    return F.col(f"free_{step}")
 
 
 def _has_any(options: Column, words: Sequence[str]) -> Column:
@@ -186,7 +155,7 @@ def interpret(sessions: DataFrame, provider: str, context_size: str = "context_s
     name = provider.strip().lower()
     if name not in INTERPRETERS:
         raise ValueError(f"unsupported interpreter: {provider}")
-    asked = settle(sessions, {"query_text": session_text(F.col("answers"))})
+    asked = settle(sessions, {"query_text": session_text()})
     return settle(asked, INTERPRETERS[name](F.col(context_size)))
 
 
@@ -214,7 +183,6 @@ def _group_columns(step: str, mode: str, rules: Sequence[tuple]) -> tuple[Column
 
 def score(sessions: DataFrame) -> DataFrame:
     """Eight components, total clamped to 0..100, rule hits, sorted risk flags."""
-    sessions = spread(sessions)
     parts: dict[str, Column] = {}
     hits: dict[str, Column] = {}
     flags: list[tuple[Column, str]] = []
@@ -231,9 +199,8 @@ def score(sessions: DataFrame) -> DataFrame:
     hits["digital_systems_present"] = digital > 0
     flags += [(_has_any(systems, words), flag) for words, flag in fv.SYSTEM_FLAGS]
 
-    pain = F.lit(False)
-    for term in fv.PAIN_TERMS:
-        pain = pain | F.col("all_text").contains(term)
+    all_text = F.lower(F.concat_ws(" ", *[f"text_{s}" for s in STEPS]))
+    pain = all_text.rlike("|".join(fv.PAIN_TERMS))
     parts["impact"] = parts["impact"] + F.when(pain, 6).otherwise(0)
     hits["manual_repetitive_pain"] = pain
 
@@ -385,9 +352,8 @@ def knowledge_context(sessions: DataFrame, chunks: DataFrame, k: int = fv.KEYWOR
     meet the passages' terms.
     """
     asked = settle(
-        sessions.select("session_id", F.col("knowledge_scope_id").alias("scope_id"), "answers"),
-        {"_t": tx.tokens(session_text(F.col("answers")))},
-    )
+        sessions, {"_t": tx.tokens(session_text())},
+    ).select("session_id", F.col("knowledge_scope_id").alias("scope_id"), "_t")
     wanted = (
         asked.select("session_id", "scope_id", F.size("_t").alias("n_tokens"),
                      F.explode("_t").alias("token"))

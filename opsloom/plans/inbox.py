@@ -10,17 +10,28 @@ from pyspark.sql import functions as F
 from opsloom import fixed_values as fv
 from opsloom.functions import html as hx
 from opsloom.functions import text as tx
+from opsloom.functions.binding import bind
 from opsloom.operators.literals import text_array
 from opsloom.operators.settle import settle
 
 
+LAYER_WORDS = ("banner", "onboarding", "coachmark", "tour", "wizard", "modal", "dialog", "overlay",
+               "backdrop")
+
+
+def with_body(pages: DataFrame, page_id: str, html: str) -> DataFrame:
+    """Pages with their bare body markup, computed once."""
+    return settle(pages.select(page_id, html), {"_body": hx.body(F.col(html))})
+
+
 def page_metrics(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
-    c = F.col(html)
-    lines = settle(pages.select(page_id, html), {"_lines": hx.text_lines(c)})
+    c = F.col("_body")
+    lines = settle(with_body(pages, page_id, html), {"_lines": hx.text_lines(c)})
     return lines.select(
         page_id, hx.count_tags(c, "a").alias("anchor_count"), hx.count_tags(c, "button").alias("button_count"),
         hx.count_tags(c, "iframe").alias("iframe_count"),
-        F.length(F.array_join("_lines", "\n")).alias("body_text_length"), F.length(c).alias("body_html_length"),
+        F.length(F.array_join("_lines", "\n")).alias("body_text_length"),
+        F.length(html).alias("body_html_length"),
         F.size("_lines").alias("n_lines"),
     )
 
@@ -28,9 +39,10 @@ def page_metrics(pages: DataFrame, page_id: str = "page_id", html: str = "html")
 def inspect_pages(pages: DataFrame, keywords: Sequence[str], page_id: str = "page_id",
                   html: str = "html") -> DataFrame:
     """Texts, links, buttons, candidates and warnings of stored pages."""
-    c = F.col(html)
-    base = settle(pages.select(page_id, html), {
-        "texts": hx.text_chunks(c), "links": hx.elements(c, "a", 20), "buttons": hx.elements(c, "button", 20)})
+    c = F.col("_body")
+    base = settle(with_body(pages, page_id, html), {
+        "texts": hx.text_chunks(c), "links": hx.elements(c, "a", 20), "buttons": hx.elements(c, "button", 20),
+        "layer": hx.has_layer(c, LAYER_WORDS)})
 
     def candidates(column: str) -> Column:
         return F.filter(column, lambda e: tx.item_matches(
@@ -49,11 +61,10 @@ def inspect_pages(pages: DataFrame, keywords: Sequence[str], page_id: str = "pag
 def onboarding(pages: DataFrame, keywords: Sequence[str] = fv.WIZARD,
                page_id: str = "page_id", html: str = "html") -> DataFrame:
     """Onboarding flag: keyword hit and an action button, banner or dialog."""
-    c = F.col(html)
-    base = settle(pages.select(page_id, html), {
+    c = F.col("_body")
+    base = settle(with_body(pages, page_id, html), {
         "texts": hx.text_chunks(c, 30, 160), "buttons": hx.elements(c, "button", 20),
-        "layer": hx.has_layer(c, ("banner", "onboarding", "coachmark", "tour", "wizard", "modal",
-                                  "dialog", "overlay", "backdrop"))})
+        "layer": hx.has_layer(c, LAYER_WORDS)})
     labels = F.transform("buttons", lambda b: F.concat_ws(" ", b["text"], b["aria_label"], b["title"]))
     hits = settle(base, {
         "matched_keywords": tx.keyword_hits(F.concat("texts", labels), keywords),
@@ -172,20 +183,23 @@ def best_rule(text: Column, rules: Sequence[tuple[str, int, Sequence[str]]]) ->
 
     Rules are fixed phrase lists, so matching is one expression per row.
     """
-    form = tx.match_form(text)
-    out = None
-    for _, (name, _, phrases) in sorted(enumerate(rules), key=lambda r: (r[1][1], r[0])):
-        test = tx.contains_any(form, phrases)
-        out = F.when(test, F.lit(name)) if out is None else out.when(test, F.lit(name))
-    return out
+    ordered = sorted(enumerate(rules), key=lambda r: (r[1][1], r[0]))
+
+    def pick(form: Column) -> Column:
+        out = None
+        for _, (name, _, phrases) in ordered:
+            test = tx.contains_any(form, phrases)
+            out = F.when(test, F.lit(name)) if out is None else out.when(test, F.lit(name))
+        return out
+
+    return bind(tx.match_form(text), pick)
 
 
 def all_rules(text: Column, rules: Sequence[tuple[str, int, Sequence[str]]]) -> Column:
     """Every matching tag, by priority and then list order."""
-    form = tx.match_form(text)
     ordered = sorted(enumerate(rules), key=lambda r: (r[1][1], r[0]))
-    return F.array_compact(F.array(*[
-        F.when(tx.contains_any(form, phrases), F.lit(name)) for _, (name, _, phrases) in ordered]))
+    return F.array_compact(bind(tx.match_form(text), lambda form: F.array(*[
+        F.when(tx.contains_any(form, phrases), F.lit(name)) for _, (name, _, phrases) in ordered])))
 
 
 INTENT_RULES = [(name, priority, phrases) for name, priority, _, phrases in fv.INTENTS]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from opsloom import fixed_values as fv
 from opsloom.functions import text as tx
+from opsloom.functions.binding import bind
 from opsloom.operators.keyed import first_n
 from opsloom.operators.literals import lookup
 from opsloom.operators.topk import top_k
@@ -122,30 +123,39 @@ def cover_density(text: Column, query: str) -> Column:
     if not wanted:
         return F.lit(0.0)
     number = {word: i for i, word in enumerate(wanted)}
-    words = tx.all_words(text)
     placed = F.transform(
-        words, lambda w, i: F.struct(i.alias("p"), lookup(w, number).alias("t"))
+        tx.all_words(text), lambda w, i: F.struct(i.alias("p"), lookup(w, number).alias("t"))
     )
-    hits = F.filter(placed, lambda h: h["t"].isNotNull())
+    found = F.filter(placed, lambda h: h["t"].isNotNull())
     start = F.struct(
         F.array(*[F.lit(-1)] * len(wanted)).alias("seen"), F.lit(0.0).alias("score")
     )
 
-    def step(state: Column, hit: Column) -> Column:
-        before = F.get(state["seen"], hit["t"])
-        seen = F.transform(state["seen"], lambda p, i: F.when(i == hit["t"], hit["p"]).otherwise(p))
-        left = F.array_min(seen)
-        # Minimal: complete, and not already complete before this word.
-        minimal = (left >= 0) & (before < left)
-        inside = F.size(F.filter(hits, lambda h: (h["p"] >= left) & (h["p"] <= hit["p"])))
-        noise = (hit["p"] - left) - (inside - 1)
-        return F.struct(
-            seen.alias("seen"),
-            (state["score"] + F.when(minimal, F.lit(fv.COVER_WEIGHT) / (1 + noise)).otherwise(0.0))
-            .alias("score"),
-        )
+    def total(hits: Column) -> Column:
+        """Fold over hit numbers; ``seen`` keeps the last hit of each query word."""
+
+        def step(state: Column, n: Column) -> Column:
+            word = F.get(hits, n)["t"]
+            before = F.get(state["seen"], word)
+
+            def grow(seen: Column) -> Column:
+                left = F.array_min(seen)
+                # Minimal: complete, and not already complete before this word.
+                minimal = (left >= 0) & (before < left)
+                apart = F.get(hits, n)["p"] - F.get(hits, left)["p"]
+                gain = F.lit(fv.COVER_WEIGHT) / (1 + apart - (n - left))
+                return F.struct(
+                    seen.alias("seen"),
+                    (state["score"] + F.when(minimal, gain).otherwise(0.0)).alias("score"))
+
+            return bind(
+                F.transform(state["seen"], lambda last, i: F.when(i == word, n).otherwise(last)), grow)
+
+        numbers = F.when(F.size(hits) > 0, F.sequence(F.lit(0), F.size(hits) - 1)).otherwise(
+            F.array().cast("array<int>"))
+        return F.aggregate(numbers, start, step, lambda s: s["score"])
 
-    return F.aggregate(hits, start, step, lambda s: s["score"])
+    return bind(found, total)
 
 
 def lexical_top_k(chunks: DataFrame, query: str, text: str, chunk_id: str,

@@ -61,7 +61,7 @@ def intake_sessions(spark: SparkSession, path: str) -> DataFrame:
 def capture_rows(pages: DataFrame, page_id: str = "page_id", html: str = "html",
                  cap: int = 100) -> DataFrame:
     """Visible rows of a stored page with their index, at most ``cap`` per page."""
-    lines = F.slice(hx.text_lines(F.col(html)), 1, cap)
+    lines = F.slice(hx.text_lines(hx.body(F.col(html))), 1, cap)
     return pages.select(page_id, F.posexplode(lines).alias("row_index", "row_text"))
 
 
