@@ -89,12 +89,12 @@ def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int,
         per_block = max(1, max_query_values // max(size["dim"], 1))
         blocks = math.ceil(size["n"] / per_block)
         shards = max(1, math.ceil(corpus.count() / shard_rows))
+        each_shard = F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))
+        each_block = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
         left = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
-            "_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-        )
-        right = corpus.withColumn("_shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn(
-            "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")
-        )
+            "_shard", F.explode(each_shard))
+        right = corpus.withColumn("_shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn(
+            "_block", F.explode(each_block))
 
         def pair(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
             if qpdf.empty:

@@ -72,7 +72,9 @@ CAMPAIGN_LINES = [
 def ordered_assets(assets: DataFrame) -> DataFrame:
     """Assets of each project as one list by sort order.
 
-    Aggregated before the join, so project columns are never grouped on.
+    Aggregated before the join, so project columns are never grouped on. The
+    list becomes one line of one document, so assets are expected to be
+    distinct offers (a project and channel each), not raw activity.
     """
     item = F.struct("channel", "title", "short_copy")
     return assets.groupBy("project_id").agg(

@@ -348,12 +348,12 @@ def knowledge_context(sessions: DataFrame, chunks: DataFrame, k: int = fv.KEYWOR
     """Top passages per session; its answers, written as text, are the query.
 
     ``chunks`` holds (scope_id, chunk_id, title, content). A session asks only
-    its own scope. Distinct session tokens are counted per session before they
-    meet the passages' terms.
+    its own scope. Token lists move once, hashed by session; counting tokens,
+    adding scores and ranking all run inside that placement.
     """
     asked = settle(
         sessions, {"_t": tx.tokens(session_text())},
-    ).select("session_id", F.col("knowledge_scope_id").alias("scope_id"), "_t")
+    ).select("session_id", F.col("knowledge_scope_id").alias("scope_id"), "_t").repartition("session_id")
     wanted = (
         asked.select("session_id", "scope_id", F.size("_t").alias("n_tokens"),
                      F.explode("_t").alias("token"))

@@ -52,8 +52,8 @@ def intake_sessions(spark: SparkSession, path: str) -> DataFrame:
     """Sessions from JSON objects; a file without id takes its own name."""
     raw = spark.read.schema(SESSION_SCHEMA).json(path, multiLine=True).select("*", "_metadata.file_name")
     answers = F.transform("answers", lambda a: F.struct(
-        a["step_id"].alias("step_id"), a["answer.selected"].alias("selected"),
-        a["answer.free_text"].alias("free_text")))
+        a["step_id"].alias("step_id"), a["answer"]["selected"].alias("selected"),
+        a["answer"]["free_text"].alias("free_text")))
     return raw.withColumn("answers", answers).withColumn(
         "session_id", F.coalesce("session_id", F.regexp_replace("file_name", r"\.json$", ""))).drop("file_name")
 
