@@ -45,7 +45,7 @@ def visible_rows(t: Tables):
 
 @query("visible_users", """
 WITH o AS (SELECT r_regionkey FROM region WHERE r_name = 'EUROPE'),
-w AS (SELECT n_nationkey FROM nation WHERE n_nationkey >= 20),
+w AS (SELECT n_nationkey FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'AFRICA'),
 m AS (SELECT o_custkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE (c_nationkey + CAST(floor(o_totalprice) AS BIGINT)) % 25 IN (SELECT n_nationkey FROM w))
 SELECT c_custkey AS user_id, c_name AS user_name FROM customer JOIN nation ON n_nationkey = c_nationkey
 WHERE n_regionkey IN (SELECT r_regionkey FROM o) OR c_custkey IN (SELECT o_custkey FROM m)
@@ -58,7 +58,8 @@ def visible_users(t: Tables):
         F.col("o_custkey").alias("user_id"),
         ((F.col("c_nationkey") + F.floor("o_totalprice")) % 25).cast("int").alias("workspace_id"))
     orgs = t.region.where("r_name = 'EUROPE'").select(F.col("r_regionkey").alias("organisation_id"))
-    spaces = t.nation.where("n_nationkey >= 20").select(F.col("n_nationkey").alias("workspace_id"))
+    africa = t.region.where("r_name = 'AFRICA'").select(F.col("r_regionkey").alias("n_regionkey"))
+    spaces = t.nation.join(africa, "n_regionkey").select(F.col("n_nationkey").alias("workspace_id"))
     return tn.visible_users(users, members, orgs, spaces).select("user_id", "user_name")
 
 
@@ -265,7 +266,7 @@ def child_counts(t: Tables):
 
 EDGES = """
 SELECT concat('r', CAST(r_regionkey AS STRING)) AS id, CAST(NULL AS STRING) AS parent FROM {region}
-UNION ALL SELECT concat('n', CAST(n_nationkey AS STRING)), concat('r', CAST(n_regionkey AS STRING)) FROM {nation} WHERE n_nationkey <> 3
+UNION ALL SELECT concat('n', CAST(n_nationkey AS STRING)), concat('r', CAST(n_regionkey AS STRING)) FROM {nation} WHERE n_name <> 'NATION_3'
 UNION ALL SELECT concat('c', CAST(c_custkey AS STRING)), concat('n', CAST(c_nationkey AS STRING)) FROM {customer}
 """
 
@@ -461,7 +462,7 @@ def routing_match(t: Tables):
 
 
 @query("channel_resolve", """
-WITH c AS (SELECT n_nationkey AS channel_id, n_name AS alias FROM nation WHERE n_nationkey % 6 <> 5),
+WITH c AS (SELECT n_nationkey AS channel_id, n_name AS alias FROM nation WHERE n_regionkey <> 3),
 num AS (SELECT s_nationkey AS channel_id, max(s_suppkey) AS number_id FROM supplier GROUP BY ALL),
 cred AS (SELECT s_nationkey AS channel_id, s_suppkey AS credential_id, CASE CAST(s_suppkey % 3 AS INT) WHEN 0 THEN 'workspace' WHEN 1 THEN 'platform' ELSE 'test' END AS scope FROM supplier),
 best AS (SELECT channel_id, credential_id, scope, row_number() OVER (PARTITION BY channel_id ORDER BY CASE scope WHEN 'workspace' THEN 1 ELSE 2 END, credential_id) AS r FROM cred WHERE scope <> 'test')
@@ -473,7 +474,7 @@ def channel_resolve(t: Tables):
     sends = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).join(
         t.nation, F.col("n_nationkey") == F.col("c_nationkey")).select(
         F.col("o_orderkey").alias("send_id"), F.col("n_name").alias("alias"))
-    channels = t.nation.where("n_nationkey % 6 <> 5").select(
+    channels = t.nation.where("n_regionkey <> 3").select(
         F.col("n_name").alias("alias"), F.col("n_nationkey").cast("long").alias("channel_id"))
     numbers = t.supplier.groupBy(F.col("s_nationkey").cast("long").alias("channel_id")).agg(F.max("s_suppkey").alias("number_id"))
     n = F.col("s_suppkey") % 3

@@ -276,12 +276,12 @@ def session_events(t: Tables):
 SELECT session_id, 'none' AS provider, '' AS systems FROM done UNION ALL
 SELECT session_id, 'mock', array_to_string(list_filter(['sap', 'sap b1', 'erp', 'excel', 'whatsapp', 'email', 'portal', 'browser',
   'desktop', 'api'], lambda w: regexp_matches(lower(qtext), '\\b' || w || '\\b')), '|') FROM done UNION ALL
-SELECT session_id, 'table', CASE WHEN session_id % 2 = 0 THEN 'crm' ELSE '' END FROM done
+SELECT session_id, 'table', CASE WHEN rules = 'clear' THEN 'crm' ELSE '' END FROM done
 """)
 def interpreter_choice(t: Tables):
     """Three interpreters over the same sessions; the third reads a table of model replies."""
     ready = dx.gate(dx.normalise_sessions(sessions(t))).where("complete").withColumn("context_size", F.lit(1))
-    replies = t.orders.where("o_orderkey % 2 = 0").select(
+    replies = t.orders.where("o_orderstatus = 'F'").select(
         F.col("o_orderkey").alias("session_id"), F.lit("s").alias("model_summary"),
         text_array(["crm"]).alias("model_systems"), F.lit("clear").alias("model_rules_clarity"),
         F.lit("rag").alias("model_knowledge_need"), F.lit(None).cast("string").alias("model_process"),

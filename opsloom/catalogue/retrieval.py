@@ -127,16 +127,18 @@ WITH tok AS (SELECT doc_id, unnest({sql_tokens('text')}) AS token FROM documents
 q AS (SELECT unnest({sql_list(_QT)}) AS token),
 s AS (SELECT doc_id, count(*) / {len(_QT)}.0 AS s FROM tok JOIN q USING (token) GROUP BY doc_id),
 k AS (SELECT doc_id AS id, row_number() OVER (ORDER BY s DESC, doc_id) AS kr FROM s),
-{_VEC_SQL},
+{_VEC_SQL.replace("SELECT label, unnest(range", "SELECT 0 AS label, unnest(range")},
 f AS (SELECT id, kr, rank_position AS vrank FROM (SELECT * FROM k WHERE kr <= 50)
-  FULL JOIN (SELECT id, rank_position FROM vr WHERE query_id = 0 AND rank_position <= 50) USING (id)),
+  FULL JOIN (SELECT id, rank_position FROM vr WHERE rank_position <= 50) USING (id)),
 z AS (SELECT id, coalesce(1.0::DOUBLE / (60 + kr), 0) + coalesce(1.0::DOUBLE / (60 + vrank), 0) AS score FROM f)
 SELECT id, round(score, 6) AS score_final, row_number() OVER (ORDER BY score DESC, id) AS rank_position
 FROM z ORDER BY score DESC, id LIMIT 20
 """)
 def hybrid_rrf(t: Tables):
     lexical = rt.keyword_top_k(t.spread("documents").select(F.col("doc_id").alias("id"), "text"), QUERY, ["text"], ["id"], 50)
-    semantic = _label_search(t, 50).where("query_id = 0").withColumnRenamed("rank_position", "vector_rank")
+    vectors = _vectors(t)
+    centre = topk.centroids(vectors.withColumn("query_id", F.lit(0)), "query_id")
+    semantic = topk.vector_top_k(vectors, centre, 50).withColumnRenamed("rank_position", "vector_rank")
     fused = topk.reciprocal_rank_fusion(
         lexical.withColumnRenamed("rank_position", "keyword_rank"), semantic, ["id"],
         "keyword_rank", "vector_rank")
@@ -300,7 +302,7 @@ SELECT item_id AS query_id, 'c' || CAST(item_id % 7 AS STRING) AS conversation_i
 def _telemetry(t: Tables):
     searches = t.derive(_SEARCHES)
     opened = rt.retrieval_events(searches)
-    finished = opened.where("query_id % 5 <> 0").select(
+    finished = opened.where("length(query_text) > 150").select(
         "event_id",
         (F.col("started_at") + F.make_dt_interval(secs=(F.col("query_id") % 4 + 1).cast("decimal(18,6)"))).alias("finished_at"),
         F.when(F.col("query_id") % 2 == 0, F.create_map(F.lit("state"), F.lit("ok"))).alias("meta"))
@@ -313,8 +315,8 @@ def _telemetry(t: Tables):
 _EVENT_SQL = """
 ev AS (SELECT item_id, sha256(item_id::VARCHAR) AS event_id, CASE WHEN item_id % 3 = 1 THEN 'chat' ELSE 'web' END AS channel,
   CASE WHEN item_id % 4 = 3 THEN 'semantic' ELSE 'lexical' END AS retrieval_mode, greatest(item_id % 3, 1)::BIGINT AS top_k,
-  CASE WHEN item_id % 5 <> 0 THEN 1000 * (item_id % 4 + 1) END AS latency,
-  CASE WHEN item_id % 5 <> 0 AND item_id % 2 = 0 THEN 'ok' END AS state FROM benchmark),
+  CASE WHEN length(text) > 150 THEN 1000 * (item_id % 4 + 1) END AS latency,
+  CASE WHEN length(text) > 150 AND item_id % 2 = 0 THEN 'ok' END AS state FROM benchmark),
 hit AS (SELECT e.event_id, rank_position, chunk_id, score FROM rk JOIN ev e ON e.item_id = query_id
   WHERE rank_position <= 5 AND retrieval_mode = 'lexical')
 """

@@ -117,7 +117,7 @@ def stream_budget(t: Tables):
 
 
 @query("stream_retrieval", """
-SELECT event_id, unnest(range(1, event_id % 3 + 1)) AS rank_position, strftime(ts, '%Y-%m-%d %H:%M:%S') AS started_at,
+SELECT event_id, unnest(range(1, event_id % 3 + 2)) AS rank_position, strftime(ts, '%Y-%m-%d %H:%M:%S') AS started_at,
  strftime(ts + to_seconds(event_id % 50), '%Y-%m-%d %H:%M:%S') AS finished_at FROM events WHERE event_type <> 'error'
 """)
 def stream_retrieval(t: Tables):
@@ -126,8 +126,8 @@ def stream_retrieval(t: Tables):
     finishes = begins.sparkSession.readStream.schema(t.events.schema).parquet(f"{t.folder}/events*.parquet").withColumn(
         "ts", F.col("ts").cast("timestamp")).where("event_type <> 'error'").select("event_id", later.alias("finished_at"))
     hits = begins.sparkSession.readStream.schema(t.events.schema).parquet(f"{t.folder}/events*.parquet").withColumn(
-        "ts", F.col("ts").cast("timestamp")).where("event_id % 3 > 0").select(
-        "event_id", F.col("ts").alias("hit_at"), F.explode(F.sequence(F.lit(1), (F.col("event_id") % 3).cast("int"))).alias("rank_position"))
+        "ts", F.col("ts").cast("timestamp")).select(
+        "event_id", F.col("ts").alias("hit_at"), F.explode(F.sequence(F.lit(1), (F.col("event_id") % 3 + 1).cast("int"))).alias("rank_position"))
     out = _read(t, jobs.retrieval_join(begins, finishes, hits), "append")
     return out.select("event_id", F.col("rank_position").cast("long").alias("rank_position"), _text("started_at"), _text("finished_at"))
 

@@ -77,7 +77,7 @@ def usage_cost_daily(t: Tables):
 @query("budget_state", f"WITH {_PRICED}" + """
 , d AS (SELECT strftime(created_at, '%Y-%m-%d') AS period, 'day' AS grain, workspace_id, sum(cost) AS cost FROM c GROUP BY ALL
  UNION ALL SELECT strftime(created_at, '%Y-%m'), 'month', workspace_id, sum(cost) FROM c GROUP BY ALL),
-l AS (SELECT c_custkey AS workspace_id, round(c_acctbal / 1000, 1) / 10 AS budget FROM customer WHERE c_custkey < 20 AND c_acctbal > 0)
+l AS (SELECT c_custkey AS workspace_id, round(c_acctbal / 1000, 1) / 10 AS budget FROM customer WHERE c_acctbal > 0)
 SELECT period, grain, workspace_id, cost::BIGINT AS cost_e8, CASE WHEN budget IS NULL THEN 'unlimited' WHEN cost / 1e8 > budget THEN 'exceeded'
  WHEN cost / 1e8 / budget >= 0.8 THEN 'threshold' ELSE 'ok' END AS budget_state FROM d LEFT JOIN l USING (workspace_id)
 """)
