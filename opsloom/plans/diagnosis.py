@@ -28,19 +28,24 @@ def normalise_sessions(sessions: DataFrame) -> DataFrame:
     trimmed and, where the step lists them, kept only if allowed. Everything
     is read by position, so no step scans the answers of another.
     """
-    placed = settle(sessions, {"step_ids": F.transform("answers", lambda a: a["step_id"])})
+    none = F.array().cast("array<string>")
+    placed = settle(sessions, {
+        "step_ids": F.transform("answers", lambda a: a["step_id"]),
+        "_backwards": F.reverse(F.transform("answers", lambda a: a["step_id"])),
+        "_chosen": F.transform("answers", lambda a: F.filter(
+            F.transform(F.coalesce(a["selected"], none), tx.strip), lambda o: o != "")),
+        "_free": F.transform("answers", lambda a: tx.clean(a["free_text"])),
+    })
     columns: dict[str, Column] = {}
     for step, options in fv.STEP_OPTIONS.items():
-        from_end = F.array_position(F.reverse("step_ids"), step)
-        raw = F.get("answers", F.when(from_end > 0, F.size("step_ids") - from_end).cast("int"))
-        trimmed = F.transform(
-            F.coalesce(raw["selected"], F.array().cast("array<string>")), tx.strip)
+        from_end = F.array_position("_backwards", step)
+        last = F.when(from_end > 0, F.size("step_ids") - from_end).cast("int")
+        chosen = F.coalesce(F.get("_chosen", last), none)
         columns[f"pos_{step}"] = F.array_position("step_ids", step)
         columns[f"options_{step}"] = (
-            F.filter(trimmed, lambda o: o.isin(*options)) if options
-            else F.filter(trimmed, lambda o: o != ""))
-        columns[f"free_{step}"] = tx.clean(raw["free_text"])
-    read = settle(placed, columns)
+            F.filter(chosen, lambda o: o.isin(*options)) if options else chosen)
+        columns[f"free_{step}"] = F.coalesce(F.get("_free", last), F.lit(""))
+    read = settle(placed, columns).drop("_backwards", "_chosen", "_free")
     joined = {}
     for step, options in fv.STEP_OPTIONS.items():
         text = F.concat_ws(" ", f"options_{step}", F.nullif(f"free_{step}", F.lit("")))
@@ -98,7 +103,10 @@ def _free_text(step: str) -> Column:
 
 
 def _has_any(options: Column, words: Sequence[str]) -> Column:
-    return F.arrays_overlap(options, text_array(words))
+    test = F.array_contains(options, words[0])
+    for word in words[1:]:
+        test = test | F.array_contains(options, word)
+    return test
 
 
 # Interpretation ------------------------------------------------------------
@@ -162,68 +170,63 @@ def interpret(sessions: DataFrame, provider: str, context_size: str = "context_s
 # Score ---------------------------------------------------------------------
 
 
-def _group_columns(step: str, mode: str, rules: Sequence[tuple]) -> tuple[Column, list, list]:
-    """Points of a rule group, and its (test, hit) and (test, flag) pairs."""
-    options = _selected(step)
-    tests = []
-    taken = F.lit(False)
-    for words, points, hit, flag in rules:
-        found = _has_any(options, words)
-        fires = found & ~taken if mode == "first" else found
-        tests.append((fires, points, hit, flag))
-        if mode == "first":
+def _tests() -> tuple[dict[str, Column], list[tuple[str, str, int, str | None, str | None]]]:
+    """Every rule's condition by name, and (test, component, points, hit, flag)."""
+    tests: dict[str, Column] = {}
+    effects = []
+    for component, step, mode, rules in fv.SCORE_GROUPS:
+        taken = F.lit(False)
+        for n, (words, points, hit, flag) in enumerate(rules):
+            found = _has_any(_selected(step), words)
+            name = f"_r_{component}_{n}"
+            tests[name] = found & ~taken if mode == "first" else found
             taken = taken | found
-    total = F.lit(0)
-    for fires, points, _, _ in tests:
-        total = total + F.when(fires, points).otherwise(0)
-    hits = [(fires, hit) for fires, _, hit, _ in tests if hit]
-    flags = [(fires, flag) for fires, _, _, flag in tests if flag]
-    return total, hits, flags
+            effects.append((name, component, points, hit, flag))
+    systems = _selected("systems_involved")
+    for n, (words, flag) in enumerate(fv.SYSTEM_FLAGS):
+        tests[f"_r_systems_{n}"] = _has_any(systems, words)
+        effects.append((f"_r_systems_{n}", "systems_digitization", 0, None, flag))
+    all_text = F.lower(F.concat_ws(" ", *[f"text_{s}" for s in STEPS]))
+    tests["_r_pain"] = all_text.rlike("|".join(fv.PAIN_TERMS))
+    effects.append(("_r_pain", "impact", 6, "manual_repetitive_pain", None))
+    tests["_r_knowledge"] = F.col("signal_knowledge_need").isin(*fv.KNOWLEDGE_MODES) | _has_any(
+        systems, ("sap_b1", "erp"))
+    effects.append(("_r_knowledge", "knowledge_need", 4, "knowledge_scope_recommended", None))
+    return tests, effects
 
 
 def score(sessions: DataFrame) -> DataFrame:
-    """Eight components, total clamped to 0..100, rule hits, sorted risk flags."""
-    parts: dict[str, Column] = {}
-    hits: dict[str, Column] = {}
-    flags: list[tuple[Column, str]] = []
-    for name, step, mode, rules in fv.SCORE_GROUPS:
-        parts[name], group_hits, group_flags = _group_columns(step, mode, rules)
-        hits.update({hit: test for test, hit in group_hits})
-        flags += group_flags
-
-    systems = _selected("systems_involved")
-    digital = F.size(F.array_intersect(systems, text_array(fv.DIGITAL_SYSTEMS)))
-    parts["systems_digitization"] = F.when(
-        digital > 0, F.least(F.lit(18), 6 + digital * 3)
-    ).otherwise(0)
-    hits["digital_systems_present"] = digital > 0
-    flags += [(_has_any(systems, words), flag) for words, flag in fv.SYSTEM_FLAGS]
+    """Eight components, total clamped to 0..100, rule hits, sorted risk flags.
 
-    all_text = F.lower(F.concat_ws(" ", *[f"text_{s}" for s in STEPS]))
-    pain = all_text.rlike("|".join(fv.PAIN_TERMS))
-    parts["impact"] = parts["impact"] + F.when(pain, 6).otherwise(0)
-    hits["manual_repetitive_pain"] = pain
-
-    needs = F.col("signal_knowledge_need").isin(*fv.KNOWLEDGE_MODES) | _has_any(
-        systems, ("sap_b1", "erp")
-    )
-    parts["knowledge_need"] = F.when(needs, 4).otherwise(0)
-    hits["knowledge_scope_recommended"] = needs
+    Conditions become boolean columns first; points, hits and flags read them.
+    """
+    tests, effects = _tests()
+    digital = F.array_intersect("options_systems_involved", text_array(fv.DIGITAL_SYSTEMS))
+    tested = settle(sessions, {**tests, "_digital": F.size(digital)})
 
-    named = {f"score_{name}": parts[name].cast("int") for name in fv.SCORE_COMPONENTS}
+    parts = {name: F.lit(0) for name in fv.SCORE_COMPONENTS}
+    parts["systems_digitization"] = F.when(
+        F.col("_digital") > 0, F.least(F.lit(18), 6 + F.col("_digital") * 3)).otherwise(0)
+    hits = {"digital_systems_present": F.col("_digital") > 0}
+    flags = []
+    for test, component, points, hit, flag in effects:
+        if points:
+            parts[component] = parts[component] + F.when(F.col(test), points).otherwise(0)
+        if hit:
+            hits[hit] = F.col(test)
+        if flag:
+            flags.append(F.when(F.col(test), F.lit(flag)))
+    scored = settle(tested, {f"score_{name}": parts[name].cast("int") for name in fv.SCORE_COMPONENTS})
     total = F.lit(50)
     for name in fv.SCORE_COMPONENTS:
         total = total + F.col(f"score_{name}")
-    rule_flags = F.array_compact(F.array(*[F.when(test, F.lit(flag)) for test, flag in flags]))
-    return settle(settle(sessions, named), {
+    return settle(scored, {
         "score_total": F.greatest(F.lit(0), F.least(F.lit(100), total)),
         "rule_hits": F.array_compact(
-            F.array(*[F.when(hits[h], F.lit(h)) for h in fv.RULE_HIT_ORDER])
-        ),
-        "risk_flags": F.array_sort(
-            F.array_distinct(F.concat(rule_flags, F.col("interpreter_risks")))
-        ),
-    })
+            F.array(*[F.when(hits[h], F.lit(h)) for h in fv.RULE_HIT_ORDER])),
+        "risk_flags": F.sort_array(F.array_distinct(
+            F.concat(F.array_compact(F.array(*flags)), F.col("interpreter_risks")))),
+    }).drop("_digital", *tests)
 
 
 # Class and outputs ---------------------------------------------------------
@@ -250,7 +253,7 @@ def classify(scored: DataFrame, packages: dict[str, str] | None = None) -> DataF
             (name if isinstance(name, Column) else F.lit(name)).alias("classification"),
             (mode if isinstance(mode, Column) else F.lit(mode)).alias("automation_mode"),
             F.lit(package).alias("recommended_package_type"),
-            F.array_sort(F.array_distinct(workers)).alias("suggested_workers"),
+            F.sort_array(F.array_distinct(workers)).alias("suggested_workers"),
             text_array(actions).alias("allowed_actions"),
         )
 
