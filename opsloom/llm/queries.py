@@ -34,6 +34,19 @@ def op4_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(load_tables(spark, folder)["documents"], vocabulary(), end_id=0)
 
 
+def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    from opsloom.llm.near_duplicates import class_report
+
+    return class_report(load_tables(spark, folder)["documents"])
+
+
+def op7_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
+    from opsloom.llm.fuzzy_lines import without_repeats
+
+    docs = load_tables(spark, folder)["documents"].select("doc_id", "text")
+    return without_repeats(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from opsloom.llm.piece_counts import token_counts
 
@@ -41,7 +54,7 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op3_token_file, op4_best_fit, op9_token_counts)
+    f.__name__: f for f in (op1_decontaminate, op3_token_file, op4_best_fit, op5_near_duplicates, op7_fuzzy_lines, op9_token_counts)
 }
 
 ORACLES: dict[str, str] = {}
