@@ -15,7 +15,7 @@ from opsloom.llm.pretokens import encoder, pre_tokens
 from opsloom.llm.store import numbered, quoted
 
 #: Text that one block of documents holds, in bytes.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 4_000_000
 
 
 def _blocks(column: pa.Array, coder, limit: int):
