@@ -24,7 +24,7 @@ from opsloom.llm.words import words_of
 SHINGLE, SIMILARITY = 8, 0.8
 #: Lines at the least similarity share a band with probability 1 - (1 - 0.8**4)**12 = 0.998.
 BANDS, ROWS = 12, 4
-_PIECE = 6_000_000
+_PIECE = 1_500_000
 
 _A, _B, _SHINGLE = SpanHasher(0x9E3779B97F4A7C15), SpanHasher(0xD1B54A32D192ED03), SpanHasher(0x8CB92BA72F3D8DD7)
 
