@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from opsloom.session import load_tables
 
@@ -22,6 +23,12 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return overlap_report(t["documents"], t["benchmark"])
 
 
+def op2_one_bit_search(spark: SparkSession, folder: str) -> DataFrame:
+    from opsloom.llm.vector_search import nearest
+
+    return nearest(load_tables(spark, folder)["embeddings"])
+
+
 def op3_token_file(spark: SparkSession, folder: str) -> DataFrame:
     from opsloom.llm.token_file import round_trip
 
@@ -40,6 +47,14 @@ def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return class_report(load_tables(spark, folder)["documents"])
 
 
+def op6_resample(spark: SparkSession, folder: str) -> DataFrame:
+    from opsloom.llm.resampling import label_kinds, resample
+
+    t = load_tables(spark, folder)
+    return resample(t["documents"], label_kinds(t["labels"])).select(
+        F.col("order").alias("doc_id"), "log_weight", "sample_key")
+
+
 def op7_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
     from opsloom.llm.fuzzy_lines import without_repeats
 
@@ -54,7 +69,7 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op3_token_file, op4_best_fit, op5_near_duplicates, op7_fuzzy_lines, op9_token_counts)
+    f.__name__: f for f in (op1_decontaminate, op2_one_bit_search, op3_token_file, op4_best_fit, op5_near_duplicates, op6_resample, op7_fuzzy_lines, op9_token_counts)
 }
 
 ORACLES: dict[str, str] = {}
