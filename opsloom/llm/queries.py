@@ -62,6 +62,12 @@ def op7_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
     return without_repeats(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op8_templates(spark: SparkSession, folder: str) -> DataFrame:
+    from opsloom.llm.templates import main_texts
+
+    return main_texts(load_tables(spark, folder)["pages"])
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from opsloom.llm.piece_counts import token_counts
 
@@ -69,7 +75,7 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_one_bit_search, op3_token_file, op4_best_fit, op5_near_duplicates, op6_resample, op7_fuzzy_lines, op9_token_counts)
+    f.__name__: f for f in (op1_decontaminate, op2_one_bit_search, op3_token_file, op4_best_fit, op5_near_duplicates, op6_resample, op7_fuzzy_lines, op8_templates, op9_token_counts)
 }
 
 ORACLES: dict[str, str] = {}
