@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opsloom.llm import quotes
 from opsloom.session import load_tables
 
 
@@ -74,8 +75,13 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(load_tables(spark, folder)["documents"], vocabulary())
 
 
+def op10_quoted_threads(spark: SparkSession, folder: str) -> DataFrame:
+    return quotes.thread_report(load_tables(spark, folder)["conversations"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_one_bit_search, op3_token_file, op4_best_fit, op5_near_duplicates, op6_resample, op7_fuzzy_lines, op8_templates, op9_token_counts)
+    f.__name__: f for f in (op1_decontaminate, op2_one_bit_search, op3_token_file, op4_best_fit, op5_near_duplicates, op6_resample, op7_fuzzy_lines, op8_templates, op9_token_counts,
+                           op10_quoted_threads)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_quoted_threads": quotes.ORACLE}
