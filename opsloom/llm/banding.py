@@ -36,17 +36,22 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def bucket_pairs(signed: DataFrame) -> DataFrame:
+def bucket_pairs(signed: DataFrame, tails: bool = True) -> DataFrame:
     """Written table (kind, a, b) of the pairs of all buckets; ``signed`` has id and bands (array<long>).
 
     Rows are range-partitioned and sorted by (band, next band, id), so a bucket
     of any size is spread over tasks; what a bucket has in several tasks is
-    joined through its smallest members.
+    joined through its smallest members. Without ``tails`` the order within a
+    band is by id alone.
     """
-    turned = F.concat(F.slice("bands", 2, F.size("bands") - 1), F.slice("bands", 1, 1))
-    rows = (signed.filter(F.size("bands") > 0)
-            .select("id", F.inline(F.arrays_zip(F.col("bands").alias("band"), turned.alias("tail")))))
-    placed = rows.repartitionByRange("band", "tail", "id").sortWithinPartitions("band", "tail", "id")
+    full = signed.filter(F.size("bands") > 0)
+    if tails:
+        turned = F.concat(F.slice("bands", 2, F.size("bands") - 1), F.slice("bands", 1, 1))
+        rows = full.select("id", F.inline(F.arrays_zip(F.col("bands").alias("band"), turned.alias("tail"))))
+    else:
+        rows = full.select("id", F.explode("bands").alias("band"))
+    order = ["band", "tail", "id"] if tails else ["band", "id"]
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     made = kept(placed.select("band", "id").mapInArrow(_runs, "kind int, a long, b long"), "buckets")
     edges = made.filter(F.col("kind") == EDGE).select(F.col("a").alias("band"), "b")
     across = (edges.groupBy("band").agg(F.min("b").alias("a"), F.count("*").alias("n")).filter("n > 1")
@@ -88,12 +93,12 @@ def _pairs(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         "kind": pa.array(np.full(len(a), kind, np.int32)), "a": pa.array(a), "b": pa.array(b)})
 
 
-def linked(signed: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked(signed: DataFrame, verify: Callable[[DataFrame], DataFrame], tails: bool = True) -> DataFrame:
     """(node, root) of all items that a verified pair links to another.
 
     ``verify`` takes distinct pairs (a < b) and returns those that hold.
     """
-    pairs = bucket_pairs(signed).select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = bucket_pairs(signed, tails).select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     each = kept(pairs.groupBy("a", "b").agg(F.min("kind").alias("kind")), "pairs")
     first = kept(verify(each.filter(F.col("kind") == WITH_SMALLEST).select("a", "b")), "links")
     roots = components(first)

@@ -24,9 +24,9 @@ from opsloom.llm.words import words_of
 SHINGLE, SIMILARITY = 8, 0.8
 #: Lines at the least similarity share a band with probability 1 - (1 - 0.8**4)**12 = 0.998.
 BANDS, ROWS = 12, 4
-_PIECE = 1_500_000
+_PIECE = 400_000
 
-_A, _B, _SHINGLE = SpanHasher(0x9E3779B97F4A7C15), SpanHasher(0xD1B54A32D192ED03), SpanHasher(0x8CB92BA72F3D8DD7)
+_A, _B = SpanHasher(0x9E3779B97F4A7C15), SpanHasher(0xD1B54A32D192ED03)
 
 
 class Lines:
@@ -58,18 +58,32 @@ class Lines:
 
     def shingles(self, which: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(place in ``which``, hash) of every shingle; a shorter line is one shingle."""
-        start, size = self.start[which], (self.end - self.start)[which]
-        count = np.maximum(size - width + 1, 1)
-        at = spans(start, count)
-        owner = np.repeat(np.arange(len(which)), count)
-        return owner, _SHINGLE(self.code, at, at + np.minimum(width, size)[owner])
+        size = self.end - self.start
+        place = np.full(len(size), -1, np.int32)
+        place[which] = np.arange(len(which))
+        # Every window of the joined lines, then those within one wanted line.
+        owner = np.repeat(place, size + 1)
+        n = max(len(owner) - width, 0)
+        keys = np.zeros(n, np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(width):
+                keys *= np.uint64(0x9E3779B97F4A7C15)
+                keys += self.code[j:j + n]
+        inside = owner[:n] >= 0
+        inside &= np.repeat(self.end, size + 1)[:n] - width >= np.arange(n)
+        owner, keys = owner[:n][inside], mix(keys[inside])
+        short = np.flatnonzero((size < width) & (place >= 0))
+        if len(short):
+            owner = np.concatenate([owner, place[short]])
+            keys = np.concatenate([keys, _A(self.code, self.start[short], self.end[short])])
+        return owner, keys
 
 
 def bin_minhash(owner: np.ndarray, keys: np.ndarray, n: int, size: int) -> np.ndarray:
     """Signatures of ``n`` sets by one permutation; an empty bin borrows a filled one's value."""
     bins = (((keys >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)).astype(np.int64)
     out = np.full(n * size, np.uint64((1 << 64) - 1))
-    np.minimum.at(out, owner * size + bins, mix(keys))
+    np.minimum.at(out, owner * size + bins, keys << np.uint64(8))     # bits that did not choose the bin
     out = out.reshape(n, size)
     filled = out != np.uint64((1 << 64) - 1)
     row, bin_ = np.nonzero(~filled)
@@ -161,7 +175,7 @@ def repeated_lines(docs: DataFrame, text: str = "text", order: str = "doc_id", w
         both = with_b.join(found.select(F.col("lid").alias("a"), F.col("form").alias("form_a")), "a")
         return both.select("a", "b", "form_a", "form_b").mapInArrow(_holds(width, least), "a long, b long")
 
-    roots = linked(single, verify).withColumnsRenamed({"node": "rep"})
+    roots = linked(single, verify, False).withColumnsRenamed({"node": "rep"})
     several = reps.join(roots, "rep", "left").filter("n > 1 OR root IS NOT NULL").select(
         "h1", "h2", F.coalesce("root", "rep").alias("root"))
     placed = kept(signed.drop("bands").join(several, ["h1", "h2"]), "repeats")
