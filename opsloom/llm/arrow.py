@@ -61,6 +61,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_STRETCH = 1 << 17
+
+
 class SpanHasher:
     """Hashes of many spans of one array by prefix sums of a polynomial."""
 
@@ -80,8 +83,18 @@ class SpanHasher:
                 setattr(self, name, np.multiply.accumulate(table))
 
     def __call__(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        self._grow(len(symbols) + 1)
-        sums = np.zeros(len(symbols) + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * self.up[:len(symbols)], out=sums[1:])
-            return mix((sums[ends] - sums[starts]) * self.down[starts])
+        """Hashes of symbols[starts[i]:ends[i]]; starts and ends ascend."""
+        out = np.zeros(len(starts), np.uint64)
+        low = 0
+        while low < len(starts):      # a stretch of symbols at a time, so that tables stay small
+            base = int(starts[low])
+            high = max(low + 1, int(np.searchsorted(starts, base + _STRETCH)))
+            part = symbols[base:int(ends[high - 1])]
+            self._grow(len(part) + 1)
+            sums = np.zeros(len(part) + 1, np.uint64)
+            with np.errstate(over="ignore"):
+                np.cumsum((part.astype(np.uint64) + np.uint64(1)) * self.up[:len(part)], out=sums[1:])
+                begin = starts[low:high] - base
+                out[low:high] = mix((sums[ends[low:high] - base] - sums[begin]) * self.down[begin])
+            low = high
+        return out
