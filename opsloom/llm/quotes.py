@@ -54,7 +54,7 @@ def passages(lines: Column) -> Column:
     def of_level(level: Column) -> Column:
         each = F.transform(lines, lambda x: F.when(x["level"] == level, normal_form(x["line"])).otherwise(F.lit("")))
         marked = F.array_join(F.transform(each, lambda s: F.when(s == "", F.lit(_BREAK)).otherwise(s)), " ")
-        paragraphs = F.transform(F.split(marked, _BREAK), F.trim)
+        paragraphs = F.transform(F.split(marked, _BREAK), lambda s: F.trim(s))
         found = F.filter(F.array_distinct(F.concat(paragraphs, each)), lambda s: s != "")
         return F.transform(found, lambda s: F.struct(level.alias("level"), s.alias("form")))
 

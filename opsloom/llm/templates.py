@@ -181,7 +181,7 @@ def template_candidates(root: Node) -> set[int]:
     for node, entered in _walk(root):
         if node.tag in ARTICLE:
             inside += 1 if entered else -1
-        elif (entered and node.chars and node.chars <= TEMPLATE_CHARS
+        elif (entered and node.chars and node.chars <= TEMPLATE_CHARS and node.tag not in INLINE
               and node.tag not in ("#page", "html", "head", "body", "title") and (not inside or node.tag in BOXES)):
             found.add(node.key)
     return found

@@ -170,7 +170,7 @@ def _search(block, k: int, centre: np.ndarray, turn: np.ndarray):
                     _score(best, rows, row_norms, queries, norms, top.reshape(-1),
                            np.tile(np.arange(len(queries)), n), first[low:low + step])
                     upper[top, np.arange(len(queries))] = -np.inf
-                at, query = np.nonzero(upper >= best.score[:, -1][None, :] - 1e-6)
+                at, query = np.nonzero((upper >= best.score[:, -1][None, :] - 1e-6) & np.isfinite(upper))
                 for a in range(0, len(at), 500_000):
                     _score(best, rows, row_norms, queries, norms, at[a:a + 500_000], query[a:a + 500_000],
                            first[low:low + step])
