@@ -46,7 +46,7 @@ _STEPS = (
 
 
 def sessions(t: Tables) -> DataFrame:
-    wide = t.derive(WIDE.replace("{orders}", "{wide_orders}"), wide_orders=t.spread("orders"))
+    wide = t.derive(WIDE.replace("{orders}", "{wide_orders}"), wide_orders=t.orders)
     answers = [
         F.struct(
             F.lit(step).alias("step_id"),

@@ -36,7 +36,7 @@ SELECT page_id, len(regexp_extract_all(body, '(?i)<a\\b'))::BIGINT AS anchor_cou
  length(html)::BIGINT AS body_html_length, len(lines)::BIGINT AS n_lines FROM l
 """)
 def page_metrics(t: Tables):
-    out = ib.page_metrics(t.spread("pages"))
+    out = ib.page_metrics(t.pages)
     return out.select("page_id", *[F.col(c).cast("long").alias(c) for c in out.columns[1:]])
 
 
@@ -46,7 +46,7 @@ d AS (SELECT page_id, substr(s, 1, 120) AS chunk, min(p) AS p FROM c GROUP BY AL
 SELECT page_id, chunk, r AS position FROM (SELECT page_id, chunk, row_number() OVER (PARTITION BY page_id ORDER BY p) AS r FROM d) WHERE r <= 20
 """)
 def page_text_chunks(t: Tables):
-    return t.spread("pages").select("page_id", F.posexplode(hx.text_chunks(hx.body(F.col("html")))).alias("p", "chunk")).select(
+    return t.pages.select("page_id", F.posexplode(hx.text_chunks(hx.body(F.col("html")))).alias("p", "chunk")).select(
         "page_id", "chunk", (F.col("p") + 1).cast("long").alias("position"))
 
 
@@ -59,7 +59,7 @@ d AS (SELECT page_id, text, href, min(p) AS p FROM f WHERE text || href <> '' GR
 SELECT page_id, text, href, r AS position FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY p) AS r FROM d) WHERE r <= 20
 """)
 def page_links(t: Tables):
-    return t.spread("pages").select("page_id", F.posexplode(hx.elements(hx.body(F.col("html")), "a", 20)).alias("p", "e")).select(
+    return t.pages.select("page_id", F.posexplode(hx.elements(hx.body(F.col("html")), "a", 20)).alias("p", "e")).select(
         "page_id", "e.text", "e.href", (F.col("p") + 1).cast("long").alias("position"))
 
 
@@ -73,7 +73,7 @@ h AS (SELECT *, list_filter({sql_list(_PAGE_WORDS)}, lambda k: len(list_filter(l
 SELECT page_id, (len(links) > 0)::INT AS has_links, (len(buttons) > 0)::INT AS has_buttons, layer::INT AS layer FROM h
 """)
 def page_flags(t: Tables):
-    found = ib.inspect_pages(t.spread("pages"), _PAGE_WORDS)
+    found = ib.inspect_pages(t.pages, _PAGE_WORDS)
     return found.select(
         "page_id", (F.size("links") > 0).cast("int").alias("has_links"),
         (F.size("buttons") > 0).cast("int").alias("has_buttons"), F.col("layer").cast("int").alias("layer"))
@@ -81,7 +81,7 @@ def page_flags(t: Tables):
 
 @query("page_onboarding")
 def page_onboarding(t: Tables):
-    out = ib.onboarding(t.spread("pages"), _PAGE_WORDS)
+    out = ib.onboarding(t.pages, _PAGE_WORDS)
     return out.select("page_id", F.array_join("matched_keywords", "|").alias("hits"),
                       F.size("matched_buttons").alias("n_buttons"), "detected")
 
@@ -95,7 +95,7 @@ def question_items(t: Tables):
     link = F.struct(F.concat(F.lit("Ver artículo "), "conv_id").alias("text"),
                     F.concat(F.lit("https://articulo.mercadolibre.com/"), "conv_id").alias("href"))
     links = F.when(n < 2, F.array(link)).otherwise(F.slice(F.array(link), 1, 0))
-    return t.spread("conversations").where("role = 'user'").select(
+    return t.conversations.where("role = 'user'").select(
         "conv_id", "turn", F.concat_ws("\n", head, "text", tail).alias("raw_text"), links.alias("links"),
         F.when(n == 0, text_array(["Responder"])).otherwise(F.array().cast("array<string>")).alias("cta_texts"),
         F.when(n == 5, text_array(["Pendiente"])).otherwise(F.array().cast("array<string>")).alias("status_texts"))
@@ -132,7 +132,7 @@ def _drafts(t: Tables):
     tail = (F.when(n == 0, " ¿Va para mi auto, LED H7?").when(n == 1, " es plug and play el compresor")
             .when(n == 2, " hay stock? llega mañana").when(n == 3, " cuánto dura")
             .when(n == 4, " alumbra bien y va para camioneta").when(n == 5, " no sé qué ficha lleva").otherwise(""))
-    return t.spread("conversations").where("role = 'user'").select("conv_id", "turn", F.concat("text", tail).alias("body"))
+    return t.conversations.where("role = 'user'").select("conv_id", "turn", F.concat("text", tail).alias("body"))
 
 
 def _case(rules, form: str) -> str:
@@ -181,7 +181,7 @@ SELECT conv_id, turn, array_to_string(list_filter([{', '.join(
  coalesce({_case(TAG_RULES, 'form')}, 'none') AS main_tag FROM f
 """)
 def comment_tags(t: Tables):
-    return t.spread("conversations").select(
+    return t.conversations.select(
         "conv_id", "turn", F.array_join(ib.all_rules(F.col("text"), TAG_RULES), "|").alias("tags"),
         F.coalesce(ib.best_rule(F.col("text"), TAG_RULES), F.lit("none")).alias("main_tag"))
 
@@ -195,7 +195,7 @@ FROM conversations WHERE role = 'user'
 """)
 def offer_route(t: Tables):
     topic = F.get(text_array([*_TOPICS, "otro"]), (F.col("conv_id") % 8).cast("int"))
-    return t.spread("conversations").where("role = 'user'").select(
+    return t.conversations.where("role = 'user'").select(
         "conv_id", "turn", F.coalesce(lookup(topic, dict(fv.OFFER_ROUTES)), F.lit("humano")).alias("next_offer"))
 
 

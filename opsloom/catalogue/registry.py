@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsloom.operators.settle import spread_small
 from opsloom.session import TABLES, load_tables
 
 
@@ -28,10 +27,6 @@ class Tables:
         used = {name: self._tables[name] for name in TABLES if "{" + name + "}" in sql}
         return self.spark.sql(sql, **used, **frames)
 
-    def spread(self, name: str) -> DataFrame:
-        """A table for heavy row work: on every core even when its file is small."""
-        return spread_small(self._tables[name])
-
 
 @dataclass(frozen=True)
 class Query:

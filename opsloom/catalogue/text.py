@@ -62,7 +62,7 @@ FROM documents
 """)
 def text_normalise(t: Tables):
     body = F.col("text")
-    return t.spread("documents").select(
+    return t.documents.select(
         "doc_id",
         tx.clean(body).alias("cleaned"),
         tx.match_form(body).alias("match_form"),
@@ -102,7 +102,7 @@ FROM forms
 """)
 def text_keywords(t: Tables):
     lines = tx.visible_lines(F.col("text"))
-    return settle(t.spread("conversations"), {"v": lines}).select(
+    return settle(t.conversations, {"v": lines}).select(
         "conv_id", "turn",
         F.array_join(tx.keyword_hits(F.col("v"), _KEYS), "|").alias("hits"),
         tx.first_text_match(F.col("v"), ("die", "que")).alias("first_match"),
@@ -303,26 +303,21 @@ def vector_text_roundtrip(t: Tables):
 
 
 def label_rows() -> list[tuple[str, str, str, str]]:
-    rows = []
-    for domain, key, es, en in fv.LABELS:
-        rows += [(domain, key, "es", es), (domain, key, "en", en)]
-        if (domain, key) in fv.LABELS_HE:
-            rows.append((domain, key, "he", fv.LABELS_HE[(domain, key)]))
-    return rows
+    return [(domain, key, locale, text) for domain, keys in fv.LABELS.items()
+            for key, texts in keys.items() for locale, text in zip(fv.LOCALES, texts)]
 
 
 def sql_values(rows) -> str:
     return ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows)
 
 
-@query("label_lookup", f"""
-WITH l(domain, key, locale, label) AS (VALUES {sql_values(label_rows())}),
-d AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'en' WHEN 'de' THEN 'he' ELSE 'es' END AS locale,
-  CASE doc_id % 6 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' WHEN 3 THEN 'needs_validation'
-    WHEN 4 THEN 'not_recommended' ELSE 'other' END AS key FROM documents)
-SELECT d.doc_id, coalesce(a.label, b.label, d.key) AS label FROM d
-LEFT JOIN l a ON a.domain = 'feasibility' AND a.key = d.key AND a.locale = d.locale
-LEFT JOIN l b ON b.domain = 'feasibility' AND b.key = d.key AND b.locale = 'es'
+@query("label_lookup", """
+SELECT doc_id, CASE lang WHEN 'en' THEN CASE doc_id % 6 WHEN 0 THEN 'High' WHEN 1 THEN 'Medium' WHEN 2 THEN 'Low'
+    WHEN 3 THEN 'Needs validation' WHEN 4 THEN 'Not recommended' ELSE 'other' END
+  WHEN 'de' THEN CASE doc_id % 6 WHEN 0 THEN 'גבוהה' WHEN 1 THEN 'בינונית' WHEN 2 THEN 'נמוכה'
+    WHEN 3 THEN 'דרוש אימות' WHEN 4 THEN 'לא מומלץ' ELSE 'other' END
+  ELSE CASE doc_id % 6 WHEN 0 THEN 'Alta' WHEN 1 THEN 'Media' WHEN 2 THEN 'Baja'
+    WHEN 3 THEN 'Requiere validación' WHEN 4 THEN 'No recomendada' ELSE 'other' END END AS label FROM documents
 """)
 def label_lookup(t: Tables):
     from opsloom.plans.labels import with_label

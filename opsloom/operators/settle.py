@@ -16,14 +16,3 @@ def settle(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     kept = [c for c in df.columns if c not in columns]
     row = F.struct(*[value.alias(name) for name, value in columns.items()])
     return df.select(*kept, F.inline_outer(F.array(row)))
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Use every core for heavy row work on a scan of few splits.
-
-    Large tables come with more splits than cores and are returned as they
-    are; only a table too small to fill the cluster is moved, which is cheap.
-    Meant for plain scans, whose split count is known without running a job.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

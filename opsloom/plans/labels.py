@@ -29,16 +29,20 @@ def with_label(rows: DataFrame, labels: DataFrame, domain: str, key: str = "key"
     return joined.withColumn("label", F.coalesce(own, spanish, F.col(key))).drop("_k", "_texts")
 
 
+def unknown_label(domain: str, key: Column) -> Column:
+    """What is shown for a key that the domain does not have."""
+    return F.replace(key, F.lit("_"), F.lit(" ")) if domain in fv.SPACED_DOMAINS else key
+
+
 def fixed_label(domain: str, key: Column, locale: Column) -> Column:
     """The same lookup as an expression over the fixed label table."""
-    out = None
-    for dom, word, es, en in fv.LABELS:
-        if dom != domain:
-            continue
-        he = fv.LABELS_HE.get((dom, word), es)
-        text = F.when(locale == "en", en).when(locale == "he", he).otherwise(es)
-        out = F.when(key == word, text) if out is None else out.when(key == word, text)
-    return out.otherwise(key)
+    texts = fv.LABELS[domain]
+    chosen = [
+        F.try_element_at(F.create_map(*[F.lit(x) for word, each in texts.items() for x in (word, each[n])]), key)
+        for n in range(len(fv.LOCALES))
+    ]
+    shown = F.when(locale == "en", chosen[1]).when(locale == "he", chosen[2]).otherwise(chosen[0])
+    return F.coalesce(shown, unknown_label(domain, key))
 
 
 def _joined_labels(domain: str, text: Column, locale: Column) -> Column:
@@ -51,35 +55,11 @@ def _joined_labels(domain: str, text: Column, locale: Column) -> Column:
     )
 
 
-# Phrase templates: pattern, then text per locale with {n} for group n.
-_PHRASES = (
-    (r"^receive inquiries from (.+)$", ("channel*",),
-     {"es": "recibir consultas desde {0}", "en": "receive inquiries from {0}",
-      "he": "קבלת פניות מ{0}"}),
-    (r"^retrieve (.+) from (.+)$", ("entity", "system"),
-     {"es": "consultar {0} desde {1}", "en": "retrieve {0} from {1}",
-      "he": "שליפת {0} מתוך {1}"}),
-    (r"^confirm (.+) integration method for (.+)$", ("system", "entity"),
-     {"es": "confirmar método de integración de {0} para {1}",
-      "en": "confirm {0} integration method for {1}",
-      "he": "לאשר שיטת אינטגרציה של {0} עבור {1}"}),
-    (r"^validate (.+) access, then design the (.+) response flow with approval rules$",
-     ("system*", "channel*"),
-     {"es": "validar acceso a {0} y luego diseñar el flujo de respuesta para {1} con reglas de aprobación",
-      "en": "validate {0} access, then design the {1} response flow with approval rules",
-      "he": "לאמת גישה ל{0}, ואז לתכנן את זרימת המענה עבור {1} עם כללי אישור"}),
-    (r"^validate (.+) access, then design the (.+) response flow$", ("system*", "channel*"),
-     {"es": "validar acceso a {0} y luego diseñar el flujo de respuesta para {1}",
-      "en": "validate {0} access, then design the {1} response flow",
-      "he": "לאמת גישה ל{0}, ואז לתכנן את זרימת המענה עבור {1}"}),
-)
-
-
 def translate_phrase(phrase: Column, locale: Column) -> Column:
     """Known step phrases in the wanted locale; others are returned unchanged."""
     lang = normal_locale(locale)
     out = None
-    for pattern, domains, texts in _PHRASES:
+    for pattern, domains, texts in fv.PHRASES:
         groups = []
         for n, domain in enumerate(domains, start=1):
             part = F.regexp_extract(phrase, pattern, n)
@@ -101,6 +81,10 @@ def translate_phrase(phrase: Column, locale: Column) -> Column:
         )
         test = phrase.rlike(pattern)
         out = F.when(test, shown) if out is None else out.when(test, shown)
+    whole = {word: each for domain in fv.PHRASE_DOMAINS for word, each in fv.LABELS[domain].items()}
+    for n, name in enumerate(fv.LOCALES):
+        known = F.create_map(*[F.lit(x) for word, each in whole.items() for x in (word, each[n])])
+        out = out.when(lang == name, F.coalesce(F.try_element_at(known, phrase), phrase))
     return out.otherwise(phrase)
 
 

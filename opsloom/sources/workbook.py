@@ -1,18 +1,20 @@
 """Spreadsheet files to sparse cells, many files at a time.
 
 Spark lists the files and spreads them over tasks; inside a task one small
-function unpacks a file. The result is a long cell table that SQL pivots.
+function streams through a file, a row of cells at a time. The result is a long
+cell table that SQL pivots.
 """
 
 from __future__ import annotations
 
 import io
-import re
-import xml.etree.ElementTree as ET
+import posixpath
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
+from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,53 +22,125 @@ from opsloom import fixed_values as fv
 from opsloom.functions import text as tx
 
 CELLS = "path string, sheet string, dimension string, row int, col string, ref string, value string, formula string"
-_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-
-
-def _text(node: ET.Element | None) -> str:
-    return "" if node is None else "".join(t.text or "" for t in node.iter(f"{_MAIN}t"))
-
-
-def _cells(path: str, content: bytes) -> Iterator[tuple]:
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
-        names = set(book.namelist())
-        shared: list[str] = []
-        if "xl/sharedStrings.xml" in names:
-            shared = [_text(si) for si in ET.fromstring(book.read("xl/sharedStrings.xml")).findall(f"{_MAIN}si")]
-        targets = {r.attrib["Id"]: r.attrib["Target"]
-                   for r in ET.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
-        for sheet in ET.fromstring(book.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"):
-            target = targets[sheet.attrib[_REL]]
-            member = target[1:] if target.startswith("/") else "xl/" + target
-            root = ET.fromstring(book.read(member))
-            size = root.find(f"{_MAIN}dimension")
-            dimension = "" if size is None else size.attrib.get("ref", "")
-            for row in root.iter(f"{_MAIN}row"):
-                for cell in row.findall(f"{_MAIN}c"):
-                    kind, ref = cell.attrib.get("t"), cell.attrib.get("r", "")
-                    formula = cell.findtext(f"{_MAIN}f") or ""
-                    raw = cell.findtext(f"{_MAIN}v") or ""
-                    inline = cell.find(f"{_MAIN}is")
-                    if kind == "inlineStr" and inline is not None:
-                        raw = _text(inline)
-                    elif kind == "s" and raw.isdigit() and int(raw) < len(shared):
-                        raw = shared[int(raw)]
-                    if raw or formula:
-                        yield (path, sheet.attrib["name"], dimension, int(row.attrib["r"]),
-                               re.sub(r"\d+", "", ref), ref, raw, formula)
-
-
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [c.split()[0] for c in CELLS.split(", ")]
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            yield pd.DataFrame(_cells(path, content), columns=columns)
+#: Cells that leave a task in one batch.
+BATCH = 20_000
+
+
+def _name(tag: str) -> str:
+    return tag.rpartition("}")[2]
+
+
+def _events(book: zipfile.ZipFile, member: str, *tags: str) -> Iterator[tuple[str, ElementTree.Element]]:
+    """Finished elements of the wanted names; each is emptied after use."""
+    with book.open(member) as stream:
+        for _, element in ElementTree.iterparse(stream):
+            name = _name(element.tag)
+            if name in tags:
+                yield name, element
+                element.clear()
+
+
+def _letters(number: int) -> str:
+    """Column letters of a column number counted from 1."""
+    out = ""
+    while number:
+        number, rest = divmod(number - 1, 26)
+        out = chr(65 + rest) + out
+    return out
+
+
+def _number(letters: str) -> int:
+    out = 0
+    for letter in letters:
+        out = out * 26 + ord(letter) - 64
+    return out
+
+
+@dataclass
+class _Book:
+    """One open workbook: its string pool and where its sheets are."""
+
+    file: zipfile.ZipFile
+    pool: list[str]
+    sheets: list[tuple[str, str]]
+
+    @classmethod
+    def open(cls, content: bytes) -> _Book:
+        file = zipfile.ZipFile(io.BytesIO(content))
+        pool = []
+        if "xl/sharedStrings.xml" in file.namelist():
+            for _, item in _events(file, "xl/sharedStrings.xml", "si"):
+                pool.append(_plain(item))
+        places = {e.get("Id"): posixpath.normpath(posixpath.join("/xl", e.get("Target", "")))[1:]
+                  for _, e in _events(file, "xl/_rels/workbook.xml.rels", "Relationship")}
+        sheets = []
+        for _, e in _events(file, "xl/workbook.xml", "sheet"):
+            link = next((v for k, v in e.attrib.items() if k.startswith("{") and _name(k) == "id"), None)
+            if link in places:
+                sheets.append((e.get("name", ""), places[link]))
+        return cls(file, pool, sheets)
+
+    def cells(self) -> Iterator[tuple]:
+        for sheet, member in self.sheets:
+            dimension, line = "", 0
+            for name, element in _events(self.file, member, "dimension", "row"):
+                if name == "dimension":
+                    dimension = element.get("ref", "")
+                    continue
+                line = int(element.get("r") or line + 1)
+                column = 0
+                for cell in element:
+                    ref = cell.get("r") or f"{_letters(column + 1)}{line}"
+                    letters = ref.rstrip("0123456789")
+                    column = _number(letters)
+                    value, formula = self._content(cell)
+                    if value or formula:
+                        yield sheet, dimension, line, letters, ref, value, formula
+
+    def _content(self, cell: ElementTree.Element) -> tuple[str, str]:
+        parts = {_name(part.tag): part for part in cell}
+        held = {name: (part.text or "") for name, part in parts.items()}
+        value = held.get("v", "")
+        kind = cell.get("t", "n")
+        if kind == "inlineStr" and "is" in parts:
+            value = _plain(parts["is"])
+        elif kind == "s" and value.isdigit():
+            place = int(value)
+            value = self.pool[place] if place < len(self.pool) else value
+        return value, held.get("f", "")
+
+
+def _plain(item: ElementTree.Element) -> str:
+    """Text of a rich or plain string, its runs joined."""
+    return "".join(part.text or "" for part in item.iter() if _name(part.tag) == "t")
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [("path", pa.string()), ("sheet", pa.string()), ("dimension", pa.string()), ("row", pa.int32()),
+             ("col", pa.string()), ("ref", pa.string()), ("value", pa.string()), ("formula", pa.string())]
+    held: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        columns = list(zip(*held))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], [n for n, _ in kinds])
+
+    for files in batches:
+        for path, content in zip(files.column(0).to_pylist(), files.column(1)):
+            for cell in _Book.open(content.as_py()).cells():
+                held.append((path, *cell))
+                if len(held) == BATCH:
+                    yield batch()
+                    held.clear()
+    if held:
+        yield batch()
 
 
 def workbook_cells(files: DataFrame) -> DataFrame:
-    """Cells of workbooks given as (path, content); empty cells are dropped."""
-    return files.select("path", "content").mapInPandas(_read, CELLS)
+    """Cells of workbooks given as (path, content); empty cells are dropped.
+
+    A row or cell without a reference stands after the one before it.
+    """
+    return files.select("path", "content").mapInArrow(_read, CELLS)
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
