@@ -189,14 +189,16 @@ def template_candidates(root: Node) -> set[int]:
 
 def main_root(root: Node) -> Node:
     """The article with most text, else the page."""
-    best = None
-    dropped = 0
-    for node, entered in _walk(root):
-        if is_frame(node):
-            dropped += 1 if entered else -1
-        elif entered and not dropped and node.tag in ARTICLE and (best is None or node.chars > best.chars):
-            best = node
-    return best or root
+    found: list[Node] = []
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node.tag in ARTICLE:
+            found.append(node)
+        stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and not is_frame(c))
+    if len(found) > 1 and not root.key:
+        hash_subtrees(root)
+    return max(found, key=lambda n: n.chars) if found else root
 
 
 def main_text(root: Node, template: set[int] | frozenset[int] = frozenset()) -> str:
@@ -245,7 +247,8 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page in batch.column(2).to_pylist():
             root = parse(page or "")
             hash_subtrees(root)
-            texts.append(xxhash.xxh64(main_text(root)).intdigest() - (1 << 63))
+            start = main_root(root)
+            texts.append(start.key if start is not root else xxhash.xxh64(main_text(root)).intdigest() - (1 << 63))
             found.append(sorted(template_candidates(root)))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
@@ -257,7 +260,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for page, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             root = parse(page or "")
-            hash_subtrees(root)
+            if template:
+                hash_subtrees(root)
             texts.append(main_text(root, set(template or ())))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
