@@ -57,8 +57,7 @@ SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN props END IGNOR
 def carry_forward(t: Tables):
     rows = t.events.select("user_id", "event_id", "ts", "event_type", "props")
     source = F.when(F.col("event_type") == "signup", F.col("props"))
-    # A small target forces segments here too, so the carry is exercised.
-    return kpi.carried_field(rows, "user_id", "ts", "event_id", source, "lead_source", target_rows=50).select(
+    return kpi.carried_field(rows, "user_id", "ts", "event_id", source, "lead_source").select(
         "event_id", "lead_source")
 
 
@@ -71,7 +70,7 @@ _SALES = plain(SALES).replace("date_format(o_orderdate, 'yyyy-MM')", "strftime(o
 
 @query("kpi_rollup", f"WITH s AS ({_SALES})" + """
 SELECT month, advisor, sum(price)::DOUBLE AS revenue, count(*)::BIGINT AS closes,
- CASE WHEN month IS NULL THEN 'all' WHEN advisor IS NULL THEN 'team' ELSE 'member' END AS level FROM s GROUP BY ROLLUP (month, advisor)
+ CASE GROUPING(month, advisor) WHEN 0 THEN 'member' WHEN 1 THEN 'team' ELSE 'all' END AS level FROM s GROUP BY ROLLUP (month, advisor)
 """)
 def kpi_rollup(t: Tables):
     # Members are summed first, so the rollup expands totals and not order lines.

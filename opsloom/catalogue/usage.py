@@ -160,7 +160,7 @@ SELECT event_id, date_diff('microsecond', ts, nx.ts) // 1000000 AS response_s FR
 def response_seconds(t: Tables):
     rows = t.events.select("user_id", "event_id", "ts", "event_type")
     out = us.response_times(rows, "user_id", "ts", "event_id", F.col("event_type") == "view",
-                            F.col("event_type") == "click", target_rows=50)
+                            F.col("event_type") == "click")
     return out.select("event_id", "response_s")
 
 

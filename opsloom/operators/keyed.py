@@ -9,6 +9,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join on keys that may be NULL: NULL meets NULL. Key columns come from the left."""
+    renamed = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    test = None
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col(f"_same_{k}"))
+        test = same if test is None else test & same
+    joined = left.join(renamed, test, how)
+    return joined if how in ("left_anti", "left_semi") else joined.drop(*[f"_same_{k}" for k in keys])
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Newest row per key by the order columns.
 
@@ -45,15 +56,20 @@ def dedupe_ordered(df: DataFrame, scope: Sequence[str], fields: Sequence[str],
     return first_n(firsts, scope, [F.col(position)], cap, "_n").select(*df.columns)
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``new`` replace rows of ``old`` with the same key.
+def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The last row per key by ``order``, then by all other columns."""
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    return latest_per_key(df, keys, [*order, *rest]) if order or rest else df.distinct()
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``new`` replace rows of ``old`` with the same key; of several new ones the last stays.
 
-    Both sides hold one row per key, so this is an anti join plus a union:
-    no window, and the old side is shuffled once at most.
+    Last means by ``order``, then by the other columns. A key may hold NULLs.
+    No window, and the old side is shuffled once at most.
     """
-    return old.join(new.select(*keys), list(keys), "left_anti").unionByName(
-        new, allowMissingColumns=True
-    )
+    last = one_per_key(new, keys, order)
+    return join_same(old, last.select(*keys), keys, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
 def replace_children(old: DataFrame, new: DataFrame, parent_key: str,
@@ -63,9 +79,9 @@ def replace_children(old: DataFrame, new: DataFrame, parent_key: str,
     return old.join(parents, parent_key, "left_anti").unionByName(new)
 
 
-def insert_absent(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Existing rows plus the new ones whose key is not there yet."""
-    fresh = new.join(existing.select(*keys), list(keys), "left_anti")
+def insert_absent(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Existing rows plus one of the new ones for each key that is not there yet."""
+    fresh = join_same(one_per_key(new, keys, order), existing.select(*keys), keys, "left_anti")
     return existing.unionByName(fresh, allowMissingColumns=True)
 
 

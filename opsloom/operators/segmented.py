@@ -1,10 +1,11 @@
 """Ordered scans over long histories without one task per key.
 
 A plain window over (key ORDER BY time) sends a whole key to one task. Here a
-key is first cut into time segments. Each (key, segment) is scanned on its own,
-one summary row per segment carries the state across segments, and the two
-meet again in an equi join. Results equal those of the plain window; only the
-summaries of a key, a few rows, ever share a task.
+key with more rows than a target is first cut into segments at quantiles of its
+own times, so a burst is cut as well. Each (key, segment) is scanned on its
+own, one summary row per segment carries the state across segments, and the two
+meet again in an equi join. Results equal those of the plain window, rows with
+NULL keys or times included; only a key's summaries ever share a task.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from opsloom.operators.keyed import join_same
+from opsloom.session import cut_lineage
+
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
@@ -23,24 +27,21 @@ def micros(ts: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, {ts})")
 
 
-def time_segment(ts: str, seconds: int) -> Column:
-    return F.floor(micros(ts) / F.lit(seconds * 1_000_000)).cast("long")
-
+def with_segments(df: DataFrame, keys: Sequence[str], ts: str, out: str = "_seg",
+                  target_rows: int = 2_000_000, parts: int = 256) -> DataFrame:
+    """Add the segment of each row: 0 for keys of up to ``target_rows`` rows.
 
-def segment_seconds(df: DataFrame, keys: Sequence[str], ts: str,
-                    target_rows: int = 2_000_000) -> int:
-    """Segment width that keeps the busiest key near ``target_rows`` a segment.
-
-    One aggregate, one row back to the driver.
+    The quantiles of busier keys, few rows, are saved: any cut gives the same
+    results, but every use has to see the same one. Rows without time are first.
     """
-    per_key = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min(micros(ts)).alias("lo"), F.max(micros(ts)).alias("hi")
-    )
-    top = per_key.agg(F.max(F.struct("n", (F.col("hi") - F.col("lo")).alias("span"))).alias("m"))
-    row = top.first()["m"]
-    if row is None or row["n"] <= target_rows:
-        return 10 * 366 * 86_400
-    return max(1, int(row["span"] / 1_000_000 * target_rows / row["n"]))
+    at = micros(ts)
+    busy = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > target_rows)
+    cuts = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    bounds = cut_lineage(
+        join_same(df, busy, keys).groupBy(*keys).agg(F.percentile_approx(at, cuts).alias("_cuts")))
+    segment = F.when(at.isNull(), -1).otherwise(
+        F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<bigint>")), lambda c: c < at)))
+    return join_same(df, bounds, keys, "left").withColumn(out, segment).drop("_cuts")
 
 
 def _carry(df: DataFrame, keys: Sequence[str], seg: str, order: Sequence[str], value: Column,
@@ -60,7 +61,7 @@ def _carry(df: DataFrame, keys: Sequence[str], seg: str, order: Sequence[str], v
         .agg(pick("_v", known).alias("_edge"))
     )
     # Every segment needs the carry of the ones before it, even if it has no value.
-    spans = marked.select(*keys, seg).distinct().join(edges, [*keys, seg], "left")
+    spans = join_same(marked.select(*keys, seg).distinct(), edges, [*keys, seg], "left")
     carried = spans.select(
         *keys, seg,
         F.last("_edge", ignorenulls=True)
@@ -68,8 +69,7 @@ def _carry(df: DataFrame, keys: Sequence[str], seg: str, order: Sequence[str], v
         .alias("_in"),
     ).where(F.col("_in").isNotNull())
     return (
-        marked.withColumn("_local", local)
-        .join(carried, [*keys, seg], "left")
+        join_same(marked.withColumn("_local", local), carried, [*keys, seg], "left")
         .withColumn(out, F.coalesce("_local", "_in"))
         .drop("_v", "_local", "_in")
     )
@@ -105,8 +105,7 @@ def running_count(df: DataFrame, keys: Sequence[str], seg: str, order: Sequence[
         ).alias("_before"),
     )
     return (
-        flagged.withColumn("_local", local)
-        .join(before, [*keys, seg])
+        join_same(flagged.withColumn("_local", local), before, [*keys, seg])
         .withColumn(out, F.col("_local") + F.col("_before"))
         .drop("_f", "_local", "_before")
     )

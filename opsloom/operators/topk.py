@@ -23,94 +23,94 @@ def top_k(scored: DataFrame, order: Sequence[Column], k: int, rank: str = "rank_
     return first_n(best.withColumn("_all", F.lit(1)), ["_all"], order, k, rank).drop("_all")
 
 
-def _merge(best_d: np.ndarray, best_i: np.ndarray, dist: np.ndarray, ids: np.ndarray, k: int):
-    """Keep the k nearest per query; equal distances go to the larger id."""
-    d = np.concatenate([best_d, dist], axis=1)
-    i = np.concatenate([best_i, np.broadcast_to(ids, dist.shape)], axis=1)
-    order = np.lexsort((-i, d), axis=1)[:, :k]
-    return np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-
-
-def _unit(rows: pd.Series) -> np.ndarray:
-    m = np.stack(rows.to_numpy()).astype(np.float64)
-    lengths = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return m / np.where(lengths == 0, np.nan, lengths)
-
-
-def _scan(batches: Iterator[pd.DataFrame], qid: np.ndarray, q: np.ndarray, k: int) -> pd.DataFrame:
-    best_d = np.empty((len(qid), 0))
-    best_i = np.empty((len(qid), 0), dtype=np.int64)
-    for pdf in batches:
-        if len(pdf):
-            dist = 1.0 - q @ _unit(pdf["vec"]).T
-            best_d, best_i = _merge(best_d, best_i, dist, pdf["id"].to_numpy(np.int64), k)
-    width = best_d.shape[1]
-    out = pd.DataFrame({
-        "query_id": np.repeat(qid, width),
-        "id": best_i.ravel(),
-        "cosine_distance": best_d.ravel(),
-    })
-    return out[out["cosine_distance"].notna()]
-
-
-_OUT = "query_id long, id long, cosine_distance double"
-
-
-def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int,
-                 max_query_values: int = 4_000_000, shard_rows: int = 200_000) -> DataFrame:
+def _unit(rows: np.ndarray) -> np.ndarray:
+    lengths = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return rows / np.where(lengths == 0, np.nan, lengths)
+
+
+class _Nearest:
+    """The k nearest ids of each query of a block so far; equal distances go to the larger id."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = _unit(queries), k
+        self.distance = np.full((len(queries), k), np.inf)
+        self.ids = np.full((len(queries), k), None, object)
+
+    def add(self, vectors: np.ndarray, ids: np.ndarray) -> None:
+        step = max(1, TILE_CELLS // max(len(self.queries), 1))
+        for low in range(0, len(vectors), step):
+            self._tile(1.0 - self.queries @ _unit(vectors[low:low + step]).T, ids[low:low + step])
+
+    def _tile(self, distance: np.ndarray, ids: np.ndarray) -> None:
+        distance = np.where(np.isnan(distance), np.inf, distance)
+        bound = self.distance[:, -1]
+        if distance.shape[1] > self.k:
+            bound = np.minimum(bound, np.partition(distance, self.k - 1, axis=1)[:, self.k - 1])
+        query, at = np.nonzero((distance <= bound[:, None]) & np.isfinite(distance))
+        if not len(query):
+            return
+        touched = np.unique(query)
+        old_query, old_at = np.nonzero(np.isfinite(self.distance[touched]))
+        owner = np.concatenate([touched[old_query], query])
+        score = np.concatenate([self.distance[touched][old_query, old_at], distance[query, at]])
+        names = np.concatenate([self.ids[touched][old_query, old_at], ids[at]])
+        rank = np.unique(names, return_inverse=True)[1]
+        order = np.lexsort((-rank, score, owner))
+        owner, score, names = owner[order], score[order], names[order]
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        first = place < self.k
+        self.distance[touched], self.ids[touched] = np.inf, None
+        self.distance[owner[first], place[first]] = score[first]
+        self.ids[owner[first], place[first]] = names[first]
+
+
+#: Distances worked out at once by a task (queries x rows).
+TILE_CELLS = 2_000_000
+
+
+def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int, block_values: int = 2_000_000) -> DataFrame:
     """Exact cosine top-k of ``corpus(id, vec)`` for each ``queries(query_id, vec)``.
 
-    Ordered by distance, then id descending. The number of query values is
-    counted first. Up to the bound, the queries travel with the tasks and the
-    corpus is never shuffled: each task returns k rows per query. Beyond it,
-    queries are cut into blocks and the corpus into shards, and each
-    (block, shard) pair is one bounded group. Either way tasks hold k
-    candidates per query and the final ranking sees only those.
+    Ordered by distance, then id descending; ids keep their types. Queries are
+    worked on in blocks of at most ``block_values`` numbers, so a block travels
+    with the tasks whatever the vectors' width. For each block the corpus is
+    scanned in place: a task works in tiles of bounded size and returns k rows
+    per query, and only those are shuffled.
     """
-    corpus = corpus.where(F.col("vec").isNotNull()).select(F.col("id").cast("long"), "vec")
-    queries = queries.where(F.col("vec").isNotNull()).select(
-        F.col("query_id").cast("long"), F.col("vec").alias("qvec")
-    )
+    corpus = corpus.where(F.col("vec").isNotNull()).select("id", "vec")
+    queries = queries.where(F.col("vec").isNotNull()).select("query_id", F.col("vec").alias("qvec"))
     size = queries.agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("qvec")), F.lit(0)).alias("dim")
     ).first()
     k = max(k, 1)
-    if size["n"] * size["dim"] <= max_query_values:
-        rows = queries.orderBy("query_id").toPandas()
-        qid = rows["query_id"].to_numpy(np.int64)
-        q = _unit(rows["qvec"]) if len(rows) else np.empty((0, 0))
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            if len(qid):
-                yield _scan(batches, qid, q, k)
-
-        partial = corpus.mapInPandas(scan, _OUT)
-    else:
-        per_block = max(1, max_query_values // max(size["dim"], 1))
-        blocks = math.ceil(size["n"] / per_block)
-        shards = max(1, math.ceil(corpus.count() / shard_rows))
-        each_shard = F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))
-        each_block = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
-        left = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
-            "_shard", F.explode(each_shard))
-        right = corpus.withColumn("_shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn(
-            "_block", F.explode(each_block))
-
-        def pair(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-            if qpdf.empty:
-                return pd.DataFrame({"query_id": [], "id": [], "cosine_distance": []})
-            return _scan(iter([cpdf]), qpdf["query_id"].to_numpy(np.int64), _unit(qpdf["qvec"]), k)
-
-        partial = (
-            left.groupBy("_block", "_shard")
-            .cogroup(right.groupBy("_block", "_shard"))
-            .applyInPandas(pair, _OUT)
-        )
+    blocks = max(1, math.ceil(size["n"] * size["dim"] / block_values))
+    out = T.StructType([queries.schema["query_id"], corpus.schema["id"], T.StructField("cosine_distance", T.DoubleType())])
+    partial = None
+    for block in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
+        found = corpus.mapInPandas(_scan([r["query_id"] for r in rows], [r["qvec"] for r in rows], k), out)
+        partial = found if partial is None else partial.unionByName(found)
     return first_n(
         partial, ["query_id"], [F.col("cosine_distance").asc(), F.col("id").desc()], k
     )
 
 
+def _scan(names: list, vectors: list, k: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not names:
+            return
+        best = _Nearest(np.array(vectors, np.float64), k)
+        for pdf in batches:
+            if len(pdf):
+                best.add(np.stack(pdf["vec"].to_numpy()).astype(np.float64), pdf["id"].to_numpy(object))
+        query, place = np.nonzero(np.isfinite(best.distance))
+        yield pd.DataFrame({
+            "query_id": [names[i] for i in query], "id": list(best.ids[query, place]),
+            "cosine_distance": best.distance[query, place]})
+
+    return run
+
+
 def centroids(vectors: DataFrame, group: str) -> DataFrame:
     """Mean vector per group: sums per (group, position) combine on the map side."""
     flat = vectors.select(group, F.posexplode("vec").alias("pos", "x"))
@@ -129,7 +129,3 @@ def reciprocal_rank_fusion(first: DataFrame, second: DataFrame, keys: Sequence[s
 
     both = first.select(*keys, first_rank).join(second.select(*keys, second_rank), list(keys), "full_outer")
     return both.withColumn("score_final", part(first_rank) + part(second_rank))
-
-
-VECTOR_SCHEMA = T.StructType([T.StructField("id", T.LongType()),
-                              T.StructField("vec", T.ArrayType(T.FloatType()))])

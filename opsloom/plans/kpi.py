@@ -60,21 +60,19 @@ def time_to_close(milestones: DataFrame) -> DataFrame:
 def carried_field(activity: DataFrame, key: str, ts: str, tie: str, value: Column, out: str,
                   target_rows: int = 2_000_000) -> DataFrame:
     """Last known value of a changing field at each activity."""
-    width = segmented.segment_seconds(activity, [key], ts, target_rows)
-    cut = activity.withColumn("_seg", segmented.time_segment(ts, width))
+    cut = segmented.with_segments(activity, [key], ts, "_seg", target_rows)
     return segmented.last_known(cut, [key], "_seg", [ts, tie], value, out).drop("_seg")
 
 
 def with_totals(rows: DataFrame, period: str, member: str, sums: Sequence[str]) -> DataFrame:
     """Per member, team total per period and grand total in one rollup."""
-    return rows.rollup(period, member).agg(*[F.sum(c).alias(c) for c in sums]).withColumn(
-        "level",
-        F.when(F.col(period).isNull(), "all").when(F.col(member).isNull(), "team").otherwise("member"))
+    level = F.when(F.grouping_id() == 0, "member").when(F.grouping_id() == 1, "team").otherwise("all")
+    return rows.rollup(period, member).agg(*[F.sum(c).alias(c) for c in sums], level.alias("level"))
 
 
-def ranking(totals: DataFrame, period: str, measure: str, target_rows: int = 1_000_000) -> DataFrame:
+def ranking(totals: DataFrame, period: str, measure: str, parts: int = 64) -> DataFrame:
     """Spreadsheet-style ranks per period, best and worst first."""
-    return competition_ranks(totals, period, measure, "rank_most", "rank_least", target_rows)
+    return competition_ranks(totals, period, measure, "rank_most", "rank_least", parts)
 
 
 def target_difference(results: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -136,11 +134,14 @@ def winners(posts: DataFrame, measures: DataFrame, hours: int = fv.WINNER_HOURS,
             views: int = fv.WINNER_VIEWS, interactions: int = fv.WINNER_INTERACTIONS) -> DataFrame:
     """Posts above a views or interactions bound within hours of posting.
 
-    Early measures are summed per post; posts then join one row each.
+    Measures are summed per post and time first, so a busy post moves one row
+    for each time; early ones are then summed per post.
     """
     early = F.expr(f"ts <= posted_at + INTERVAL '{hours}' HOUR AND ts >= posted_at")
+    each = measures.groupBy("post_id", "ts").agg(
+        F.sum("views").alias("views"), F.sum("interactions").alias("interactions"))
     sums = (
-        measures.join(posts.select("post_id", "posted_at"), "post_id").where(early)
+        each.join(posts.select("post_id", "posted_at"), "post_id").where(early)
         .groupBy("post_id").agg(F.sum("views").alias("views"), F.sum("interactions").alias("interactions"))
     )
     v, i = F.coalesce("views", F.lit(0)), F.coalesce("interactions", F.lit(0))

@@ -78,8 +78,7 @@ def latest_attempts(attempts: DataFrame, max_attempts: int) -> DataFrame:
 def failure_runs(events: DataFrame, key: str, ts: str, test: Column, tie: str,
                  at_least: int = 3, target_rows: int = 2_000_000) -> DataFrame:
     """Unbroken failure runs of a worker, by time."""
-    width = segmented.segment_seconds(events, [key], ts, target_rows)
-    cut = events.withColumn("_seg", segmented.time_segment(ts, width))
+    cut = segmented.with_segments(events, [key], ts, "_seg", target_rows)
     return segmented.runs_of(cut, [key], "_seg", [ts, tie], test, at_least)
 
 
@@ -98,8 +97,7 @@ def response_positions(turns: DataFrame, thread: str, position: str, role: str,
 def response_times(messages: DataFrame, thread: str, ts: str, tie: str, inbound: Column,
                    outbound: Column, target_rows: int = 2_000_000) -> DataFrame:
     """Seconds from each inbound message to the first outbound one after it."""
-    width = segmented.segment_seconds(messages, [thread], ts, target_rows)
-    cut = messages.withColumn("_seg", segmented.time_segment(ts, width))
+    cut = segmented.with_segments(messages, [thread], ts, "_seg", target_rows)
     found = segmented.next_known(cut, [thread], "_seg", [ts, tie],
                                  F.when(outbound, F.col(ts)), "replied_at")
     seconds = F.expr(f"timestampdiff(SECOND, {ts}, replied_at)")
