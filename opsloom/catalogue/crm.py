@@ -107,12 +107,12 @@ def target_diff(t: Tables):
 ADS = """
 SELECT date_format(l_shipdate, 'yyyy-MM') AS month, p_type AS source, sum(CAST(l_discount * l_quantity AS DECIMAL(18,2))) AS spend,
  count(*) AS clicks, sum(CAST(l_quantity AS BIGINT)) AS impressions FROM {lineitem} JOIN {part} ON p_partkey = l_partkey
- WHERE l_returnflag <> 'N' GROUP BY 1, 2
+ GROUP BY 1, 2
 """
 CRM = """
 SELECT date_format(o_orderdate, 'yyyy-MM') AS month, p_type AS source, count(*) AS leads,
  count(CASE WHEN l_linestatus = 'F' THEN 1 END) AS meetings, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS revenue
-FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey JOIN {part} ON p_partkey = l_partkey WHERE p_type <> 'PROMO' GROUP BY 1, 2
+FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey JOIN {part} ON p_partkey = l_partkey GROUP BY 1, 2
 """
 _ADS = plain(ADS).replace("date_format(l_shipdate, 'yyyy-MM')", "strftime(l_shipdate, '%Y-%m')").replace(
     "CAST(l_discount * l_quantity AS DECIMAL(18,2))", "CAST(l_discount * l_quantity AS DECIMAL(18,2))")
@@ -120,14 +120,14 @@ _CRM = plain(CRM).replace("date_format(o_orderdate, 'yyyy-MM')", "strftime(o_ord
 
 
 @query("ads_crm_outer", f"WITH a AS ({_ADS}), c AS ({_CRM})" + """
-SELECT month, source, spend::DOUBLE AS spend, clicks::BIGINT AS clicks, leads::BIGINT AS leads, round(spend::DOUBLE / nullif(leads, 0), 6) AS cpl,
- round(spend::DOUBLE / nullif(clicks, 0), 6) AS cpc, round(clicks::DOUBLE / nullif(impressions, 0), 6) AS ctr, round(spend::DOUBLE / nullif(meetings, 0), 6) AS cost_per_meeting
+SELECT month, source, spend::DOUBLE AS spend, clicks::BIGINT AS clicks, leads::BIGINT AS leads, spend::DOUBLE / nullif(leads, 0) AS cpl,
+ spend::DOUBLE / nullif(clicks, 0) AS cpc, clicks::DOUBLE / nullif(impressions, 0) AS ctr, spend::DOUBLE / nullif(meetings, 0) AS cost_per_meeting
 FROM a FULL JOIN c USING (month, source)
 """)
 def ads_crm_outer(t: Tables):
     rows = kpi.marketing_rates(kpi.ads_with_crm(t.derive(ADS), t.derive(CRM), ["month", "source"]))
     return rows.select("month", "source", F.col("spend").cast("double").alias("spend"), "clicks", "leads",
-                       *[F.round(c, 6).alias(c) for c in kpi.MARKETING_RATES])
+                       *kpi.MARKETING_RATES)
 
 
 @query("kpi_by_source", f"WITH a AS (SELECT source, sum(spend) AS spend, sum(clicks) AS clicks FROM ({_ADS}) GROUP BY 1), c AS (SELECT source, sum(leads) AS leads, sum(meetings) AS closes, sum(revenue) AS revenue FROM ({_CRM}) GROUP BY 1)" + """

@@ -10,6 +10,7 @@ from opsloom.catalogue.registry import Tables, plain, query
 from opsloom.catalogue.text import sql_list, sql_tokens
 from opsloom.operators.literals import text_array
 from opsloom.plans import diagnosis as dx
+from opsloom.session import cut_lineage
 
 # One row per session; options are comma-joined so both engines read the text.
 WIDE = """
@@ -70,9 +71,9 @@ def knowledge(t: Tables) -> DataFrame:
 
 
 def classified(t: Tables) -> DataFrame:
-    rows = sessions(t)
-    ready = dx.gate(dx.normalise_sessions(rows)).where("complete")
-    return dx.classify_sessions(rows, dx.knowledge_context(ready, knowledge(t)), "mock")
+    # Two steps read the gated sessions, so they are built once and kept.
+    ready = cut_lineage(dx.gate(dx.normalise_sessions(sessions(t))).where("complete"))
+    return dx.classify_ready(ready, dx.knowledge_context(ready, knowledge(t)), "mock")
 
 
 # The same rules in SQL, over the wide form.
@@ -159,15 +160,23 @@ k AS (SELECT *, CASE branch WHEN 'stop' THEN 'not_recommended' WHEN 'low' THEN C
 """
 
 
-@query("answers_normalise", f"WITH {_BASE}" + """
-SELECT session_id, 'systems_involved' AS step_id, array_to_string(sy, '|') AS selected, '' AS free_text, array_to_string(sy, ' ') AS normalized_text FROM n
-UNION ALL SELECT session_id, 'frequency_volume', array_to_string(fr, '|'), '', array_to_string(fr, ' ') FROM n
-UNION ALL SELECT session_id, 'process_to_automate', '', process, process FROM n
-""")
+def _step_sql(step: str, column: str, listed: bool) -> str:
+    text = f"array_to_string({column}, '|')" if listed else column
+    words = f"array_to_string({column}, ' ')" if listed else column
+    given = " WHERE skips_impact = 0" if step == "economic_impact" else ""
+    picked = step not in ("process_to_automate", "business_pain", "expected_result")
+    return (f"SELECT session_id, '{step}' AS step_id, {text if picked else chr(39) * 2} AS selected, "
+            f"{chr(39) * 2 if picked else column} AS free_text, {words} AS normalized_text FROM n{given}")
+
+
+@query("answers_normalise", f"WITH {_BASE}" + " UNION ALL ".join(_step_sql(*x) for x in (
+    ("process_to_automate", "process", False), ("business_pain", "pain", False), ("systems_involved", "sy", True),
+    ("frequency_volume", "fr", True), ("rules_clarity", "rules", False), ("human_dependency", "dependency", False),
+    ("access_security", "ac", True), ("data_sensitivity", "se", True), ("expected_result", "expected", False),
+    ("economic_impact", "impact", False))))
 def answers_normalise(t: Tables):
     rows = dx.answer_rows(dx.normalise_sessions(sessions(t)))
-    wanted = ("systems_involved", "frequency_volume", "process_to_automate")
-    return rows.where(F.col("step_id").isin(*wanted)).select(
+    return rows.select(
         "session_id", "step_id", F.array_join("selected", "|").alias("selected"), "free_text", "normalized_text")
 
 

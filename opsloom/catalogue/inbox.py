@@ -15,8 +15,8 @@ from opsloom.plans import inbox as ib
 
 _BODY = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'),
  '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g'), '(?is)<head\\b.*?</head>', ' ', 'g')"""
-_UNESC = ("replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''),"
-          " '&nbsp;', ' '), '&amp;', '&')")
+_UNESC = ("replace(replace(replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''),"
+          " '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')")
 
 
 def _unesc(x: str) -> str:
@@ -33,7 +33,7 @@ l AS (SELECT page_id, html, body, list_filter(list_transform(string_split(regexp
 @query("page_metrics", f"WITH {_PAGES}" + """
 SELECT page_id, len(regexp_extract_all(body, '(?i)<a\\b'))::BIGINT AS anchor_count, len(regexp_extract_all(body, '(?i)<button\\b'))::BIGINT AS button_count,
  len(regexp_extract_all(body, '(?i)<iframe\\b'))::BIGINT AS iframe_count, coalesce(length(array_to_string(lines, chr(10))), 0)::BIGINT AS body_text_length,
- length(html)::BIGINT AS body_html_length, len(lines)::BIGINT AS n_lines FROM l
+ length(regexp_extract(html, '(?is)<body\\b[^>]*>(.*?)(?:</body\\s*>|\\z)', 1))::BIGINT AS body_html_length, len(lines)::BIGINT AS n_lines FROM l
 """)
 def page_metrics(t: Tables):
     out = ib.page_metrics(t.pages)
@@ -56,10 +56,10 @@ e AS (SELECT page_id, unnest(regexp_extract_all(body, '(?is)<a\\b[^>]*>.*?</a>')
 f AS (SELECT page_id, p, substr({sql_clean(_unesc("regexp_replace(m, '(?s)<[^>]*>', ' ', 'g')"))}, 1, 200) AS text,
   regexp_extract(m, '(?is)^<[^>]*\\shref\\s*=\\s*"([^"]*)"', 1) AS href FROM e),
 d AS (SELECT page_id, text, href, min(p) AS p FROM f WHERE text || href <> '' GROUP BY ALL)
-SELECT page_id, text, href, r AS position FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY p) AS r FROM d) WHERE r <= 20
+SELECT page_id, text, href, r AS position FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY p) AS r FROM d) WHERE r <= 50
 """)
 def page_links(t: Tables):
-    return t.pages.select("page_id", F.posexplode(hx.elements(hx.body(F.col("html")), "a", 20)).alias("p", "e")).select(
+    return t.pages.select("page_id", F.posexplode(hx.elements(hx.body(F.col("html")), "a", hx.LINKS)).alias("p", "e")).select(
         "page_id", "e.text", "e.href", (F.col("p") + 1).cast("long").alias("position"))
 
 

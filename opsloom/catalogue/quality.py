@@ -33,7 +33,8 @@ ENUM_RULES = (
 
 def _tables(t: Tables) -> dict:
     return {n: getattr(t, n) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
-                                       "events", "documents", "embeddings", "labels", "conversations")}
+                                       "events", "documents", "embeddings", "pages", "benchmark", "labels",
+                                       "conversations")}
 
 
 @query("dq_enum", " UNION ALL ".join([
@@ -244,7 +245,8 @@ def duplicates(t: Tables):
 
 @query("dq_counts", " UNION ALL ".join(
     f"SELECT '{n}' AS table_name, count(*)::BIGINT AS n_rows FROM {n} HAVING count(*) > 0" for n in (
-        "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "labels", "conversations")))
+        "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark",
+        "labels", "conversations")))
 def dq_counts(t: Tables):
     parts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows")
              for n, df in _tables(t).items()]

@@ -206,13 +206,13 @@ def context_prompt(t: Tables):
 @query("scope_counts", f"""
 WITH d AS (SELECT source AS scope, count(*)::BIGINT AS document_count FROM documents GROUP BY source),
 c AS (SELECT source AS scope, sum(len(list_filter(string_split(text, chr(10)), lambda s: {sql_strip('s')} <> '')))::BIGINT AS chunk_count
-  FROM documents WHERE lang <> 'en' GROUP BY source)
+  FROM documents GROUP BY source)
 SELECT scope, document_count, coalesce(chunk_count, 0)::BIGINT AS chunk_count FROM d LEFT JOIN c USING (scope)
 """)
 def scope_counts(t: Tables):
     docs = t.documents.groupBy(F.col("source").alias("scope")).agg(F.count(F.lit(1)).alias("document_count"))
     pieces = F.filter(F.split("text", "\n"), lambda s: tx.strip(s) != "")
-    chunks = t.documents.where("lang <> 'en'").groupBy(F.col("source").alias("scope")).agg(
+    chunks = t.documents.groupBy(F.col("source").alias("scope")).agg(
         F.sum(F.size(pieces)).alias("chunk_count"))
     return docs.join(chunks, "scope", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
 

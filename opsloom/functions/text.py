@@ -59,33 +59,65 @@ def preview(c: Column, limit: int = 160) -> Column:
     ).otherwise(text))
 
 
-def _fold_tables() -> tuple[str, str]:
-    """Single-letter accent folds of the Latin blocks and full-width forms,
-    derived from Unicode decompositions; combining marks map to nothing."""
-    source, target = [], []
-    for block in (range(0xC0, 0x250), range(0x1E00, 0x1F00), range(0xFF01, 0xFF5F)):
-        for code in block:
-            letter = chr(code)
-            base = "".join(
-                m for m in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(m)
-            )
-            if len(base) == 1 and base != letter:
-                source.append(letter)
-                target.append(base)
-    marks = [chr(code) for code in range(0x300, 0x370) if unicodedata.combining(chr(code))]
-    return "".join(source + marks), "".join(target)
-
-
-_FOLD_FROM, _FOLD_TO = _fold_tables()
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """Compatibility folds from Unicode decompositions, without marks.
+
+    Letters that fold to one other (for ``translate``), and those that fold to
+    several, with what they fold to. Hangul syllables are left out: they
+    decompose into other letters of their own script.
+    """
+    source, target, several = [], [], {}
+    for code in range(0x80, 0x1FC00):
+        letter = chr(code)
+        if 0xAC00 <= code <= 0xD7A3 or 0xD800 <= code <= 0xDFFF or unicodedata.combining(letter):
+            continue
+        base = "".join(m for m in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(m))
+        if base == letter:
+            continue
+        if len(base) == 1:
+            source.append(letter)
+            target.append(base)
+        elif base:
+            several[letter] = base
+    return "".join(source), "".join(target), several
+
+
+_FOLD_FROM, _FOLD_TO, _FOLD_SEVERAL = _fold_tables()
+
+
+def _near_ranges(codes: list[int], gap: int = 16) -> str:
+    """A pattern for one of the codes or, in the same narrow range, a neighbour."""
+    ranges: list[list[int]] = []
+    for code in sorted(codes):
+        if ranges and code - ranges[-1][1] <= gap:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in ranges) + "]"
+
+
+_ANY_SEVERAL = _near_ranges([ord(c) for c in _FOLD_SEVERAL])
+
+
+def _unfold(c: Column) -> Column:
+    """Replace letters that fold to several, one map lookup per character."""
+    table = F.create_map(*[F.lit(x) for pair in _FOLD_SEVERAL.items() for x in pair])
+    return bind(table, lambda m: F.array_join(
+        F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), lambda x: F.coalesce(F.try_element_at(m, x), x)), ""))
 
 
 def match_form(c: Column) -> Column:
     """Accent-free lower case with single spaces, for keyword matching.
 
-    Covers Latin letters and full-width forms. Letters that decompose into
-    several (ligatures, fractions) stay as they are; no keyword holds one.
+    Compatibility forms (ligatures, full-width letters, fractions, signs) become
+    the letters they stand for, and every combining mark goes. Only texts that
+    hold a form of several letters take the slower way.
     """
-    return clean(F.lower(F.translate(F.coalesce(c, F.lit("")), _FOLD_FROM, _FOLD_TO)))
+    def fold(text: Column) -> Column:
+        return F.when(text.rlike(_ANY_SEVERAL), _unfold(text)).otherwise(text)
+
+    whole = bind(F.translate(F.coalesce(c, F.lit("")), _FOLD_FROM, _FOLD_TO), fold)
+    return clean(F.lower(F.regexp_replace(whole, r"\p{M}+", "")))
 
 
 def match_key(word: str) -> str:

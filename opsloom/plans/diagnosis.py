@@ -351,16 +351,17 @@ def knowledge_context(sessions: DataFrame, chunks: DataFrame, k: int = fv.KEYWOR
     """Top passages per session; its answers, written as text, are the query.
 
     ``chunks`` holds (scope_id, chunk_id, title, content). A session asks only
-    its own scope. Token lists move once, hashed by session; counting tokens,
-    adding scores and ranking all run inside that placement.
+    its own scope. Answers are mostly option codes, so many sessions ask with the
+    same words: each distinct bag of words is scored once and its passages are
+    joined back to the sessions.
     """
-    asked = settle(
-        sessions, {"_t": tx.tokens(session_text())},
-    ).select("session_id", F.col("knowledge_scope_id").alias("scope_id"), "_t").repartition("session_id")
+    asked = settle(sessions, {"_t": F.array_sort(tx.tokens(session_text()))}).select(
+        "session_id", F.col("knowledge_scope_id").alias("scope_id"), "_t",
+        F.md5(F.array_join("_t", "\u0001")).alias("_bag"))
+    bags = asked.groupBy("scope_id", "_bag").agg(F.first("_t").alias("_t"))
     wanted = (
-        asked.select("session_id", "scope_id", F.size("_t").alias("n_tokens"),
-                     F.explode("_t").alias("token"))
-        .groupBy("session_id", "scope_id", "n_tokens", "token")
+        bags.select("scope_id", "_bag", F.size("_t").alias("n_tokens"), F.explode("_t").alias("token"))
+        .groupBy("scope_id", "_bag", "n_tokens", "token")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
     terms = (
@@ -371,18 +372,24 @@ def knowledge_context(sessions: DataFrame, chunks: DataFrame, k: int = fv.KEYWOR
     )
     scored = (
         wanted.join(terms, ["scope_id", "token"])
-        .groupBy("session_id", "chunk_id")
+        .groupBy("scope_id", "_bag", "chunk_id")
         .agg(F.sum(F.col("qtf") * F.col("tf")).alias("_w"), F.first("n_tokens").alias("_n"))
         .withColumn("_s", F.col("_w") / F.col("_n"))
     )
-    best = first_n(scored, ["session_id"], [F.col("_s").desc(), F.col("chunk_id").asc()], k)
-    return best.select("session_id", "chunk_id", F.bround("_s", 4).alias("score"), "rank_position")
+    best = first_n(scored, ["scope_id", "_bag"], [F.col("_s").desc(), F.col("chunk_id").asc()], k)
+    return asked.select("session_id", "scope_id", "_bag").join(best, ["scope_id", "_bag"]).select(
+        "session_id", "chunk_id", F.bround("_s", 4).alias("score"), "rank_position")
 
 
 def classify_sessions(sessions: DataFrame, context: DataFrame | None = None,
                       provider: str = "mock", packages: dict[str, str] | None = None) -> DataFrame:
     """Gate, interpret, score and classify complete sessions."""
-    ready = gate(normalise_sessions(sessions)).where("complete")
+    return classify_ready(gate(normalise_sessions(sessions)).where("complete"), context, provider, packages)
+
+
+def classify_ready(ready: DataFrame, context: DataFrame | None = None,
+                   provider: str = "mock", packages: dict[str, str] | None = None) -> DataFrame:
+    """Interpret, score and classify sessions that passed the gate."""
     if context is None:
         ready = ready.withColumn("context_size", F.lit(0))
     else:

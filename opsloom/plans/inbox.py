@@ -31,17 +31,17 @@ def page_metrics(pages: DataFrame, page_id: str = "page_id", html: str = "html")
         page_id, hx.count_tags(c, "a").alias("anchor_count"), hx.count_tags(c, "button").alias("button_count"),
         hx.count_tags(c, "iframe").alias("iframe_count"),
         F.length(F.array_join("_lines", "\n")).alias("body_text_length"),
-        F.length(html).alias("body_html_length"),
+        F.length(F.regexp_extract(html, hx.BODY, 1)).alias("body_html_length"),
         F.size("_lines").alias("n_lines"),
     )
 
 
 def inspect_pages(pages: DataFrame, keywords: Sequence[str], page_id: str = "page_id",
-                  html: str = "html") -> DataFrame:
+                  html: str = "html", links: int = hx.LINKS, buttons: int = hx.BUTTONS) -> DataFrame:
     """Texts, links, buttons, candidates and warnings of stored pages."""
     c = F.col("_body")
     base = settle(with_body(pages, page_id, html), {
-        "texts": hx.text_chunks(c), "links": hx.elements(c, "a", 20), "buttons": hx.elements(c, "button", 20),
+        "texts": hx.text_chunks(c), "links": hx.elements(c, "a", links), "buttons": hx.elements(c, "button", buttons),
         "layer": hx.has_layer(c, LAYER_WORDS)})
 
     def candidates(column: str) -> Column:
