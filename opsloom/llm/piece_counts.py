@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,9 @@ from opsloom.llm.pretokens import encoder, pre_tokens
 from opsloom.llm.store import numbered, quoted
 
 #: Text that one block of documents holds, in bytes.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 6_000_000
+#: A pre-token that more documents of a block have is dealt to this many tasks.
+FREQUENT, SALTS = 64, 64
 
 
 def _blocks(column: pa.Array, coder, limit: int):
@@ -27,18 +30,11 @@ def _blocks(column: pa.Array, coder, limit: int):
             yield low, t, place, number
 
 
-def _spellings(tokenizer: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer)
-        for batch in batches:
-            for _, t, place, _ in _blocks(batch.column(0), coder, BLOCK_BYTES):
-                yield pa.RecordBatch.from_pydict({"pretoken": pa.array(t.spell(place), pa.string())})
-
-    return run
-
-
 def _frequencies(tokenizer: str):
-    """Per block and pre-token: which documents have it, how often (packed)."""
+    """Per block and pre-token: which documents have it, how often (packed).
+
+    What many documents of a block have is salted by block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
@@ -57,25 +53,41 @@ def _frequencies(tokenizer: str):
                 size = packed.dtype.itemsize
                 ends = np.searchsorted(group, np.arange(len(place)), "right")
                 offsets = np.concatenate([[0], ends]).astype(np.int32) * size
+                salt = np.where(np.diff(offsets) > FREQUENT * size, np.int16(first // 1009 % SALTS), np.int16(0))
                 packed_column = pa.Array.from_buffers(
                     pa.binary(), len(place), [None, pa.py_buffer(offsets), pa.py_buffer(packed.tobytes())])
                 n = len(place)
                 yield pa.RecordBatch.from_pydict({
-                    "pretoken": pa.array(t.spell(place), pa.string()),
+                    "pretoken": pa.array(t.spell(place), pa.string()), "salt": pa.array(salt, pa.int16()),
                     "first": pa.array(np.full(n, first)), "narrow": pa.array(np.full(n, narrow)),
                     "rows": packed_column})
 
     return run
 
 
-def _count(tokenizer: str):
+def _counted_sums(tokenizer: str):
+    """Count the pieces of each pre-token once, meet them with its documents, add up per document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_pydict({
-                "pretoken": batch.column(0),
-                "pieces": pa.array([len(x) for x in coder.encode_each(words)], pa.int32())})
+
+        def joined():
+            last, pieces = None, 0
+            for batch in batches:          # sorted by pre-token
+                runs = pa.compute.run_end_encode(batch.column(0))
+                words = runs.values.to_pylist()
+                fresh = words[1:] if words and words[0] == last else words
+                counts = [len(x) for x in coder.encode_each(fresh)]
+                counts = counts if fresh is words else [pieces, *counts]
+                if words:
+                    last, pieces = words[-1], counts[-1]
+                ends = runs.run_ends.to_numpy()
+                each = np.repeat(np.array(counts, np.int64), np.diff(ends, prepend=0))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(n) for n in ("first", "narrow", "rows")), pa.array(each)],
+                    ["first", "narrow", "rows", "pieces"])
+
+        yield from _partial_sums(joined())
 
     return run
 
@@ -118,18 +130,19 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024,
     """Per document: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     Null and empty texts have no bytes and no tokens; repeated rows are counted
-    each; other columns are not read. The table is scanned three times: for the
-    distinct pre-tokens, for frequencies, and for the result's rows. A pre-token
-    that every document has is one row per block of documents, and the join may
-    split it over tasks.
+    each; other columns are not read.
+
+    One shuffle brings together what blocks of documents say of a pre-token, in
+    sorted order, so its pieces are counted once, whatever the number of blocks;
+    a pre-token that very many documents have is split into ``SALTS`` parts. A
+    second, small one adds up the documents. The table is scanned twice: for the
+    frequencies and for the result's rows.
     """
     plain = numbered(docs.select(quoted(id_column).alias("doc_id"), quoted(text_column).alias("text")))
-    distinct = plain.select("text").mapInArrow(_spellings(tokenizer), "pretoken string").distinct()
-    counted = distinct.mapInArrow(_count(tokenizer), "pretoken string, pieces int")
     have = plain.select("uid", "text").mapInArrow(
-        _frequencies(tokenizer), "pretoken string, first long, narrow boolean, rows binary")
-    joined = have.join(counted, "pretoken").select("first", "narrow", "rows", "pieces")
-    total = joined.mapInArrow(_partial_sums, "uid long, n long").groupBy("uid").agg(F.sum("n").alias("n"))
+        _frequencies(tokenizer), "pretoken string, salt short, first long, narrow boolean, rows binary")
+    placed = have.repartition("pretoken", "salt").sortWithinPartitions("pretoken")
+    total = placed.mapInArrow(_counted_sums(tokenizer), "uid long, n long").groupBy("uid").agg(F.sum("n").alias("n"))
     rows = plain.select("uid", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     n = F.coalesce("n", F.lit(0).cast("long"))
     return rows.join(total, "uid", "left").select(
