@@ -128,27 +128,38 @@ def _sign(width: int, bands: int, rows: int):
     return run
 
 
-def _holds(width: int, least: float):
-    def sets(text: str) -> np.ndarray:
-        raw = np.frombuffer(text.encode(), np.uint8)
-        lines = Lines(raw, np.array([0, len(raw)]))
-        return np.unique(lines.shingles(np.arange(len(lines.text)), width)[1])
+def _holds(width: int, least: float, rows: int = 64):
+    """Keep the pairs (a, b, line of a, line of b) whose shingle sets are alike enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, held = None, None
         for batch in batches:
-            good = []
-            for a, line_a, line_b in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
-                if a != name:
-                    name, held = a, sets(line_a)
-                other = sets(line_b)
-                both = len(np.intersect1d(held, other, assume_unique=True))
-                good.append(both >= least * (len(held) + len(other) - both) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            for low in range(0, len(batch), rows):
+                part = batch.slice(low, rows)
+                n = len(part)
+                sets = _line_sets(pa.concat_arrays([part.column(2), part.column(3)]), width)
+                good = np.zeros(n, bool)
+                for i in range(n):
+                    one, two = sets[i], sets[n + i]
+                    if min(len(one), len(two)) >= least * max(len(one), len(two)) - 1e-9:
+                        both = len(one) + len(two) - len(np.unique(np.concatenate([one, two])))
+                        good[i] = both >= least * (len(one) + len(two) - both) - 1e-9
+                yield part.select(["a", "b"]).filter(pa.array(good))
 
     return run
 
 
+def _line_sets(lines: pa.Array, width: int) -> list[np.ndarray]:
+    """The distinct shingles of each line."""
+    out = []
+    for low, high, raw, offsets in text_pieces(lines, _PIECE):
+        form = Lines(raw, offsets)
+        owner, keys = form.shingles(np.arange(len(form.text)), width)
+        owner = form.text[owner]
+        order = np.argsort(owner, kind="stable")
+        out += [np.unique(k) for k in np.split(keys[order], np.searchsorted(owner[order], np.arange(1, high - low)))]
+    return out
+
+
 def repeated_lines(docs: DataFrame, text: str = "text", order: str = "doc_id", width: int = SHINGLE,
                    least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(uid, lines): for rows of ``docs`` numbered by its scan, the lines to take out, counted from 0.
