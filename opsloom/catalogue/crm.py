@@ -91,6 +91,48 @@ def kpi_rank(t: Tables):
         F.col("rank_most").cast("long").alias("rank_most"), F.col("rank_least").cast("long").alias("rank_least"))
 
 
+LEADS = """
+SELECT o_orderkey AS lead_id, date_format(o_orderdate, 'yyyy-MM') AS month,
+ CASE WHEN o_custkey % 50 <> 0 THEN o_custkey % 50 END AS advisor, o_totalprice, o_orderstatus, o_orderpriority,
+ o_custkey % 4 AS followups, CASE WHEN o_orderstatus = 'F' THEN CAST(o_totalprice AS DECIMAL(18,2)) END AS revenue FROM {orders}
+"""
+_LEADS = plain(LEADS).replace("date_format(o_orderdate, 'yyyy-MM')", "strftime(o_orderdate, '%Y-%m')")
+LEAD_STAGES = {
+    "lead": "true", "assigned": "advisor IS NOT NULL", "responded": "o_totalprice > 20000",
+    "qualified": "o_orderpriority IN ('1-URGENT', '2-HIGH')", "meeting": "o_totalprice > 60000",
+    "visit": "o_totalprice > 100000", "negotiation": "o_totalprice > 150000 AND o_orderstatus = 'O'",
+    "close": "o_totalprice > 150000 AND o_orderstatus = 'F'", "lost": "o_orderstatus NOT IN ('F', 'O')",
+    "recovered": "lead_id % 7 = 0 AND o_orderstatus = 'F'",
+}
+
+
+@query("advisor_funnel", f"WITH l AS ({_LEADS}), c AS (SELECT month, advisor, CASE GROUPING(month, advisor) WHEN 0 THEN 'member' WHEN 1 THEN 'team' ELSE 'all' END AS level, "
+       + ", ".join(f"count(*) FILTER (WHERE {test})::BIGINT AS {stage}" for stage, test in LEAD_STAGES.items())
+       + ", sum(followups)::BIGINT AS followups, sum(revenue)::DOUBLE AS revenue FROM l GROUP BY ROLLUP (month, advisor)) SELECT *, "
+       + ", ".join(f"{a}::DOUBLE / nullif({b}, 0) AS {name}" for name, (a, b) in kpi.TEAM_RATES.items()) + " FROM c")
+def advisor_funnel(t: Tables):
+    stages = {stage: F.expr(test) for stage, test in LEAD_STAGES.items()}
+    out = kpi.advisor_funnel(t.derive(LEADS), "month", "advisor", stages, ["followups", "revenue"])
+    return out.withColumn("revenue", F.col("revenue").cast("double"))
+
+
+_DIMENSIONS = ("source", "format", "development", "campaign")
+
+
+@query("dimension_rank", """
+WITH s AS (SELECT p_type AS source, p_size % 5 AS format, p_brand AS development, l_returnflag AS campaign FROM lineitem JOIN part ON p_partkey = l_partkey),
+t AS (""" + " UNION ALL ".join(
+    f"SELECT '{d}' AS dimension, {d}::VARCHAR AS value, count(*)::BIGINT AS leads FROM s GROUP BY 2" for d in _DIMENSIONS) + """)
+SELECT *, rank() OVER (PARTITION BY dimension ORDER BY leads DESC) AS rank_most, rank() OVER (PARTITION BY dimension ORDER BY leads) AS rank_least FROM t
+""")
+def dimension_rank(t: Tables):
+    rows = t.derive("SELECT p_type AS source, p_size % 5 AS format, p_brand AS development, l_returnflag AS campaign, "
+                    "CAST(1 AS BIGINT) AS leads FROM {lineitem} JOIN {part} ON p_partkey = l_partkey")
+    return kpi.dimension_ranking(rows, _DIMENSIONS, "leads").select(
+        "dimension", "value", "leads", F.col("rank_most").cast("long").alias("rank_most"),
+        F.col("rank_least").cast("long").alias("rank_least"))
+
+
 @query("target_diff", f"WITH s AS ({_SALES})" + """
 , r AS (SELECT month, advisor, sum(price) AS result FROM s GROUP BY ALL)
 SELECT month, advisor, result::DOUBLE AS result, (CASE WHEN s_acctbal > 0 THEN s_acctbal::DECIMAL(18,2) * 100 END)::DOUBLE AS target,

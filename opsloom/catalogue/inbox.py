@@ -168,11 +168,14 @@ def missing_slots(t: Tables):
         ib.needs_handoff(F.col("body"), F.col("intent"), F.col("need"), F.col("turn")).cast("int").alias("handoff"))
 
 
-# Example phrases per comment tag; the tags are fixed, the phrases a parameter.
-TAG_RULES = [
-    ("requiere_humano", 1, ("urgente", "that")), ("soporte", 2, ("error", "the ")), ("donacion", 3, ("donar", "ein")),
-    ("interes_curso", 4, ("curso", "les")), ("spam_scam", 5, ("http", "ver")),
-]
+# Example phrases and priority per comment tag; the tags are fixed, the rest a parameter.
+TAG_EXAMPLES = {
+    "apoyo_israel": (8, ("apoyo", "and the")), "pregunta_religiosa": (7, ("torah", "dans")),
+    "interes_curso": (4, ("curso", "les")), "interes_moria": (6, ("moria", "keit")), "donacion": (3, ("donar", "ein")),
+    "soporte": (2, ("error", "the ")), "hate_risk": (0, ("odio", "hate")), "spam_scam": (5, ("http", "ver")),
+    "idioma_no_es": (9, ("the of", "und der")), "requiere_humano": (1, ("urgente", "that")),
+}
+TAG_RULES = sorted([(tag, *TAG_EXAMPLES[tag]) for tag in fv.COMMENT_TAGS], key=lambda r: r[1])
 
 
 @query("comment_tags", f"WITH f AS (SELECT conv_id, turn, {sql_form('text')} AS form FROM conversations)" + f"""

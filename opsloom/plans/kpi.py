@@ -70,6 +70,37 @@ def with_totals(rows: DataFrame, period: str, member: str, sums: Sequence[str])
     return rows.rollup(period, member).agg(*[F.sum(c).alias(c) for c in sums], level.alias("level"))
 
 
+TEAM_RATES = {
+    "lead_to_meeting": ("meeting", "lead"), "meeting_to_visit": ("visit", "meeting"),
+    "visit_to_close": ("close", "visit"), "lead_to_visit": ("visit", "lead"), "lead_to_close": ("close", "lead"),
+}
+
+
+def advisor_funnel(leads: DataFrame, period: str, member: str, stages: dict[str, Column],
+                   sums: Sequence[str] = ()) -> DataFrame:
+    """Funnel counts, sums and rates per member, per team and over all, in one rollup.
+
+    ``stages`` maps a stage to the test a lead passes in it. Members are counted
+    first, so the rollup expands totals and not leads. A lead without member is
+    a member of its own, told from the team by ``level``.
+    """
+    counts = [F.count_if(test).alias(stage) for stage, test in stages.items()]
+    per_member = leads.groupBy(period, member).agg(*counts, *[F.sum(c).alias(c) for c in sums])
+    out = with_totals(per_member, period, member, [*stages, *sums])
+    return out.withColumns({name: ratio(a, b) for name, (a, b) in TEAM_RATES.items()})
+
+
+def dimension_ranking(rows: DataFrame, dimensions: Sequence[str], measure: str, parts: int = 64) -> DataFrame:
+    """Rank the values of several dimensions, each on its own, by the sum of a measure.
+
+    Rows are summed by all dimensions first; one row per dimension and value is ranked.
+    """
+    summed = rows.groupBy(*dimensions).agg(F.sum(measure).alias(measure))
+    each = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions])
+    totals = summed.select(measure, F.inline(each)).groupBy("dimension", "value").agg(F.sum(measure).alias(measure))
+    return ranking(totals, "dimension", measure, parts)
+
+
 def ranking(totals: DataFrame, period: str, measure: str, parts: int = 64) -> DataFrame:
     """Spreadsheet-style ranks per period, best and worst first."""
     return competition_ranks(totals, period, measure, "rank_most", "rank_least", parts)
