@@ -79,6 +79,20 @@ def page_flags(t: Tables):
         (F.size("buttons") > 0).cast("int").alias("has_buttons"), F.col("layer").cast("int").alias("layer"))
 
 
+@query("page_filters", f"WITH {_PAGES}" + f""",
+e AS (SELECT page_id, unnest(regexp_extract_all(body, '(?is)<a\\b[^>]*>.*?</a>')) AS m,
+  unnest(range(1, len(regexp_extract_all(body, '(?is)<a\\b[^>]*>.*?</a>')) + 1)) AS p FROM l),
+f AS (SELECT page_id, p, substr({sql_clean(_unesc("regexp_replace(m, '(?s)<[^>]*>', ' ', 'g')"))}, 1, 200) AS text,
+  regexp_extract(m, '(?is)^<[^>]*\\shref\\s*=\\s*"([^"]*)"', 1) AS href FROM e),
+d AS (SELECT page_id, text, href, min(p) AS p FROM f WHERE text || href <> ''
+  AND len(list_filter({sql_list(_PAGE_WORDS)}, lambda k: contains({sql_form("text || ' ' || href")}, k))) > 0 GROUP BY ALL)
+SELECT page_id, text, href, r AS position FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY p) AS r FROM d) WHERE r <= 12
+""")
+def page_filters(t: Tables):
+    return ib.filter_affordances(t.pages, _PAGE_WORDS).select("page_id", F.posexplode("affordances").alias("p", "e")).select(
+        "page_id", "e.text", "e.href", (F.col("p") + 1).cast("long").alias("position"))
+
+
 @query("page_onboarding")
 def page_onboarding(t: Tables):
     out = ib.onboarding(t.pages, _PAGE_WORDS)

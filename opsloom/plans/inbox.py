@@ -58,6 +58,15 @@ def inspect_pages(pages: DataFrame, keywords: Sequence[str], page_id: str = "pag
         F.when(test, F.lit(fv.CAPTURE_WARNINGS[name])) for test, name in checks])))
 
 
+def filter_affordances(pages: DataFrame, keywords: Sequence[str] = fv.QUESTION_FILTER, page_id: str = "page_id",
+                       html: str = "html", limit: int = 12) -> DataFrame:
+    """Links and buttons that filter or switch a list: their words match, distinct, the first ``limit``."""
+    c = F.col("_body")
+    found = settle(with_body(pages, page_id, html), {"_all": F.concat(hx.elements(c, "a"), hx.elements(c, "button"))})
+    matched = F.filter("_all", lambda e: tx.item_matches([e["text"], e["href"], e["aria_label"], e["title"]], keywords))
+    return found.select(page_id, F.slice(F.array_distinct(matched), 1, limit).alias("affordances"))
+
+
 def onboarding(pages: DataFrame, keywords: Sequence[str] = fv.WIZARD,
                page_id: str = "page_id", html: str = "html") -> DataFrame:
     """Onboarding flag: keyword hit and an action button, banner or dialog."""

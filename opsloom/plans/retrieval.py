@@ -269,7 +269,3 @@ def ready_embeddings(embeddings: DataFrame, chunks: DataFrame, documents: DataFr
         .where(F.col("scope_id") == F.col("_doc_scope"))
         .drop("_doc_scope")
     )
-
-
-def rank_positions(hits: DataFrame, by: str, order: Sequence[Column]) -> DataFrame:
-    return hits.withColumn("rank_position", F.row_number().over(W.partitionBy(by).orderBy(*order)))

@@ -85,12 +85,3 @@ def artifact_status(spark: SparkSession, folder: str, expected: Sequence[str]) -
     wanted = spark.createDataFrame([(name,) for name in expected], "artifact string")
     return wanted.join(listing, "artifact", "left").select(
         "artifact", F.when(F.col("length") > 0, "generated").otherwise("not run").alias("status"))
-
-
-def table_events(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1000) -> DataFrame:
-    """A folder of Parquet event files as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-
-
-def clean_lines(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumn("lines", tx.visible_lines(F.col(text)))
