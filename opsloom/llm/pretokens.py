@@ -21,7 +21,7 @@ WHITE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x20
 #: Endings that are pre-tokens of their own.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Distinct pre-tokens whose ids a Python worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 350_000
 
 _FIRST, _SECOND = SpanHasher(0x9E3779B97F4A7C15), SpanHasher(0xD1B54A32D192ED03)
 
