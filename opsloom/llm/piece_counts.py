@@ -16,7 +16,7 @@ from opsloom.llm.pretokens import encoder, pre_tokens
 from opsloom.llm.store import numbered, quoted
 
 #: Text that one block of documents holds, in bytes.
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 10_000_000
 #: A pre-token that more documents of a block have is dealt to this many tasks.
 FREQUENT, SALTS = 64, 64
 
@@ -27,7 +27,12 @@ def _blocks(column: pa.Array, coder, limit: int):
         t = pre_tokens(raw, offsets, coder.added)
         if len(t.start):
             place, number = t.distinct()
-            yield low, t, place, number
+            # In alphabetical order, in which neighbours share most of their letters.
+            words = t.spell(place)
+            order = np.array(sorted(range(len(words)), key=words.__getitem__))
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            yield low, t, place[order], rank[number]
 
 
 def _frequencies(tokenizer: str):
@@ -94,7 +99,7 @@ def _counted_sums(tokenizer: str):
 
 def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Add up pieces per document over the rows that a task holds, some at a time."""
-    held, uids, sums = 0, [], []
+    held, uids, sums, firsts = 0, [], [], []
     for batch in batches:
         first, pieces = batch.column(0).to_numpy(), batch.column(3).to_numpy()
         narrow = batch.column(1).to_numpy(zero_copy_only=False)
@@ -108,21 +113,56 @@ def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             sizes = offsets[at + 1] - offsets[at]
             packed = raw[spans(offsets[at], sizes)].view(kind)
             each = sizes // packed.dtype.itemsize
-            uids.append(np.repeat(first[at], each) + packed["row"])
+            firsts.append(np.repeat(first[at], each))
+            uids.append(firsts[-1] + packed["row"])
             sums.append(np.repeat(pieces[at].astype(np.int64), each) * packed["times"])
             held += len(packed)
         if held >= 4_000_000:
-            yield _summed(uids, sums)
-            held, uids, sums = 0, [], []
+            yield _summed(uids, sums, firsts)
+            held, uids, sums, firsts = 0, [], [], []
     if held:
-        yield _summed(uids, sums)
+        yield _summed(uids, sums, firsts)
 
 
-def _summed(uids: list[np.ndarray], sums: list[np.ndarray]) -> pa.RecordBatch:
-    key, number = np.unique(np.concatenate(uids), return_inverse=True)
+_SUM = [("row", "<u4"), ("n", "<i8")]
+
+
+def _summed(uids: list[np.ndarray], sums: list[np.ndarray], firsts: list[np.ndarray]) -> pa.RecordBatch:
+    """One row per block: its documents' partial sums, packed."""
+    uid, first = np.concatenate(uids), np.concatenate(firsts)
+    key, place, number = np.unique(uid, return_index=True, return_inverse=True)
     total = np.zeros(len(key), np.int64)
     np.add.at(total, number, np.concatenate(sums))
-    return pa.RecordBatch.from_pydict({"uid": pa.array(key), "n": pa.array(total)})
+    block = first[place]                      # ascends with the documents
+    packed = np.zeros(len(key), _SUM)
+    packed["row"], packed["n"] = key - block, total
+    at = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
+    ends = np.append(at[1:], len(block))
+    return pa.RecordBatch.from_pydict({
+        "first": pa.array(block[at]),
+        "sums": pa.array([packed[i:j].tobytes() for i, j in zip(at.tolist(), ends.tolist())], pa.binary())})
+
+
+def _block_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add up the partial sums of each block; rows are sorted by block."""
+    block, total = None, np.zeros(0, np.int64)
+
+    def done() -> pa.RecordBatch:
+        row = np.flatnonzero(total)
+        return pa.RecordBatch.from_pydict({"uid": pa.array(block + row), "n": pa.array(total[row])})
+
+    for batch in batches:
+        for first, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if first != block:
+                if block is not None:
+                    yield done()
+                block, total = first, np.zeros(0, np.int64)
+            part = np.frombuffer(raw.as_buffer(), _SUM)
+            if len(part) and part["row"].max() >= len(total):
+                total = np.concatenate([total, np.zeros(int(part["row"].max()) + 1 - len(total), np.int64)])
+            total[part["row"]] += part["n"]      # a document is once in a part
+    if block is not None:
+        yield done()
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024,
@@ -135,14 +175,15 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024,
     One shuffle brings together what blocks of documents say of a pre-token, in
     sorted order, so its pieces are counted once, whatever the number of blocks;
     a pre-token that very many documents have is split into ``SALTS`` parts. A
-    second, small one adds up the documents. The table is scanned twice: for the
+    second, small one brings together the packed sums of each block. The table is scanned twice: for the
     frequencies and for the result's rows.
     """
     plain = numbered(docs.select(quoted(id_column).alias("doc_id"), quoted(text_column).alias("text")))
     have = plain.select("uid", "text").mapInArrow(
         _frequencies(tokenizer), "pretoken string, salt short, first long, narrow boolean, rows binary")
     placed = have.repartition("pretoken", "salt").sortWithinPartitions("pretoken")
-    total = placed.mapInArrow(_counted_sums(tokenizer), "uid long, n long").groupBy("uid").agg(F.sum("n").alias("n"))
+    parts = placed.mapInArrow(_counted_sums(tokenizer), "first long, sums binary")
+    total = parts.repartition("first").sortWithinPartitions("first").mapInArrow(_block_sums, "uid long, n long")
     rows = plain.select("uid", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     n = F.coalesce("n", F.lit(0).cast("long"))
     return rows.join(total, "uid", "left").select(
