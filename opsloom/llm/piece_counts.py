@@ -16,7 +16,7 @@ from opsloom.llm.pretokens import encoder, pre_tokens
 from opsloom.llm.store import numbered, quoted
 
 #: Text that one block of documents holds, in bytes.
-BLOCK_BYTES = 10_000_000
+BLOCK_BYTES = 7_000_000
 #: A pre-token that more documents of a block have is dealt to this many tasks.
 FREQUENT, SALTS = 64, 64
 
