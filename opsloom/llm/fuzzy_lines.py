@@ -139,15 +139,20 @@ def _holds(width: int, least: float, rows: int = 64):
                 sets = _line_sets(pa.concat_arrays([part.column(2), part.column(3)]), width)
                 good = np.zeros(n, bool)
                 for i in range(n):
-                    one, two = sets[i], sets[n + i]
-                    if min(len(one), len(two)) >= least * max(len(one), len(two)) - 1e-9:
-                        both = len(one) + len(two) - len(np.unique(np.concatenate([one, two])))
-                        good[i] = both >= least * (len(one) + len(two) - both) - 1e-9
+                    good[i] = _alike(sets[i], sets[n + i], least)
                 yield part.select(["a", "b"]).filter(pa.array(good))
 
     return run
 
 
+def _alike(one: np.ndarray, two: np.ndarray, least: float) -> bool:
+    """Whether two sets of distinct shingles have a Jaccard similarity of ``least`` or more."""
+    if min(len(one), len(two)) < least * max(len(one), len(two)) - 1e-9:
+        return False
+    both = len(one) + len(two) - len(np.unique(np.concatenate([one, two])))
+    return both >= least * (len(one) + len(two) - both) - 1e-9
+
+
 def _line_sets(lines: pa.Array, width: int) -> list[np.ndarray]:
     """The distinct shingles of each line."""
     out = []
@@ -177,16 +182,19 @@ def repeated_lines(docs: DataFrame, text: str = "text", order: str = "doc_id", w
     single = signed.select("lid", "bands").join(reps.select("rep"), F.col("lid") == F.col("rep")).select(
         F.col("rep").alias("id"), "bands")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-        where = kept(signed.select("lid", "uid", "line").join(small_side(kept(needed, "needed")), "lid"), "where")
-        found = plain.select("uid", "text").join(small_side(where), "uid").select(
-            "lid", F.get(F.split("text", "\n", -1), F.col("line")).alias("form"))
-        with_b = pairs.join(found.select(F.col("lid").alias("b"), F.col("form").alias("form_b")), "b")
-        both = with_b.join(found.select(F.col("lid").alias("a"), F.col("form").alias("form_a")), "a")
-        return both.select("a", "b", "form_a", "form_b").mapInArrow(_holds(width, least), "a long, b long")
+    def texts(ids: DataFrame) -> DataFrame:
+        ids = small_side(ids.withColumnRenamed("id", "lid"))
+        where = kept(signed.select("lid", "uid", "line").join(ids, "lid"), "where")
+        return plain.select("uid", "text").join(small_side(where), "uid").select(
+            F.col("lid").alias("id"), F.get(F.split("text", "\n", -1), F.col("line")).alias("text"))
+
+    def sets(column: pa.Array) -> list:
+        return [(keys, np.ones(len(keys))) for keys in _line_sets(column, width)]
+
+    def alike(a: tuple, b: tuple) -> bool:
+        return _alike(a[0], b[0], least)
 
-    roots = linked(single, verify, False).withColumnsRenamed({"node": "rep"})
+    roots = linked(single, texts, _holds(width, least), sets, alike, least, False).withColumnsRenamed({"node": "rep"})
     several = reps.join(roots, "rep", "left").filter("n > 1 OR root IS NOT NULL").select(
         "h1", "h2", F.coalesce("root", "rep").alias("root"))
     placed = kept(signed.drop("bands").join(several, ["h1", "h2"]), "repeats")

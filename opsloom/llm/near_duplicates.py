@@ -138,14 +138,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", order: str = "doc_id",
     single = signed.select(F.col("uid").alias("rep"), "bands").join(
         member.filter("uid = rep").select("rep"), "rep").select(F.col("rep").alias("id"), "bands")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        needed = kept(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "needed")
-        texts = plain.select("uid", "text").join(small_side(needed), "uid")
-        with_b = pairs.join(texts.select(F.col("uid").alias("b"), F.col("text").alias("text_b")), "b")
-        both = with_b.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("text_a")), "a")
-        return both.select("a", "b", "text_a", "text_b").mapInArrow(_holds(width, least), "a long, b long")
-
-    roots = linked(single, verify)
+    def texts(ids: DataFrame) -> DataFrame:
+        return plain.join(small_side(ids.withColumnRenamed("id", "uid")), "uid").select(F.col("uid").alias("id"), "text")
+
+    def sets(column: pa.Array) -> list:
+        return [weighted_shingles(words_of_text(t), width)[1:] for t in column.to_pylist()]
+
+    def alike(a: tuple, b: tuple) -> bool:
+        return probability_jaccard(a, b) >= least - 1e-12
+
+    roots = linked(single, texts, _holds(width, least), sets, alike, least)
     rooted = member.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select(
         "uid", F.coalesce("root", "rep").alias("root"))
     placed = kept(plain.select("uid", "order").join(rooted, "uid"), "classes")

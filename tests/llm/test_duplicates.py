@@ -150,6 +150,36 @@ def test_fuzzy_lines_equal_brute_force(table):
     assert 2 not in ids and 3 not in ids and {4, 5, 6, 7} <= ids
 
 
+def crowd(n, shared, own, changes):
+    """Texts on one template, less alike than 0.8 to each other, and a near copy of every tenth far behind it."""
+    template = prose(77, shared)
+    out = [f"{template} {prose(1000 + i, own)}" for i in range(n)]
+    copies = []
+    for i in range(0, n, 10):
+        words = out[i].split(" ")
+        for k in range(changes):
+            words[-1 - 6 * k] = f"new{i}x{k}"
+        copies.append(" ".join(words))
+    return out + copies[::-1]
+
+
+def shares(values, shingles):
+    sets = [shingles(v) for v in values]
+    j = lambda a, b: len(a & b) / len(a | b)
+    n = len(values) * 10 // 11
+    apart = max(j(sets[i], sets[k]) for i in range(0, n, 7) for k in range(i))
+    close = min(j(sets[10 * i], sets[-1 - i]) for i in range(n // 10))
+    return apart, close
+
+
+def test_near_copies_within_a_crowd_of_lines(table):
+    values = crowd(600, 60, 14, 2)
+    apart, close = shares(values, lambda v: {v[k:k + 8] for k in range(len(v) - 7)})
+    assert 0.7 < apart < 0.8 < close
+    got = fuzzy_lines.without_repeats(table(rows(values), DOCS))
+    assert sum(r.n_removed for r in got.collect()) == 60
+
+
 def items():
     return [("a", prose(50, 30)), ("b", prose(50, 30)), ("c", "kurz und gut"), ("d", None), ("e", ""), (None, prose(51, 12)),
             ("a", prose(52, 14)), ("f", "the the the the the the the the the the the the")]
