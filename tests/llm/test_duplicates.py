@@ -180,6 +180,14 @@ def test_near_copies_within_a_crowd_of_lines(table):
     assert sum(r.n_removed for r in got.collect()) == 60
 
 
+def test_near_copies_within_a_crowd_of_documents(table):
+    values = crowd(600, 120, 20, 3)
+    apart, close = shares(values, lambda v: {tuple(v.split(" ")[k:k + 5]) for k in range(len(v.split(" ")) - 4)})
+    assert 0.7 < apart < 0.8 < close
+    got = near_duplicates.class_report(table(rows(values), DOCS))
+    assert sum(not r.kept for r in got.collect()) == 60
+
+
 def items():
     return [("a", prose(50, 30)), ("b", prose(50, 30)), ("c", "kurz und gut"), ("d", None), ("e", ""), (None, prose(51, 12)),
             ("a", prose(52, 14)), ("f", "the the the the the the the the the the the the")]
