@@ -41,13 +41,15 @@ INLINE = frozenset("""
     a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark nobr q rp rt ruby s
     samp small span strike strong sub sup time tt u var wbr
 """.split())
-#: Words in class, id or role that name parts of the page's frame.
+#: Whole class words, ids and roles that name parts of the page's frame.
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup"
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup"
     r"|modal|overlay|newsletter|subscribe|signup|login|search|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|widget\w*"
     r"|related|recommend\w*|share|sharing|social|comments?|commentlist|disqus|replies|reply|respond|footer|header"
     r"|masthead|copyright|legal|pagination|pager|toolbar|skip\w*|hidden|complementary|navigation|contentinfo|dialog"
-    r"|form)(?=$|[\s_-])", re.I)
+    r"|form)", re.I)
+#: Class words of readers' comments, which are not main text inside an article either.
+COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
 #: Tags that end an open element of the same sort.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -133,8 +135,12 @@ def _end(stack: list[Node], tags: set[str], walls: frozenset | set) -> None:
             return
 
 
-def is_frame(node: Node) -> bool:
-    """Whether tag and attributes alone show that an element is not main text."""
+def is_frame(node: Node, inside: bool = False) -> bool:
+    """Whether tag and attributes alone show that an element is not main text.
+
+    Words of class, id and role count outside articles (``inside`` is false)
+    and only for elements that hold none; those of comments count everywhere.
+    """
     if node.tag in FRAME:
         return True
     a = node.attributes
@@ -143,7 +149,17 @@ def is_frame(node: Node) -> bool:
         return True
     if node.tag in ("html", "body", "#page") or node.tag in ARTICLE:
         return False
-    return bool(MARKS.search(" ".join((a.get("class", ""), a.get("id", ""), a.get("role", "")))))
+    words = a.get("class", "").lower().split()
+    if not COMMENTS.isdisjoint(words):
+        return not _holds_article(node)
+    words += [a.get("id", "").strip(), *a.get("role", "").split()]
+    return not inside and any(map(MARKS.fullmatch, words)) and not _holds_article(node)
+
+
+def _holds_article(node: Node) -> bool:
+    """Whether an article that is no reader's comment stands in an element."""
+    return any(n.tag in ARTICLE and COMMENTS.isdisjoint(n.attributes.get("class", "").lower().split())
+               for n, entered in _walk(node) if entered)
 
 
 def _walk(root: Node) -> Iterator[tuple[Node, bool]]:
@@ -222,7 +238,7 @@ def main_text(root: Node, template: set[int] | frozenset[int] = frozenset()) ->
         elif isinstance(item, str):
             line.append(item)
         else:
-            if item is not start and (is_frame(item) or item.key in template and (not article or item.tag in BOXES)):
+            if item is not start and (is_frame(item, article) or item.key in template and (not article or item.tag in BOXES)):
                 flush()
                 continue
             block = item.tag not in INLINE

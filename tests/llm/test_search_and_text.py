@@ -147,6 +147,18 @@ def test_paragraphs_shared_by_articles_stay(table):
     assert all(r.text == f"own {r.page_id} shared by all" for r in got)
 
 
+def text_of(page):
+    return templates.main_text(templates.parse(page))
+
+
+def test_attribute_words_spare_main_text():
+    for wrapper in ('class="content no-sidebar"', 'id="layout-with-nav"', 'class="sidebar"'):
+        assert text_of(f"<div {wrapper}><article><p>Text</article></div><p>after") == "Text"
+    inner = '<h2 id="legal-framework">a</h2><section id="related-work">b</section><p class="side-effects notice">c</p>'
+    assert text_of(f"<article>{inner}<div class=comments>no</div></article>") == "a b c"
+    assert text_of(f'{inner.replace(" notice", "")}<div class="box Sidebar">no</div><div id=nav>no</div>') == "a b c"
+
+
 MAILS = [
     ("a", 1, "Hello all\n\nwhen do we meet?"),
     ("b", 5, "On Monday.\n\nOn 1 May A wrote:\n> Hello all\n>\n> when do we  MEET?"),
