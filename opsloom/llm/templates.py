@@ -20,10 +20,8 @@ from pyspark.sql import functions as F
 
 from opsloom.llm.store import kept, numbered, quoted, small_side
 
-#: Pages of a host with different main texts that share a template's subtree.
+#: Different main texts of a host beside which a template's subtree stands, whatever the host's size.
 RECURS = 3
-#: Share of a host's different main texts that a longer subtree has to stand beside.
-SHARE = 0.05
 #: Longest text of a template's part, in characters.
 TEMPLATE_CHARS = 2000
 
@@ -284,22 +282,21 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["page_id", "url", "text", "n_chars"])
 
 
-def template_subtrees(found: DataFrame, recurs: int = RECURS, share: float = SHARE) -> DataFrame:
+def template_subtrees(found: DataFrame, recurs: int = RECURS) -> DataFrame:
     """(host, subtree) of site templates; ``found`` has host, main and subtrees of each page.
 
     Counted are a host's different main texts, not its pages, so that copies of
-    one page do not make its article a template. Counts combine before they are
-    shuffled, and a host of any size is spread by its subtrees.
+    one page do not make its article a template. The count that decides is the
+    same for hosts of every size. Counts combine before they are shuffled, and a
+    host of any size is spread by its subtrees.
     """
-    mains = found.select("host", "main").distinct().groupBy("host").agg(F.count("*").alias("mains"))
     each = found.select("host", "main", F.explode("subtrees").alias("subtree")).distinct()
     counted = each.groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    return counted.filter(F.col("n") >= recurs).join(mains, "host").filter(
-        F.col("n") >= F.col("mains") * share).select("host", "subtree")
+    return counted.filter(F.col("n") >= recurs).select("host", "subtree")
 
 
 def main_texts(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html",
-               recurs: int = RECURS, share: float = SHARE) -> DataFrame:
+               recurs: int = RECURS) -> DataFrame:
     """Per page: page_id, url, text (whole main text, empty if none) and n_chars.
 
     Null and empty pages have empty text; pages without host form one site of
@@ -310,7 +307,7 @@ def main_texts(pages: DataFrame, id_column: str = "page_id", url_column: str = "
                                   quoted(html_column).alias("html")))
     found = kept(plain.select("uid", host_of(F.col("url")).alias("host"), "html").mapInArrow(
         _subtrees, "uid long, host string, main long, subtrees array<long>"), "subtrees")
-    template = kept(template_subtrees(found, recurs, share), "templates")
+    template = kept(template_subtrees(found, recurs), "templates")
     hits = found.select("uid", "host", F.explode("subtrees").alias("subtree")).join(
         small_side(template), ["host", "subtree"])
     by_page = kept(hits.groupBy("uid").agg(F.collect_list("subtree").alias("template")), "hits")

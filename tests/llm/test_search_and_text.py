@@ -159,6 +159,13 @@ def test_attribute_words_spare_main_text():
     assert text_of(f'{inner.replace(" notice", "")}<div class="box Sidebar">no</div><div id=nav>no</div>') == "a b c"
 
 
+def test_section_templates_of_a_large_host(table):
+    page = "<div><p>notice {s}</p></div><div><p>own {i} text</p></div>"
+    rows = [(i, "http://l.example/", page.format(s=i // 4, i=i), "") for i in range(400)]
+    got = templates.main_texts(table(rows, "page_id long, url string, html string, text string")).collect()
+    assert all(r.text == f"own {r.page_id} text" for r in got)
+
+
 MAILS = [
     ("a", 1, "Hello all\n\nwhen do we meet?"),
     ("b", 5, "On Monday.\n\nOn 1 May A wrote:\n> Hello all\n>\n> when do we  MEET?"),
