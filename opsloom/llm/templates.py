@@ -22,8 +22,6 @@ from opsloom.llm.store import kept, numbered, quoted, small_side
 
 #: Different main texts of a host beside which a template's subtree stands, whatever the host's size.
 RECURS = 3
-#: Longest text of a template's part, in characters.
-TEMPLATE_CHARS = 2000
 
 #: Elements of the page's frame, or never shown as text.
 FRAME = frozenset("""
@@ -189,14 +187,21 @@ def hash_subtrees(root: Node) -> None:
 
 
 def template_candidates(root: Node) -> set[int]:
-    """Subtrees of a page that may belong to its site's template."""
+    """Subtrees of a page that may belong to its site's template: of any length, but none that holds an article."""
     found: set[int] = set()
     inside = 0
+    holding: list[bool] = []     # whether an article stands in each open element
     for node, entered in _walk(root):
         if node.tag in ARTICLE:
             inside += 1 if entered else -1
-        elif (entered and node.chars and node.chars <= TEMPLATE_CHARS and node.tag not in INLINE
-              and node.tag not in ("#page", "html", "head", "body", "title") and (not inside or node.tag in BOXES)):
+        if entered:
+            holding.append(node.tag in ARTICLE)
+            continue
+        holds = holding.pop()
+        if holds and holding:
+            holding[-1] = True
+        if (not holds and node.chars and node.tag not in INLINE
+                and node.tag not in ("#page", "html", "head", "body", "title") and (not inside or node.tag in BOXES)):
             found.add(node.key)
     return found
 

@@ -166,6 +166,18 @@ def test_section_templates_of_a_large_host(table):
     assert all(r.text == f"own {r.page_id} text" for r in got)
 
 
+def test_long_template_parts_go(table):
+    legal = " ".join(f"clause {k} of the terms" for k in range(300))
+    rows = [(i, "http://t.example/", f"<div>{legal}</div><div><p>own {i}</p></div>", "") for i in range(5)]
+    got = templates.main_texts(table(rows, "page_id long, url string, html string, text string")).collect()
+    assert all(r.text == f"own {r.page_id}" for r in got)
+    long, holder = "<div>" + legal + "</div>", "<div><article>x</article></div>"
+    root = templates.parse(long + holder)
+    templates.hash_subtrees(root)
+    found = templates.template_candidates(root)
+    assert root.children[0].key in found and root.children[1].key not in found
+
+
 MAILS = [
     ("a", 1, "Hello all\n\nwhen do we meet?"),
     ("b", 5, "On Monday.\n\nOn 1 May A wrote:\n> Hello all\n>\n> when do we  MEET?"),
