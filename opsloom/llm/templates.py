@@ -143,9 +143,11 @@ def is_frame(node: Node, inside: bool = False) -> bool:
     if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden",
                                                                    a.get("style", ""), re.I):
         return True
-    if node.tag in ("html", "body", "#page") or node.tag in ARTICLE:
+    if node.tag in ("html", "body", "#page"):
         return False
     words = a.get("class", "").lower().split()
+    if node.tag in ARTICLE:
+        return not COMMENTS.isdisjoint(words)
     if not COMMENTS.isdisjoint(words):
         return not _holds_article(node)
     words += [a.get("id", "").strip(), *a.get("role", "").split()]
@@ -187,7 +189,10 @@ def hash_subtrees(root: Node) -> None:
 
 
 def template_candidates(root: Node) -> set[int]:
-    """Subtrees of a page that may belong to its site's template: of any length, but none that holds an article."""
+    """Subtrees of a page that may belong to its site's template: of any length, but none that holds an article.
+
+    Articles that stand in no other may, as well.
+    """
     found: set[int] = set()
     inside = 0
     holding: list[bool] = []     # whether an article stands in each open element
@@ -200,28 +205,53 @@ def template_candidates(root: Node) -> set[int]:
         holds = holding.pop()
         if holds and holding:
             holding[-1] = True
-        if (not holds and node.chars and node.tag not in INLINE
+        if node.tag in ARTICLE and not inside and node.chars:
+            found.add(node.key)
+        elif (not holds and node.chars and node.tag not in INLINE
                 and node.tag not in ("#page", "html", "head", "body", "title") and (not inside or node.tag in BOXES)):
             found.add(node.key)
     return found
 
 
-def main_root(root: Node) -> Node:
-    """The article with most text, else the page."""
+def articles(root: Node) -> list[Node]:
+    """Articles that stand in no other one and are no frame, in page order."""
     found: list[Node] = []
     stack = [root]
     while stack:
         node = stack.pop()
         if node.tag in ARTICLE:
             found.append(node)
-        stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and not is_frame(c))
-    if len(found) > 1 and not root.key:
-        hash_subtrees(root)
-    return max(found, key=lambda n: n.chars) if found else root
+        else:
+            stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and not is_frame(c))
+    return found
+
+
+def largest(found: list[Node]) -> Node:
+    """The article with most main text."""
+    def shown(article: Node) -> int:
+        chars, stack = 0, [article]
+        while stack:
+            for c in stack.pop().children:
+                if isinstance(c, str):
+                    chars += len(_BLANK.sub(" ", c).strip())
+                elif not is_frame(c, True):
+                    stack.append(c)
+        return chars
+
+    return max(found, key=shown) if len(found) > 1 else found[0]
+
+
+def main_roots(root: Node, template: set[int] | frozenset[int] = frozenset()) -> list[Node]:
+    """The articles without those of the template, else the page; the largest article always stays."""
+    found = articles(root)
+    if not found:
+        return [root]
+    main = largest(found)
+    return [n for n in found if n is main or n.key not in template]
 
 
 def main_text(root: Node, template: set[int] | frozenset[int] = frozenset()) -> str:
-    """Blocks of the article, without frame and template subtrees, joined by one space."""
+    """Blocks of the articles, without frame and template subtrees, joined by one space."""
     blocks: list[str] = []
     line: list[str] = []
 
@@ -231,9 +261,10 @@ def main_text(root: Node, template: set[int] | frozenset[int] = frozenset()) ->
             blocks.append(text)
         line.clear()
 
-    start = main_root(root)
-    article = start.tag in ARTICLE
-    stack: list = [start]
+    starts = main_roots(root, template)
+    article = starts[0].tag in ARTICLE
+    begins = {id(n) for n in starts}
+    stack: list = starts[::-1]
     while stack:
         item = stack.pop()
         if item is None:
@@ -241,7 +272,7 @@ def main_text(root: Node, template: set[int] | frozenset[int] = frozenset()) ->
         elif isinstance(item, str):
             line.append(item)
         else:
-            if item is not start and (is_frame(item, article) or item.key in template and (not article or item.tag in BOXES)):
+            if id(item) not in begins and (is_frame(item, article) or item.key in template and (not article or item.tag in BOXES)):
                 flush()
                 continue
             block = item.tag not in INLINE
@@ -260,14 +291,14 @@ def host_of(url: Column) -> Column:
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page: the hash of its main text and the distinct subtrees that may be template."""
+    """Per page: the hash of its main text (its largest article) and the distinct subtrees that may be template."""
     for batch in batches:
         texts, found = [], []
         for page in batch.column(2).to_pylist():
             root = parse(page or "")
             hash_subtrees(root)
-            start = main_root(root)
-            texts.append(start.key if start is not root else xxhash.xxh64(main_text(root)).intdigest() - (1 << 63))
+            parts = articles(root)
+            texts.append(largest(parts).key if parts else xxhash.xxh64(main_text(root)).intdigest() - (1 << 63))
             found.append(sorted(template_candidates(root)))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.int64()), pa.array(found, pa.list_(pa.int64()))],

@@ -178,6 +178,20 @@ def test_long_template_parts_go(table):
     assert root.children[0].key in found and root.children[1].key not in found
 
 
+def test_articles_in_page_order_without_comments():
+    noise = "<script>" + "x" * 900 + "</script>"
+    assert text_of(f"<article>{noise}one</article><p>no</p><article>two, longer</article><article>3</article>") == "one two, longer 3"
+    comment = '<article class="comment">a reader says very much more than the article</article>'
+    assert text_of(f"<article>Text{comment}</article>") == "Text"
+    assert text_of(f"<article>Text</article>{comment}<div class=comments>{comment}</div>") == "Text"
+
+
+def test_articles_of_the_template_go(table):
+    rows = [(i, "http://u.example/", f"<article>own text of page {i}</article><article>offer</article>", "") for i in range(5)]
+    got = templates.main_texts(table(rows, "page_id long, url string, html string, text string")).collect()
+    assert all(r.text == f"own text of page {r.page_id}" for r in got)
+
+
 MAILS = [
     ("a", 1, "Hello all\n\nwhen do we meet?"),
     ("b", 5, "On Monday.\n\nOn 1 May A wrote:\n> Hello all\n>\n> when do we  MEET?"),
