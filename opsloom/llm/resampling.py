@@ -28,6 +28,8 @@ GRAM_BYTES = 5
 FEATURES = 3
 #: Labelled rows that models and thresholds are fitted on, at most.
 LABELLED = 200_000
+#: Kinds of labels, each of which is a model in memory; more are refused.
+MOST_KINDS = 64
 #: Strength of the corpus model in every other, in n-grams.
 SMOOTHING = 1000.0
 #: Standard deviations by which an n-gram's share has to differ to count.
@@ -127,7 +129,10 @@ def fit_ratio_model(docs: DataFrame, labelled: DataFrame, text: str = "text", ke
               .groupBy("kind", "copy").agg(F.min("key").alias("key"))
               .select("key", "kind").distinct().orderBy(F.xxhash64("key"), "key").limit(labelled_rows))
     chosen = kept(chosen.withColumn("fits", F.pmod(F.xxhash64(F.lit("half"), "key"), F.lit(2)) == 0), "labels")
-    kinds = sorted(r[0] for r in chosen.select("kind").distinct().limit(64).collect() if r[0] != target)
+    found = [r[0] for r in chosen.select("kind").distinct().limit(MOST_KINDS + 1).collect()]
+    if len(found) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of labels; merge rare ones")
+    kinds = sorted(k for k in found if k != target)
     models = [target, *kinds]
     number = F.create_map(*[F.lit(x) for pair in zip(models, range(len(models))) for x in pair])
     fitting = F.broadcast(chosen.filter("fits").select("key", F.get(F.array(number[F.col("kind")]), F.lit(0)).alias("model")))

@@ -114,6 +114,13 @@ def test_gumbel_top_k_is_exact_and_follows_weights(spark, table):
     assert abs(noise.mean() - 0.5772) < 0.03 and abs(noise.var() - math.pi**2 / 6) < 0.08
 
 
+def test_too_many_kinds_are_refused(table):
+    docs = table([(i, f"text {i}") for i in range(70)], "doc_id long, text string")
+    kinds = table([(i, f"kind {i}") for i in range(70)], "doc_id long, kind string")
+    with pytest.raises(ValueError, match="64 kinds"):
+        resampling.fit_ratio_model(docs, kinds)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T {n}</title><style>p{{}}</style><script>if (a<b) "</p>";</script></head>
 <body><div class=top><span>My site</span> <b>slogan</b></div><div id='x{n}'>
 <p>Start {n} of &eacute;t&#233; &amp; co<br>next   line<p>second <i>part</i> {n}</div>
