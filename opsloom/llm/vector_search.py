@@ -21,6 +21,8 @@ from opsloom.llm.store import kept, quoted
 
 #: Rows that the centre is taken from.
 CENTRE_ROWS = 8192
+#: Vector widths, each of which has a rotation in memory; more are refused.
+MOST_WIDTHS = 1000
 #: Standard deviations of the code's error that the bound allows.
 CERTAINTY = 3.0
 #: Queries held by a task at once; with a dimension of 1,536 that is 25 MB.
@@ -108,7 +110,10 @@ def build_index(table: DataFrame, key: str, vector: str, most: int) -> tuple[Dat
     found = kept(distinct_vectors(table, key, vector, most), "vectors")
     sample = found.orderBy(F.xxhash64("v"), "ids").limit(CENTRE_ROWS).select("v", "width").collect()
     centres, turns = {}, {}
-    for (width,) in found.select("width").distinct().limit(1000).collect():
+    widths = found.select("width").distinct().limit(MOST_WIDTHS + 1).collect()
+    if len(widths) > MOST_WIDTHS:
+        raise ValueError(f"vectors of more than {MOST_WIDTHS} widths")
+    for (width,) in widths:
         rows = np.array([r.v for r in sample if r.width == width], float).reshape(-1, width)
         units = rows / np.linalg.norm(rows, axis=1)[:, None]
         centres[width] = units.mean(axis=0) if len(rows) else np.zeros(width)
@@ -210,7 +215,7 @@ def nearest(table: DataFrame, key: str = "vec_id", vector: str = "embedding", ev
              .select(quoted(key).cast("long").alias("query_id"), quoted(vector).alias("v")).distinct())
     distinct = kept(asked.join(index.select("v", "width"), "v").select("v", "width").distinct(), "queries")
     results = []
-    for (width, n) in distinct.groupBy("width").count().orderBy("width").limit(1000).collect():
+    for (width, n) in distinct.groupBy("width").count().orderBy("width").collect():
         blocks = -(-n // query_block)
         for b in range(blocks):
             rows = (distinct.filter((F.col("width") == width) & (F.pmod(F.xxhash64("v"), F.lit(blocks)) == b))

@@ -121,6 +121,12 @@ def test_too_many_kinds_are_refused(table):
         resampling.fit_ratio_model(docs, kinds)
 
 
+def test_too_many_widths_are_refused(table):
+    vectors = table([(i, [1.0] * (i + 1), 0, "") for i in range(1001)], VECTORS)
+    with pytest.raises(ValueError, match="1000 widths"):
+        vector_search.nearest(vectors)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T {n}</title><style>p{{}}</style><script>if (a<b) "</p>";</script></head>
 <body><div class=top><span>My site</span> <b>slogan</b></div><div id='x{n}'>
 <p>Start {n} of &eacute;t&#233; &amp; co<br>next   line<p>second <i>part</i> {n}</div>
