@@ -85,9 +85,15 @@ def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_variants(load_tables(spark, folder)["documents"])
 
 
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    from opsloom.llm.whitening import whitened
+
+    return whitened(load_tables(spark, folder)["embeddings"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontaminate, op2_one_bit_search, op3_token_file, op4_best_fit, op5_near_duplicates, op6_resample, op7_fuzzy_lines, op8_templates, op9_token_counts,
-                           op10_quoted_threads, op12_spelling_variants)
+                           op10_quoted_threads, op12_spelling_variants, op13_whitening)
 }
 
 ORACLES: dict[str, str] = {"op10_quoted_threads": quotes.ORACLE}
