@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+
+import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +26,35 @@ def kept(df: DataFrame, label: str) -> DataFrame:
 def numbered(docs: DataFrame, name: str = "uid") -> DataFrame:
     """Give every row a number that each scan of the same table repeats.
 
-    The numbers follow file splits, so ``docs`` has to be a table scan, not the
-    result of a shuffle; write such a result first.
+    The number holds the row's file and its place in the file, so it does not
+    depend on splits, on the cores there are, or on a task that is run again.
+    ``docs`` is a scan of Parquet files, with projections and filters; of
+    anything else the rows are written first.
     """
-    return docs.withColumn(name, F.monotonically_increasing_id())
+    file, row = fresh(docs, "_file", "_row")
+
+    def placed(df: DataFrame) -> DataFrame:
+        at = df.metadataColumn("_metadata")
+        return df.select("*", at["file_path"].alias(file), at["row_index"].alias(row))
+
+    try:
+        out = placed(docs)
+    except AnalysisException:
+        docs = kept(docs, "rows")
+        out = placed(docs)
+    salt, bits = _file_hash(docs.inputFiles())
+    place = F.when(F.shiftright(row, 63 - bits) == 0, F.col(row)).otherwise(
+        F.raise_error(F.lit("a file has too many rows to number them")).cast("long"))
+    code = F.xxhash64(F.concat(F.col(file), F.lit(salt))).bitwiseAND((1 << bits) - 1)
+    return out.select(*[quoted(c) for c in docs.columns], F.shiftleft(code, 63 - bits).bitwiseOR(place).alias(name))
+
+
+def _file_hash(files: list[str]) -> tuple[str, int]:
+    """(salt, bits) of a hash that tells all files apart; the driver lists them anyway."""
+    bits = max(8, 2 * len(files).bit_length() - 1)
+    for salt in map(str, itertools.count()):
+        if len({xxhash.xxh64_intdigest(f + salt, 42) & ((1 << bits) - 1) for f in files}) == len(set(files)):
+            return salt, bits
 
 
 def small_side(df: DataFrame, rows: int | None = None, bound: int = BROADCAST_ROWS) -> DataFrame:
