@@ -79,6 +79,12 @@ def op10_quoted_threads(spark: SparkSession, folder: str) -> DataFrame:
     return quotes.thread_report(load_tables(spark, folder)["conversations"])
 
 
+def op11_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from opsloom.llm.license_scan import license_scan
+
+    return license_scan(load_tables(spark, folder)["documents"])
+
+
 def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     from opsloom.llm.spelling import spelling_variants
 
@@ -93,7 +99,7 @@ def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontaminate, op2_one_bit_search, op3_token_file, op4_best_fit, op5_near_duplicates, op6_resample, op7_fuzzy_lines, op8_templates, op9_token_counts,
-                           op10_quoted_threads, op12_spelling_variants, op13_whitening)
+                           op10_quoted_threads, op11_license_scan, op12_spelling_variants, op13_whitening)
 }
 
 ORACLES: dict[str, str] = {"op10_quoted_threads": quotes.ORACLE}
