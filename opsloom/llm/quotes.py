@@ -16,26 +16,37 @@ from opsloom.llm.store import kept, quoted
 #: First words and last words of lines that announce a quotation.
 ANNOUNCES = (r"(?i)^\s*(on\b.{0,300}\bwrote|am\b.{0,300}\bschrieb.{0,300}|le\b.{0,300}\ba écrit"
              r"|el\b.{0,300}\bescribió|-+ ?original message ?-+)\s*:?\s*$")
-_LEVEL = r"^((?:\s*>)+)"
-_BREAK = "\u0001"
+_LEVEL = r"^[\s>]*>"
+_BREAK, _TAG = "\u0001", "\u0002"
 #: Units of ``sent`` that one piece of a hot passage's or conversation's history spans.
 SPAN = 100_000_000
 
 
 def read_lines(text: Column, announces: str = ANNOUNCES) -> Column:
-    """array<struct<level:int, line:string>> of a message; announcing lines have level -1."""
+    """array<struct<level:int, line:string>> of a message.
 
-    def read(line: Column) -> Column:
-        marks = F.length(F.regexp_replace(F.regexp_extract(line, _LEVEL, 1), r"\s", ""))
-        level = F.when((marks == 0) & line.rlike(announces), F.lit(-1)).otherwise(marks)
-        return F.struct(level.cast("int").alias("level"), F.regexp_replace(line, _LEVEL + r"\s?", "").alias("line"))
+    A line that announces a quotation, and is followed by one but for blank
+    lines, has level -1.
+    """
+    lines = F.split(text, "\n", -1)
+
+    def code(line: Column) -> Column:
+        return (F.when(line.rlike(_LEVEL), F.lit("q")).when(~line.rlike(r"\S"), F.lit("b"))
+                .when(line.rlike(announces), F.lit("a")).otherwise(F.lit("o")))
+
+    codes = F.regexp_replace(F.array_join(F.transform(lines, code), ""), "a(?=b*+q)", "A")
+
+    def read(line: Column, code: Column) -> Column:
+        marks = F.when(code == "q", F.length(F.regexp_replace(F.regexp_extract(line, _LEVEL, 0), r"\s", ""))).otherwise(F.lit(0))
+        return F.struct(F.when(code == "A", F.lit(-1)).otherwise(marks).cast("int").alias("level"),
+                        F.when(code == "q", F.regexp_replace(line, _LEVEL + r"\s?", "")).otherwise(line).alias("line"))
 
-    return F.transform(F.split(F.regexp_replace(text, "[" + _BREAK + "\r]", ""), "\n", -1), read)
+    return F.zip_with(lines, F.regexp_extract_all(codes, F.lit("."), F.lit(0)), read)
 
 
 def normal_form(text: Column) -> Column:
-    """Lower case, with runs of white space as one space."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[\s\x{a0}]+", " "))
+    """Lower case, with runs of white space, and of the signs that this module marks with, as one space."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[\s\x{a0}\x01\x02]+", " "))
 
 
 def own_text(lines: Column) -> Column:
@@ -48,17 +59,30 @@ def passages(lines: Column) -> Column:
     """array<struct<level:int, form:string>>: each paragraph and each line of it, of all levels.
 
     A paragraph is a run of lines of one level without a blank line between.
+    ``lines`` is a column of a table, so that it is read once: the work grows
+    with the lines, however many levels there are.
     """
-    top = F.coalesce(F.array_max(F.transform(lines, lambda x: x["level"])), F.lit(0))
+    forms = F.transform(lines, lambda x: F.struct(
+        x["level"].alias("level"), F.when(x["level"] < 0, F.lit("")).otherwise(normal_form(x["line"])).alias("form")))
+    before = F.concat(F.array(F.lit(None).cast("int")), F.transform(lines, lambda x: x["level"]))
+
+    def tagged(x: Column) -> Column:
+        return F.concat(x["level"].cast("string"), F.lit(_TAG), x["form"])
+
+    def piece(x: Column, level: Column) -> Column:
+        goes_on = x["level"].eqNullSafe(level)
+        return (F.when(x["form"].isNull(), F.lit("")).when(x["form"] == "", F.concat(F.lit(_BREAK), tagged(x)))
+                .when(goes_on, x["form"]).otherwise(F.concat(F.lit(_BREAK), tagged(x))))
+
+    paragraphs = F.transform(F.split(F.array_join(F.zip_with(forms, before, piece), " "), _BREAK),
+                             lambda s: F.concat_ws(_TAG, F.substring_index(s, _TAG, 1), F.trim(F.substring_index(s, _TAG, -1))))
+    each = F.transform(forms, tagged)
+    found = F.filter(F.array_distinct(F.concat(paragraphs, each)), lambda s: s.rlike("(?s)" + _TAG + "."))
 
-    def of_level(level: Column) -> Column:
-        each = F.transform(lines, lambda x: F.when(x["level"] == level, normal_form(x["line"])).otherwise(F.lit("")))
-        marked = F.array_join(F.transform(each, lambda s: F.when(s == "", F.lit(_BREAK)).otherwise(s)), " ")
-        paragraphs = F.transform(F.split(marked, _BREAK), lambda s: F.trim(s))
-        found = F.filter(F.array_distinct(F.concat(paragraphs, each)), lambda s: s != "")
-        return F.transform(found, lambda s: F.struct(level.alias("level"), s.alias("form")))
+    def untagged(s: Column) -> Column:
+        return F.struct(F.substring_index(s, _TAG, 1).cast("int").alias("level"), F.substring_index(s, _TAG, -1).alias("form"))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(top, F.lit(0))), of_level))
+    return F.transform(found, untagged)
 
 
 def link_quotes(messages: DataFrame, key: str = "id", sent: str = "sent", text: str = "text",

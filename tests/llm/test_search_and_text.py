@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ from conftest import WORDS, prose
 from pyspark.sql import functions as F
 
 from opsloom.llm import quotes, resampling, templates, vector_search
+from opsloom.llm.store import kept
 
 VECTORS = "vec_id long, embedding array<float>, rank int, v string"
 
@@ -240,5 +242,30 @@ def test_long_chains_and_hot_passages(spark):
     assert quotes.conversations(spark.createDataFrame([], "id long, sent long, text string")).count() == 0
 
 
+def read(spark, text):
+    df = spark.createDataFrame([(text,)], "text string").select(quotes.read_lines(F.col("text")).alias("lines"))
+    row = kept(df, "lines").select("lines", quotes.passages(F.col("lines")).alias("found")).first()
+    return [(x.level, x.line) for x in row.lines], sorted((x.level, x.form) for x in row.found)
+
+
+def test_lines_and_passages(spark):
+    lines, found = read(spark, "Hi\r\nOn Monday she wrote:\n\n> a  B\n> c\n>> d\n> \n> e\nOn Monday he wrote:\nbye\u0001")
+    assert lines == [(0, "Hi\r"), (-1, "On Monday she wrote:"), (0, ""), (1, "a  B"), (1, "c"), (2, "d"), (1, ""), (1, "e"),
+                     (0, "On Monday he wrote:"), (0, "bye\u0001")]
+    assert found == [(0, "bye"), (0, "hi"), (0, "on monday he wrote:"), (0, "on monday he wrote: bye"),
+                     (1, "a b"), (1, "a b c"), (1, "c"), (1, "e"), (2, "d")]
+
+
+def test_deep_and_long_quotations(spark):
+    lines, found = read(spark, ">" * 1_000_000 + " deep")
+    assert lines == [(1_000_000, "deep")] and found == [(1_000_000, "deep")]
+    lines, found = read(spark, " " * 300_000 + "x")
+    assert lines[0][0] == 0
+    text = "\n".join(">" * (1 + i % 500) + f" line {i}" for i in range(20_000))
+    began = time.time()
+    lines, found = read(spark, text)
+    assert len(found) == 20_000 and time.time() - began < 30
+
+
 def test_words_fixture_is_plain():
     assert len(set(WORDS)) == len(WORDS)
