@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes worked on at once. A longer single text is one piece of its own.
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 500_000
 
 
 def text_pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -152,9 +152,10 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.check: list[int] = []
-        self.flat, self.place = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64)
+        # By first hash, ascending: the hash and the number of its pre-token; by number: second hash, place of the ids.
+        self.hash, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.check, self.place = np.zeros(0, np.uint64), np.zeros(1, np.int64)
+        self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
     def encode_each(self, pieces: list[str]) -> list[list[int]]:
@@ -164,20 +165,19 @@ class Encoder:
                 [x.id for x in tokenize(piece.encode("utf-8", "replace").decode("latin-1").translate(signs))]
                 for piece in pieces]
 
-    def _learn(self, t: PreTokens, places: np.ndarray) -> None:
+    def _learn(self, t: PreTokens, places: np.ndarray) -> np.ndarray:
+        """Remember the ids of distinct pre-tokens; their numbers."""
         ids = self.encode_each(t.spell(places))
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
-        n = len(self.check)
         if self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat[:self.used], np.zeros(max(len(flat), self.used), np.uint32)])
-        if n + len(ids) + 1 > len(self.place):
-            self.place = np.concatenate([self.place[:n + 1], np.zeros(max(len(ids), n), np.int64)])
         self.flat[self.used:self.used + len(flat)] = flat
-        self.place[n + 1:n + 1 + len(ids)] = self.used + np.cumsum(lengths)
+        numbers = np.arange(len(self.check), len(self.check) + len(ids))
+        self.check = np.concatenate([self.check, t.second[places]])
+        self.place = np.concatenate([self.place, self.used + np.cumsum(lengths)])
         self.used += len(flat)
-        self.known.update(zip(t.first[places].tolist(), range(n, n + len(ids))))
-        self.check += t.second[places].tolist()
+        return numbers
 
     def ids(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text)."""
@@ -186,26 +186,26 @@ class Encoder:
         if not len(t.start):
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
         place, number = t.distinct()
-        if len(self.known) + len(place) > REMEMBERED:
+        if len(self.check) + len(place) > REMEMBERED:
             self._forget()
-        get = self.known.get
-        at = np.array([get(h, -1) for h in t.first[place].tolist()], np.int64)
-        new = np.flatnonzero(at < 0)
+        first = t.first[place]
+        at = np.searchsorted(self.hash, first)
+        known = np.zeros(len(first), bool)
+        inside = at < len(self.hash)
+        known[inside] = self.hash[at[inside]] == first[inside]
+        found = np.zeros(len(first), np.int64)
+        found[known] = self.number[at[known]]
+        new = np.flatnonzero(~known)
         if len(new):
-            begin = len(self.check)
-            self._learn(t, place[new])
-            at[new] = begin + np.arange(len(new))
-        check = self.check
-        seconds = t.second[place].tolist()
-        clash = [i for i, (a, s) in enumerate(zip(at.tolist(), seconds)) if check[a] != s]
-        lengths = self.place[at + 1] - self.place[at]
-        if clash:  # two pre-tokens with one first hash: encode these directly
-            begin = len(self.check)
-            self._learn(t, place[clash])
-            at[clash] = begin + np.arange(len(clash))
-            lengths = self.place[at + 1] - self.place[at]
-        each = lengths[number]
-        flat = self.flat[spans(self.place[at][number], each)]
+            found[new] = self._learn(t, place[new])
+            order = new[np.argsort(first[new], kind="stable")]
+            self.hash = np.insert(self.hash, at[order], first[order])
+            self.number = np.insert(self.number, at[order], found[order].astype(np.int32))
+        clash = np.flatnonzero(self.check[found] != t.second[place])
+        if len(clash):      # two pre-tokens with one first hash: encoded anew each time
+            found[clash] = self._learn(t, place[clash])
+        each = (self.place[found + 1] - self.place[found])[number]
+        flat = self.flat[spans(self.place[found][number], each)]
         counts = np.bincount(t.owner, weights=each, minlength=n).astype(np.int64)
         return flat, counts
 
