@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsloom.llm.arrow import mix
-from opsloom.llm.components import components
+from opsloom.llm.components import components, extended
 from opsloom.llm.store import kept, small_side
 
 WITH_SMALLEST, WITH_NEIGHBOUR, EDGE, MEMBER = 0, 1, 2, 3
@@ -133,8 +133,7 @@ def linked(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], holds: Ca
              .filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
     second = verify(kept(apart, "apart"))
     if second.limit(1).count():
-        links = links.union(second)
-        roots = components(links)
+        roots = extended(roots, second)
 
     rooted = kept(members.join(roots.withColumnRenamed("node", "id"), "id", "left").select(
         "band", "id", F.coalesce("root", "id").alias("root")), "members")
@@ -148,10 +147,10 @@ def linked(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], holds: Ca
     more = [verify(kept(rest, "rest"))]
     if crowds.limit(1).count():
         more.append(_crowd_links(crowds, texts, sets, alike, least))
-    more = [m for m in more if m.limit(1).count()]
-    for m in more:
-        links = links.union(m)
-    return components(links) if more else roots
+    for links in more:
+        if links.limit(1).count():
+            roots = extended(roots, links)
+    return roots
 
 
 def _crowd_links(members: DataFrame, texts: Callable, sets: Callable, alike: Callable, least: float) -> DataFrame:

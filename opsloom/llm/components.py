@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsloom.llm.store import kept
+from opsloom.llm.store import kept, small_side
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -40,5 +40,18 @@ def components(edges: DataFrame) -> DataFrame:
     return kept(roots, "roots")
 
 
+def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after further links (a, b): only the components that these touch are worked on."""
+    def side(name: str) -> DataFrame:
+        return roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+
+    between = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(
+        F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    moved = components(between)
+    later = small_side(moved.select(F.col("node").alias("root"), F.col("root").alias("later")))
+    same = roots.join(later, "root", "left").select("node", F.coalesce("later", "root").alias("root"))
+    return kept(same.union(moved.join(roots.select("node"), "node", "left_anti").select("node", "root")), "roots")
+
+
 def _plain(edges: DataFrame) -> DataFrame:
     return edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

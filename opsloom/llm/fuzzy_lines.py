@@ -13,18 +13,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsloom.llm.arrow import SpanHasher, mix, ragged, spans, text_pieces
 from opsloom.llm.banding import band_keys, linked
 from opsloom.llm.store import BROADCAST_ROWS, fresh, kept, numbered, quoted, small_side
-from opsloom.llm.words import words_of
+from opsloom.llm.words import LOWER, WORD
 
 SHINGLE, SIMILARITY = 8, 0.8
 #: Lines at the least similarity share a band with probability 1 - (1 - 0.8**4)**12 = 0.998.
 BANDS, ROWS = 12, 4
 _PIECE = 400_000
+_BASE = 0x9E3779B97F4A7C15
 
 _A, _B = SpanHasher(0x9E3779B97F4A7C15), SpanHasher(0xD1B54A32D192ED03)
 
@@ -33,52 +35,77 @@ class Lines:
     """The lines of consecutive texts that have a word, in normal form."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray):
-        w = words_of(raw, offsets)
-        breaks = np.cumsum(raw == 10)
-        of_text = np.searchsorted(offsets, w.start, "right") - 1
-        before = np.concatenate([[0], breaks])[offsets[of_text]]
-        line = (breaks[w.start] if len(w.start) else w.start) - before       # number within the text
-        new = np.ones(len(line), bool)
-        new[1:] = (line[1:] != line[:-1]) | (of_text[1:] != of_text[:-1])
-        at = np.flatnonzero(new)
-        self.text, self.number = of_text[at], line[at]
-        lengths = w.end - w.start + 1
-        padded = np.append(w.raw, np.uint8(32))
-        form = padded[spans(w.start, lengths)]
-        ends = np.cumsum(lengths)
-        form[ends - 1] = 32
-        chars = np.concatenate([[0], np.cumsum((form & 0xC0) != 0x80)])
-        first = (ends - lengths)[at]
-        last = np.append(first[1:], len(form)) - 1
-        self.code = np.frombuffer(form.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-        self.start, self.end = chars[first], chars[last]
+        cut = Cuts(raw, offsets)
+        lower = LOWER[cut.raw]
+        inside = WORD[lower]
+        after = np.zeros(len(inside), bool)           # the first sign after each word becomes the blank between words
+        after[1:] = inside[:-1] & ~inside[1:]
+        keep = inside | after
+        form = lower[keep]
+        form[after[keep]] = 32
+        ends = np.cumsum(keep)[cut.end]
+        begins = np.append(0, ends[:-1]) if len(ends) else ends
+        spoken = np.flatnonzero(ends > begins)
+        self.text, self.number = cut.text[spoken], cut.number[spoken]
+        self.begin, self.size = cut.begin[spoken], cut.end[spoken] - cut.start[spoken]
+        first, last = begins[spoken], ends[spoken] - 1
+        if len(form) and form.max() > 127:
+            chars = np.concatenate([[0], np.cumsum((form & 0xC0) != 0x80)])
+            self.code = np.frombuffer(form.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+            self.start, self.end = chars[first], chars[last]
+        else:
+            self.code, self.start, self.end = form, first, last
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         return _A(self.code, self.start, self.end), _B(self.code, self.start, self.end)
 
     def shingles(self, which: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(place in ``which``, hash) of every shingle; a shorter line is one shingle."""
-        size = self.end - self.start
-        place = np.full(len(size), -1, np.int32)
-        place[which] = np.arange(len(which))
-        # Every window of the joined lines, then those within one wanted line.
-        owner = np.repeat(place, size + 1)
-        n = max(len(owner) - width, 0)
-        keys = np.zeros(n, np.uint64)
-        with np.errstate(over="ignore"):
-            for j in range(width):
-                keys *= np.uint64(0x9E3779B97F4A7C15)
-                keys += self.code[j:j + n]
-        inside = owner[:n] >= 0
-        inside &= np.repeat(self.end, size + 1)[:n] - width >= np.arange(n)
-        owner, keys = owner[:n][inside], mix(keys[inside])
-        short = np.flatnonzero((size < width) & (place >= 0))
+        size = (self.end - self.start)[which]
+        count = np.maximum(size - width + 1, 0)
+        owner = np.repeat(np.arange(len(which)), count)
+        keys = mix(_windows(self.code, width)[spans(self.start[which], count)])
+        short = np.flatnonzero(count == 0)
         if len(short):
-            owner = np.concatenate([owner, place[short]])
-            keys = np.concatenate([keys, _A(self.code, self.start[short], self.end[short])])
+            owner = np.concatenate([owner, short])
+            keys = np.concatenate([keys, _A(self.code, self.start[which[short]], self.end[which[short]])])
         return owner, keys
 
 
+class Cuts:
+    """All lines of consecutive texts. ``raw`` has a line break behind every text."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+        n = len(offsets) - 1
+        self.raw = np.insert(raw, offsets[1:], np.uint8(10))
+        first = offsets + np.arange(n + 1)                            # where the texts begin
+        self.end = np.flatnonzero(self.raw == 10)                     # of each line, at its break
+        self.start = np.append(0, self.end[:-1] + 1) if len(self.end) else self.end
+        self.text = np.searchsorted(first, self.start, "right") - 1
+        self.number = np.arange(len(self.end)) - np.searchsorted(self.start, first[:-1])[self.text]
+        self.begin = self.start - first[self.text]                    # in the bytes of the text
+
+
+def _windows(code: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the ``width`` symbols from each place on, by doubling."""
+    power = code.astype(np.uint64)                                    # windows of 1, 2, 4 ... symbols
+    out, done, size = None, 0, 1
+    with np.errstate(over="ignore"):
+        while True:
+            if width & size:
+                if out is None:
+                    out = power
+                else:
+                    n = max(len(code) - done - size + 1, 0)
+                    out = out[:n] * np.uint64(pow(_BASE, size, 1 << 64)) + power[done:done + n]
+                done += size
+            if done == width:
+                return out
+            n = max(len(power) - size, 0)
+            power = power[:n] * np.uint64(pow(_BASE, size, 1 << 64)) + power[size:size + n]
+            size *= 2
+
+
 def bin_minhash(owner: np.ndarray, keys: np.ndarray, n: int, size: int) -> np.ndarray:
     """Signatures of ``n`` sets by one permutation; an empty bin borrows a filled one's value."""
     bins = (((keys >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)).astype(np.int64)
@@ -121,6 +148,7 @@ def _sign(width: int, bands: int, rows: int):
                 yield pa.RecordBatch.from_pydict({
                     "lid": pa.array(lid + np.arange(n)), "uid": batch.column(0).take(place),
                     "order": batch.column(1).take(place), "line": pa.array(lines.number, pa.int32()),
+                    "begin": pa.array(lines.begin, pa.int32()), "size": pa.array(lines.size, pa.int32()),
                     "h1": pa.array(h1.view(np.int64)), "h2": pa.array(h2.view(np.int64)),
                     "bands": ragged(keyed.reshape(-1), signed * bands, pa.int64())})
                 lid += n
@@ -128,23 +156,36 @@ def _sign(width: int, bands: int, rows: int):
     return run
 
 
-def _holds(width: int, least: float, rows: int = 64):
+def _holds(width: int, least: float, rows: int = 2000):
     """Keep the pairs (a, b, line of a, line of b) whose shingle sets are alike enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, len(batch), rows):
                 part = batch.slice(low, rows)
-                n = len(part)
-                sets = _line_sets(pa.concat_arrays([part.column(2), part.column(3)]), width)
-                good = np.zeros(n, bool)
-                for i in range(n):
-                    good[i] = _alike(sets[i], sets[n + i], least)
-                yield part.select(["a", "b"]).filter(pa.array(good))
+                yield part.select(["a", "b"]).filter(pa.array(_pairs_alike(part.column(2), part.column(3), width, least)))
 
     return run
 
 
+def _pairs_alike(one: pa.Array, two: pa.Array, width: int, least: float) -> np.ndarray:
+    """For each pair of lines whether the Jaccard similarity of their distinct shingles is ``least`` or more."""
+    n = len(one)
+    good = np.zeros(n, bool)
+    for low, high, raw, offsets in text_pieces(pc.binary_join_element_wise(one, two, "\n"), _PIECE):
+        lines = Lines(raw, offsets)
+        owner, keys = lines.shingles(np.arange(len(lines.text)), width)
+        side = (lines.number[owner] + 1).astype(np.uint8)             # line 0 or 1 of the joined pair
+        owner = lines.text[owner]
+        order = np.lexsort((keys, owner))
+        owner, keys, side = owner[order], keys[order], side[order]
+        new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])))
+        held, of = np.bitwise_or.reduceat(side, new), owner[new]
+        both, any_ = np.bincount(of[held == 3], minlength=high - low), np.bincount(of, minlength=high - low)
+        good[low:high] = both >= least * any_ - 1e-9
+    return good
+
+
 def _alike(one: np.ndarray, two: np.ndarray, least: float) -> bool:
     """Whether two sets of distinct shingles have a Jaccard similarity of ``least`` or more."""
     if min(len(one), len(two)) < least * max(len(one), len(two)) - 1e-9:
@@ -175,8 +216,8 @@ def repeated_lines(docs: DataFrame, text: str = "text", order: str = "doc_id", w
     plain = numbered(docs.select(quoted(order).alias("order"), quoted(text).alias("text")))
     signed = kept(plain.select("uid", "order", "text").mapInArrow(
         _sign(width, bands, rows),
-        f"lid long, uid long, order {plain.schema['order'].dataType.simpleString()}, line int, h1 long, h2 long, "
-        "bands array<long>"), "lines")
+        f"lid long, uid long, order {plain.schema['order'].dataType.simpleString()}, line int, begin int, size int, "
+        "h1 long, h2 long, bands array<long>"), "lines")
     copies = signed.groupBy("h1", "h2").agg(F.min("lid").alias("rep"), F.count("*").alias("n"))
     reps = kept(copies, "forms")
     single = signed.select("lid", "bands").join(reps.select("rep"), F.col("lid") == F.col("rep")).select(
@@ -184,9 +225,9 @@ def repeated_lines(docs: DataFrame, text: str = "text", order: str = "doc_id", w
 
     def texts(ids: DataFrame) -> DataFrame:
         ids = small_side(ids.withColumnRenamed("id", "lid"))
-        where = kept(signed.select("lid", "uid", "line").join(ids, "lid"), "where")
-        return plain.select("uid", "text").join(small_side(where), "uid").select(
-            F.col("lid").alias("id"), F.get(F.split("text", "\n", -1), F.col("line")).alias("text"))
+        where = kept(signed.select("lid", "uid", "begin", "size").join(ids, "lid"), "where")
+        return plain.select("uid", F.col("text").cast("binary").alias("text")).join(small_side(where), "uid").select(
+            F.col("lid").alias("id"), F.substring("text", F.col("begin") + 1, F.col("size")).cast("string").alias("text"))
 
     def sets(column: pa.Array) -> list:
         return [(keys, np.ones(len(keys))) for keys in _line_sets(column, width)]
@@ -199,8 +240,8 @@ def repeated_lines(docs: DataFrame, text: str = "text", order: str = "doc_id", w
         "h1", "h2", F.coalesce("root", "rep").alias("root"))
     placed = kept(signed.drop("bands").join(several, ["h1", "h2"]), "repeats")
     stays = placed.groupBy("root").agg(F.min(F.struct(
-        F.col("order").isNull().alias("none"), "order", "uid", "line", "lid")).getField("lid").alias("stays"))
-    gone = placed.join(stays, "root").filter("lid <> stays")
+        F.col("order").isNull().alias("none"), "order", "uid", "line", "lid")).getField("lid").alias("lid"))
+    gone = placed.join(stays.select("lid"), "lid", "left_anti")         # by line, not by root: no component is gathered
     return gone.groupBy("uid").agg(F.collect_list("line").alias("lines"))
 
 
@@ -225,26 +266,40 @@ def _take_out(text: str, n_lines: str, n_removed: str, lines: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            texts, counts, taken = batch.column(names.index(text)).to_pylist(), [], []
-            for i, gone in enumerate(batch.column(names.index(lines)).to_pylist()):
-                if texts[i] is None:
-                    counts.append(0)
-                    taken.append(0)
-                    continue
-                parts = texts[i].split("\n")
-                counts.append(len(parts))
-                taken.append(len(gone or ()))
-                if gone:
-                    out = set(gone)
-                    texts[i] = "\n".join(p for k, p in enumerate(parts) if k not in out)
-            made = {text: pa.array(texts, batch.schema.field(text).type), n_lines: pa.array(counts, pa.int32()),
-                    n_removed: pa.array(taken, pa.int32())}
-            keep = [n for n in names if n != lines]
-            yield pa.RecordBatch.from_arrays([made.get(n, batch.column(names.index(n))) for n in keep], keep)
+            column, gone = batch.column(names.index(text)), batch.column(names.index(lines))
+            for low, high, raw, offsets in text_pieces(column):
+                part = batch.slice(low, high - low)
+                there = np.asarray(column.slice(low, high - low).is_valid())
+                made = _without(raw, offsets, gone.slice(low, high - low))
+                texts = pa.StringArray.from_buffers(high - low, *made[:2], pa.array(there).buffers()[1])
+                kind = batch.schema.field(text).type
+                columns = {text: texts.cast(kind), n_lines: pa.array(np.where(there, made[2], 0), pa.int32()),
+                           n_removed: pa.array(np.where(there, made[3], 0), pa.int32())}
+                keep = [n for n in names if n != lines]
+                yield pa.RecordBatch.from_arrays([columns.get(n, part.column(names.index(n))) for n in keep], keep)
 
     return run
 
 
+def _without(raw: np.ndarray, offsets: np.ndarray, gone: pa.Array) -> tuple[pa.Buffer, pa.Buffer, np.ndarray, np.ndarray]:
+    """Texts without the lines listed for each: (offsets, bytes, lines there were, lines taken out)."""
+    cut = Cuts(raw, offsets)
+    n = len(offsets) - 1
+    there = np.bincount(cut.text, minlength=n)
+    first = np.cumsum(there) - there
+    taken = np.asarray(gone.value_lengths().fill_null(0)).astype(np.int64)
+    stays = np.ones(len(cut.end), bool)
+    stays[np.repeat(first, taken) + np.asarray(gone.flatten()).astype(np.int64)] = False
+    keep = np.repeat(stays, cut.end - cut.start + 1)
+    left = np.flatnonzero(stays)
+    closing = left[np.append(cut.text[left][1:] != cut.text[left][:-1], True)] if len(left) else left
+    keep[cut.end[closing]] = False                   # no break behind the last line
+    out = np.ascontiguousarray(cut.raw[keep])
+    kept_before = np.append(0, np.cumsum(keep))
+    edge = kept_before[offsets + np.arange(n + 1)].astype(np.int32)
+    return pa.py_buffer(edge), pa.py_buffer(out), there, taken
+
+
 def cleaned_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """Texts without repeated lines; a document left without any word by it goes. Columns as they were."""
     out = without_repeats(docs, text, **options)

@@ -9,10 +9,10 @@ import numpy as np
 
 from opsloom.llm.arrow import SpanHasher, mix
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_WORD = np.zeros(256, bool)
-_WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+WORD = np.zeros(256, bool)
+WORD[48:58] = WORD[97:123] = WORD[128:] = True
 _HASH = SpanHasher(0x9E3779B97F4A7C15)
 
 
@@ -37,8 +37,8 @@ class Words:
 
 def words_of(raw: np.ndarray, offsets: np.ndarray) -> Words:
     """The words of the texts raw[offsets[i]:offsets[i + 1]]."""
-    raw = _LOWER[raw]
-    inside = _WORD[raw]
+    raw = LOWER[raw]
+    inside = WORD[raw]
     before = np.zeros(len(raw), bool)
     before[1:] = inside[:-1]
     cut = offsets[:-1][offsets[:-1] < len(raw)]

@@ -3,10 +3,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from conftest import WORDS, prose
 
 from opsloom.llm import decontaminate, fuzzy_lines, near_duplicates
-from opsloom.llm.components import components
+from opsloom.llm.arrow import text_pieces
+from opsloom.llm.components import components, extended
 from opsloom.llm.words import words_of
 
 DOCS = "doc_id long, text string, uid long, lines string, n_words int"
@@ -95,6 +97,12 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_links_that_come_later(spark):
+    first = components(spark.createDataFrame([(1, 2), (5, 6), (8, 9)], "a long, b long"))
+    got = {r.node: r.root for r in extended(first, spark.createDataFrame([(9, 2), (20, 6), (30, 31)], "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 8: 1, 9: 1, 5: 5, 6: 5, 20: 5, 30: 30, 31: 30}
+
+
 def lines_fixture():
     line = "Copyright notice of the site, all rights are reserved by the owner number 12345"
     return [
@@ -241,3 +249,31 @@ def test_empty_tables(table):
     assert decontaminate.overlap_report(some, bench).filter("contaminated").count() == 0
     assert near_duplicates.class_report(docs).count() == 0
     assert fuzzy_lines.without_repeats(docs).count() == 0
+
+
+def test_lines_are_read_and_taken_out_like_splits():
+    pick = random.Random(2)
+    values = ["".join(pick.choice("aB1é漢 \n\n!-") for _ in range(pick.randint(0, 40))) for _ in range(300)] + ["", "\n", "x\n", None]
+    for _, _, raw, offsets in text_pieces(pa.array(values), 10**6):
+        lines = fuzzy_lines.Lines(raw, offsets)
+        spoken = [(i, k, " ".join(split(x)), x) for i, t in enumerate(values) for k, x in enumerate((t or "").split("\n")) if split(x)]
+        code = lines.code
+        forms = ["".join(map(chr, code[a:b])) for a, b in zip(lines.start, lines.end)]
+        assert [(i, k, f) for i, k, f, _ in spoken] == list(zip(lines.text, lines.number, forms))
+        assert [x for *_, x in spoken] == [(values[i] or "").encode()[b:b + n].decode() for i, b, n in zip(lines.text, lines.begin, lines.size)]
+        gone = [sorted(pick.sample(range(n), pick.randint(0, n))) if (n := (t or "").count("\n") + 1) % 3 else None for t in values]
+        edge, data, there, taken = fuzzy_lines._without(raw, offsets, pa.array(gone, pa.list_(pa.int32())))
+        got = pa.StringArray.from_buffers(len(values), edge, data).to_pylist()
+        for t, g, out, n, k in zip(values, gone, got, there, taken):
+            parts = (t or "").split("\n")
+            assert out == "\n".join(x for i, x in enumerate(parts) if i not in (g or [])) and n == len(parts) and k == len(g or [])
+
+
+def test_windows_and_pairs():
+    code = np.arange(50, dtype=np.uint32) % 7
+    for width in (1, 3, 5, 8):
+        keys = fuzzy_lines._windows(code, width)
+        assert len(keys) == 51 - width and len(set(keys.tolist())) == 7
+    a, b = "abcdefghijklmnopqrst", "abcdefghijklmnopqrsx"
+    good = fuzzy_lines._pairs_alike(pa.array([a, a, a, "xy"]), pa.array([a, b, "other words here", "xy"]), 8, 0.8)
+    assert good.tolist() == [True, True, False, True]
