@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from opsloom import fixed_values as fv
 from opsloom.catalogue.registry import Tables, plain, query
+from opsloom.catalogue.retrieval import chunk_sql
 from opsloom.operators import keyed
 from opsloom.operators.literals import fixed_table
 from opsloom.plans import catalog as ct
+from opsloom.session import new_scratch
 
 PROJECTS = """
 SELECT p_partkey AS project_id, concat('P', CAST(p_partkey AS STRING)) AS project_code, p_name AS project_name,
@@ -128,6 +130,53 @@ def catalog_replace_chunks(t: Tables):
     return out.select("doc_id", F.col("n").cast("long").alias("n"), F.sha2("line", 256).alias("line_hash"))
 
 
+# The second run holds every altered document twice, the outdated row with a lower version, and is tried again.
+_FIRST = """SELECT 'crm' AS source_system, 'doc' AS source_entity_type, CAST(doc_id AS STRING) AS source_entity_key, 'web' AS target_channel,
+  lang AS title, body AS body_text, 0 AS version FROM o"""
+_SECOND = """SELECT 'crm' AS source_system, 'doc' AS source_entity_type, CAST(doc_id AS STRING) AS source_entity_key, 'web' AS target_channel,
+  lang AS title, body AS body_text, 1 AS version FROM n UNION ALL
+SELECT 'crm', 'doc', CAST(doc_id AS STRING), 'web', lang, concat('outdated ', body), 0 FROM n WHERE doc_id % 3 = 0"""
+_FINAL = f"""o AS ({plain(OLD)}), n AS ({plain(NEW)}), bodies AS (SELECT doc_id, body AS text FROM n UNION ALL
+  SELECT doc_id, body FROM o WHERE doc_id NOT IN (SELECT doc_id FROM n))"""
+
+
+def _synced(t: Tables) -> ct.Catalog:
+    catalog = ct.Catalog(t.spark, new_scratch(t.spark, "catalog"))
+    first, second = (t.derive(f"WITH o AS ({OLD}), n AS ({NEW}) {sql}").withColumn("content_hash", F.sha2("body_text", 256))
+                     for sql in (_FIRST, _SECOND))
+    for run, documents in ((1, first), (2, second), (2, second), (3, first.limit(0))):
+        catalog.sync(documents, run, ["version"])
+    return catalog
+
+
+@query("catalog_sync", f"""
+WITH RECURSIVE {_FINAL}, {chunk_sql("bodies")}
+SELECT doc_id::VARCHAR AS source_entity_key, sha256(text) AS document_hash, chunk_index::BIGINT AS chunk_index,
+  sha256(chunk_text) AS chunk_hash, greatest(1, length(chunk_text) // 4)::BIGINT AS token_estimate
+FROM bodies LEFT JOIN chunks USING (doc_id)
+""")
+def catalog_sync(t: Tables):
+    """Sources and chunks as they are read back after two versions of the documents were synced."""
+    catalog = _synced(t)
+    sources = catalog.sources.read().select("source_entity_key", F.col("content_hash").alias("document_hash"), ct.source_id().alias("source_id"))
+    return sources.join(catalog.chunks.read(), "source_id", "left").select(
+        "source_entity_key", "document_hash", F.col("chunk_index").cast("long").alias("chunk_index"),
+        F.col("content_hash").alias("chunk_hash"), F.col("token_estimate").cast("long").alias("token_estimate"))
+
+
+@query("catalog_sync_runs", f"""
+WITH RECURSIVE o AS ({plain(OLD)}), n AS ({plain(NEW)}), changed AS (SELECT n.* FROM n LEFT JOIN o USING (doc_id) WHERE o.body IS DISTINCT FROM n.body),
+bodies AS (SELECT doc_id, body AS text FROM o UNION ALL SELECT -1 - doc_id, body FROM changed), {chunk_sql("bodies")}
+SELECT 1::BIGINT AS run_id, 'completed' AS status, (SELECT count(*) FROM o)::BIGINT AS documents_seen, (SELECT count(*) FROM o)::BIGINT AS documents_upserted,
+  0::BIGINT AS documents_unchanged, (SELECT count(*) FROM chunks WHERE doc_id >= 0)::BIGINT AS chunks_upserted
+UNION ALL SELECT 2, 'completed', (SELECT count(*) + count(*) FILTER (WHERE doc_id % 3 = 0) FROM n), (SELECT count(*) FROM changed),
+  (SELECT count(*) FROM n) - (SELECT count(*) FROM changed), (SELECT count(*) FROM chunks WHERE doc_id < 0)
+UNION ALL SELECT 3, 'completed', 0, 0, 0, 0
+""")
+def catalog_sync_runs(t: Tables):
+    return _synced(t).runs.read()
+
+
 @query("seed_if_absent", f"""
 WITH o AS ({plain(OLD)}), n AS ({plain(NEW)})
 SELECT doc_id, source FROM o UNION ALL SELECT doc_id, source FROM n WHERE doc_id NOT IN (SELECT doc_id FROM o)

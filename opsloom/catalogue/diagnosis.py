@@ -47,7 +47,8 @@ _STEPS = (
 
 
 def sessions(t: Tables) -> DataFrame:
-    wide = t.derive(WIDE.replace("{orders}", "{wide_orders}"), wide_orders=t.orders)
+    # Work per session is heavy and its columns are few: dealt out before it, however few files hold them.
+    wide = t.derive(WIDE.replace("{orders}", "{wide_orders}"), wide_orders=t.orders).repartition("session_id")
     answers = [
         F.struct(
             F.lit(step).alias("step_id"),

@@ -12,6 +12,7 @@ from opsloom.functions import text as tx
 from opsloom.operators import topk
 from opsloom.operators.literals import fixed_table
 from opsloom.plans import retrieval as rt
+from opsloom.session import new_scratch
 
 QUERY = "the shall of thin die que ist of in une"
 AND_QUERY = "of the is a"
@@ -147,10 +148,12 @@ def hybrid_rrf(t: Tables):
                        F.col("rank_position").cast("long").alias("rank_position"))
 
 
-@query("chunk_overlap", f"""
-WITH RECURSIVE lines AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM
+def chunk_sql(bodies: str) -> str:
+    """CTEs that end in ``chunks`` (doc_id, chunk_index, chunk_text) of a table with doc_id and text."""
+    return f"""
+lines AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM
   (SELECT doc_id, i, {sql_strip('s')} AS p FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s,
-    unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)) WHERE p <> ''),
+    unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM {bodies})) WHERE p <> ''),
 fold AS (
   SELECT doc_id, n, p AS cur, 0 AS done, NULL::VARCHAR AS flushed FROM lines WHERE n = 1
   UNION ALL
@@ -162,7 +165,11 @@ fold AS (
   FROM fold f JOIN lines l ON l.doc_id = f.doc_id AND l.n = f.n + 1),
 chunks AS (SELECT doc_id, done - 1 AS chunk_index, flushed AS chunk_text FROM fold WHERE flushed IS NOT NULL
   UNION ALL SELECT doc_id, done, cur FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) AS r FROM fold)
-    WHERE r = 1)
+    WHERE r = 1)"""
+
+
+@query("chunk_overlap", f"""
+WITH RECURSIVE {chunk_sql("documents")}
 SELECT doc_id, chunk_index::BIGINT AS chunk_index, length(chunk_text)::BIGINT AS n_chars, sha256(chunk_text) AS content_hash,
   greatest(1, length(chunk_text) // 4)::BIGINT AS token_estimate, 'semantic' AS chunk_kind FROM chunks
 """)
@@ -335,6 +342,48 @@ def retrieval_telemetry(t: Tables):
         F.col("rank_position").cast("long").alias("rank_position"), "chunk_id", "score_final")
 
 
+_EVENT_COLUMNS = ("event_id", "conversation_id", "channel", "retrieval_mode", "top_k", "started_at", "finished_at", "meta")
+_HIT_COLUMNS = ("event_id", "rank_position", "chunk_id", "score_cosine", "score_lexical", "score_final")
+
+
+def _logged(t: Tables):
+    """Events, hits and turns as they stand in a log: opened, closed, with hits and turns added, each commit tried twice."""
+    folder = new_scratch(t.spark, "telemetry")
+    events, hits = _telemetry(t)
+    opened = events.withColumn("finished_at", F.lit(None).cast("timestamp_ntz"))
+    closed = events.where("finished_at IS NOT NULL")
+    turns = rt.ai_turns(t.conversations.select(
+        F.col("conv_id").cast("string").alias("conversation_id"), "turn", "role", F.lit(" ").alias("channel"),
+        F.sha2(F.col("conv_id").cast("string"), 256).alias("event_id")))
+    log = rt.TelemetryLog(t.spark, folder, *[df.select(*c).schema for df, c in (
+        (opened, _EVENT_COLUMNS), (hits, _HIT_COLUMNS), (turns, turns.columns))])
+    for _ in range(2):
+        log.open_events(opened, 0)
+        log.add_hits(hits, 0)
+        log.close_events(closed, 1)
+        log.add_turns(turns.where("role = 'user'"), 0)
+        log.add_turns(turns.where("role <> 'user'"), 1)
+    return log
+
+
+@query("telemetry_log", f"WITH {_BATCH_SQL}, {_EVENT_SQL}" + """,
+turn AS (SELECT sha256(conv_id::VARCHAR) AS event_id, count(*) AS n, count(*) FILTER (WHERE role = 'user') AS users FROM conversations GROUP BY 1)
+SELECT ev.event_id, channel, top_k, latency::BIGINT AS latency_ms, state, rank_position, chunk_id, score AS score_final,
+  coalesce(n, 0)::BIGINT AS turns, coalesce(users, 0)::BIGINT AS user_turns FROM ev LEFT JOIN hit USING (event_id) LEFT JOIN turn USING (event_id)
+""")
+def telemetry_log(t: Tables):
+    """What is read back after events, hits and turns were written."""
+    log = _logged(t)
+    turns = log.turns.read().groupBy("event_id").agg(
+        F.count(F.lit(1)).alias("turns"), F.count_if(F.col("role") == "user").alias("user_turns"))
+    return (log.events.read().join(log.hits.read(), "event_id", "left").join(turns, "event_id", "left").select(
+        "event_id", "channel", F.col("top_k").cast("long").alias("top_k"),
+        F.expr("timestampdiff(MILLISECOND, started_at, finished_at)").alias("latency_ms"),
+        F.try_element_at("meta", F.lit("state")).alias("state"), F.col("rank_position").cast("long").alias("rank_position"),
+        "chunk_id", "score_final", F.coalesce("turns", F.lit(0)).cast("long").alias("turns"),
+        F.coalesce("user_turns", F.lit(0)).cast("long").alias("user_turns")))
+
+
 @query("retrieval_quality", f"WITH {_BATCH_SQL}, {_EVENT_SQL}" + """,
 p AS (SELECT event_id, count(*) AS n, max(score) - min(score) AS spread FROM hit GROUP BY event_id)
 SELECT retrieval_mode, count(*)::BIGINT AS events, round(avg(coalesce(n, 0)), 6) AS hits_per_event,

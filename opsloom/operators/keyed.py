@@ -59,7 +59,15 @@ def dedupe_ordered(df: DataFrame, scope: Sequence[str], fields: Sequence[str],
 def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row per key by ``order``, then by all other columns."""
     rest = [c for c in df.columns if c not in keys and c not in order]
-    return latest_per_key(df, keys, [*order, *rest]) if order or rest else df.distinct()
+    if not order and not rest:
+        return df.distinct()
+    maps = [c for c, kind in df.dtypes if "map<" in kind]
+    if not maps:
+        return latest_per_key(df, keys, [*order, *rest])
+    # Maps have no order: their text decides in their place.
+    rank = F.struct(*[F.to_json(c).alias(c) if c in maps else c for c in [*order, *rest]])
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*order, *rest), rank).alias("_row"))
+    return best.select(*keys, F.col("_row.*")).select(*df.columns)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from opsloom import fixed_values as fv
 from opsloom.functions import text as tx
 from opsloom.functions.chunking import line_chunks
 from opsloom.functions.jsonx import labelled_json
 from opsloom.operators import keyed
+from opsloom.session import cut_lineage
+from opsloom.sources.keyed_table import BUCKETS, EventLog, KeyedTable
 
 SOURCE_KEYS = ("source_system", "source_entity_type", "source_entity_key", "target_channel")
 
@@ -158,14 +163,13 @@ def all_documents(*families: DataFrame, source_system: str = "catalog") -> DataF
 
 
 def changed_documents(old: DataFrame, new: DataFrame) -> DataFrame:
-    """New or altered documents: the only ones to be chunked again."""
-    same = old.select(*SOURCE_KEYS, "content_hash")
-    return new.join(same, [*SOURCE_KEYS, "content_hash"], "left_anti")
+    """New or altered documents, by key (which may hold NULLs) and content hash: bodies are not moved."""
+    return keyed.join_same(new, old.select(*SOURCE_KEYS, "content_hash"), [*SOURCE_KEYS, "content_hash"], "left_anti")
 
 
 def source_id() -> Column:
     """Stable id of a source row from its natural key."""
-    return F.sha2(F.concat_ws("\x1f", *SOURCE_KEYS), 256)
+    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in SOURCE_KEYS]), 256)
 
 
 def chunk_rows(documents: DataFrame, max_chars: int = fv.CATALOG_MAX_CHARS,
@@ -197,11 +201,51 @@ def run_metrics(documents: DataFrame, chunks: DataFrame, embedded: DataFrame) ->
     )
 
 
-def sync(old_sources: DataFrame, old_chunks: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New versions of the source and chunk tables; unchanged documents keep their chunks."""
-    touched = changed_documents(old_sources, documents)
-    sources = keyed.upsert(old_sources, documents, SOURCE_KEYS)
-    fresh = chunk_rows(touched)
-    chunks = keyed.replace_children(
-        old_chunks, fresh, "source_id", touched.select(source_id().alias("source_id")))
-    return sources, chunks
+DOCUMENT_SCHEMA = ("source_system string, source_entity_type string, source_entity_key string, target_channel string, "
+                   "title string, body_text string, content_hash string")
+CHUNK_SCHEMA = ("source_id string, chunk_index int, chunk_kind string, chunk_text string, token_estimate int, "
+                "content_hash string")
+RUN_SCHEMA = ("run_id long, status string, documents_seen long, documents_upserted long, documents_unchanged long, "
+              "chunks_upserted long")
+
+
+class Catalog:
+    """Sources, their chunks and the log of sync runs, kept under one folder."""
+
+    def __init__(self, spark: SparkSession, folder: str, documents: StructType | str = DOCUMENT_SCHEMA, buckets: int = BUCKETS):
+        self.spark = spark
+        self.sources = KeyedTable(spark, f"{folder}/sources", documents, SOURCE_KEYS, buckets)
+        self.chunks = KeyedTable(spark, f"{folder}/chunks", CHUNK_SCHEMA, ["source_id"], buckets)
+        self.runs = EventLog(spark, f"{folder}/runs", RUN_SCHEMA)
+
+    def sync(self, documents: DataFrame, run_id: int, order: Sequence[str] = ()) -> None:
+        """Bring a set of documents in and log the run; run ids rise.
+
+        Of several rows of a document the last by ``order`` counts. Unchanged
+        documents keep their row and chunks; buckets without a change keep
+        their files. Chunks are committed before the sources that decide what
+        has changed, so a run that is broken off anywhere is simply run again;
+        one that is through changes nothing.
+        """
+        past = self.runs.read()
+        if past.where((F.col("run_id") == run_id) & (F.col("status") == "completed")).limit(1).count():
+            return
+        try:
+            row = (run_id, "completed", *self._sync(documents, run_id, order))
+            self._log(row, "sync", run_id)
+        except Exception:
+            self._log((run_id, "failed", None, None, None, None), "failed sync", past.where("status = 'failed'").count())
+            raise
+
+    def _log(self, row: tuple, writer: str, sequence: int) -> None:
+        self.runs.append(self.spark.createDataFrame([row], RUN_SCHEMA), writer, sequence)
+
+    def _sync(self, documents: DataFrame, run_id: int, order: Sequence[str]) -> tuple[int, int, int, int]:
+        wanted = list(dict.fromkeys([*self.sources.schema.fieldNames(), *order]))
+        last = cut_lineage(keyed.one_per_key(documents.select(*wanted), SOURCE_KEYS, order).select(*self.sources.schema.fieldNames()))
+        touched = cut_lineage(changed_documents(self.sources.read(), last))
+        fresh = cut_lineage(chunk_rows(touched))
+        changed = touched.count()
+        self.chunks.replace(touched.select(source_id().alias("source_id")), fresh, "sync", run_id)
+        self.sources.upsert(touched, writer="sync", sequence=run_id)
+        return documents.count(), changed, last.count() - changed, fresh.count()

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from opsloom import fixed_values as fv
 from opsloom.functions import text as tx
-from opsloom.operators.keyed import first_n
 from opsloom.operators.literals import lookup, text_array
+from opsloom.operators.postings import best_chunks
 from opsloom.operators.settle import settle
 
 STEPS = tuple(fv.STEP_OPTIONS)
@@ -356,29 +356,19 @@ def knowledge_context(sessions: DataFrame, chunks: DataFrame, k: int = fv.KEYWOR
     joined back to the sessions.
     """
     asked = settle(sessions, {"_t": F.array_sort(tx.tokens(session_text()))}).select(
-        "session_id", F.col("knowledge_scope_id").alias("scope_id"), "_t",
-        F.md5(F.array_join("_t", "\u0001")).alias("_bag"))
-    bags = asked.groupBy("scope_id", "_bag").agg(F.first("_t").alias("_t"))
-    wanted = (
-        bags.select("scope_id", "_bag", F.size("_t").alias("n_tokens"), F.explode("_t").alias("token"))
-        .groupBy("scope_id", "_bag", "n_tokens", "token")
-        .agg(F.count(F.lit(1)).alias("qtf"))
-    )
+        "session_id", F.col("knowledge_scope_id").alias("scope"), "_t")
+    asked = asked.withColumn("query_id", F.md5(F.concat_ws("\u0001", "scope", "_t")))
+    bags = asked.groupBy("query_id").agg(F.first("scope").alias("scope"), F.first("_t").alias("_t"))
     terms = (
-        chunks.select("scope_id", "chunk_id",
-                      F.explode(tx.tokens(F.concat_ws(" ", "title", "content"))).alias("token"))
-        .groupBy("scope_id", "chunk_id", "token")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    scored = (
-        wanted.join(terms, ["scope_id", "token"])
-        .groupBy("scope_id", "_bag", "chunk_id")
-        .agg(F.sum(F.col("qtf") * F.col("tf")).alias("_w"), F.first("n_tokens").alias("_n"))
-        .withColumn("_s", F.col("_w") / F.col("_n"))
+        bags.select("query_id", "scope", F.explode("_t").alias("token"))
+        .groupBy("query_id", "scope", "token")
+        .agg(F.count(F.lit(1)).alias("weight"))
     )
-    best = first_n(scored, ["scope_id", "_bag"], [F.col("_s").desc(), F.col("chunk_id").asc()], k)
-    return asked.select("session_id", "scope_id", "_bag").join(best, ["scope_id", "_bag"]).select(
-        "session_id", "chunk_id", F.bround("_s", 4).alias("score"), "rank_position")
+    bodies = chunks.select(F.col("scope_id").alias("scope"), "chunk_id",
+                           tx.tokens(F.concat_ws(" ", "title", "content")).alias("tokens"))
+    best = best_chunks(bodies, terms, k)
+    return asked.select("session_id", "query_id", F.size("_t").alias("_n")).join(best, "query_id").select(
+        "session_id", "chunk_id", F.bround(F.col("total") / F.col("_n"), 4).alias("score"), "rank_position")
 
 
 def classify_sessions(sessions: DataFrame, context: DataFrame | None = None,

@@ -5,16 +5,18 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from opsloom import fixed_values as fv
 from opsloom.functions import text as tx
 from opsloom.functions.binding import bind
-from opsloom.operators.keyed import first_n
+from opsloom.functions.jsonx import merge_maps
 from opsloom.operators.literals import lookup
+from opsloom.operators.postings import best_chunks
 from opsloom.operators.topk import top_k
+from opsloom.sources.keyed_table import EventLog, KeyedTable
 
 
 def optional_filters(df: DataFrame, **wanted: object) -> DataFrame:
@@ -76,32 +78,14 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def keyword_top_k_batch(chunks: DataFrame, queries: DataFrame, chunk_id: str, text: str,
                         k: int = fv.KEYWORD_TOP_K) -> DataFrame:
-    """Best chunks for every query of a table, ties by chunk id.
-
-    Tokens no query asks for are dropped first. The rest move once, hashed by
-    chunk; counting terms and adding up scores both run inside that placement,
-    so (query, chunk) pairs are never shuffled. Each task then keeps k chunks
-    per query (window group limit) and the last shuffle carries only those.
-    The query terms are broadcast only if Catalyst measures them small.
-    """
+    """Best chunks for every query of a table, ties by chunk id. See ``operators.postings``."""
     terms = query_terms(queries)
-    vocabulary = terms.select("token").distinct()
-    occurrences = chunks.select(F.col(chunk_id).alias("chunk_id"),
-                                F.explode(tx.tokens(F.col(text))).alias("token"))
-    counted = (
-        occurrences.join(vocabulary, "token", "left_semi")
-        .repartition("chunk_id")
-        .groupBy("chunk_id", "token")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    scored = (
-        counted.join(terms, "token")
-        .groupBy("query_id", "chunk_id")
-        .agg(F.sum(F.col("tf") * F.col("qtf")).alias("_w"), F.first("n_tokens").alias("_n"))
-        .withColumn("_s", F.col("_w") / F.col("_n"))
-    )
-    best = first_n(scored, ["query_id"], [F.col("_s").desc(), F.col("chunk_id").asc()], k or 5)
-    return best.select("query_id", "chunk_id", F.bround("_s", 4).alias("score"), "rank_position")
+    bodies = chunks.select(F.lit(0).alias("scope"), F.col(chunk_id).alias("chunk_id"), tx.tokens(F.col(text)).alias("tokens"))
+    weighted = terms.select("query_id", F.lit(0).alias("scope"), "token", F.col("qtf").alias("weight"))
+    best = best_chunks(bodies, weighted, k or fv.KEYWORD_TOP_K)
+    sizes = terms.groupBy("query_id").agg(F.first("n_tokens").alias("_n"))
+    return best.join(sizes, "query_id").select(
+        "query_id", "chunk_id", F.bround(F.col("total") / F.col("_n"), 4).alias("score"), "rank_position")
 
 
 def matches_all(text: Column, query: str) -> Column:
@@ -195,7 +179,6 @@ def retrieval_events(searches: DataFrame, default_channel: str = "web") -> DataF
 
 def close_events(opened: DataFrame, finished: DataFrame) -> DataFrame:
     """Fold begin and finish rows: latest finish time, meta merged if given."""
-    from opsloom.functions.jsonx import merge_maps
     from opsloom.operators.keyed import latest_per_key
 
     last = latest_per_key(
@@ -228,6 +211,40 @@ def ai_turns(turns: DataFrame, default_channel: str = "web") -> DataFrame:
     ).withColumn("channel", tx.default_blank(F.col("channel"), default_channel))
 
 
+class TelemetryLog:
+    """Searches, their hits and model turns as they are written while a service runs.
+
+    Events have one row each, which is closed later; hits and turns are added.
+    Every call is one commit, made once however often it is tried: ``batch``
+    rises per kind of call.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, events: StructType | str, hits: StructType | str, turns: StructType | str):
+        self.events = KeyedTable(spark, f"{folder}/events", events, ["event_id"])
+        self.hits = EventLog(spark, f"{folder}/hits", hits)
+        self.turns = EventLog(spark, f"{folder}/turns", turns)
+
+    def open_events(self, rows: DataFrame, batch: int) -> None:
+        self.events.upsert(rows, ["started_at"], "open", batch)
+
+    def close_events(self, rows: DataFrame, batch: int) -> None:
+        """Finish time and merged meta of events that are there; others are not opened by it."""
+        def combine(old: DataFrame, new: DataFrame) -> DataFrame:
+            rest = [c for c in old.columns if c not in ("event_id", "finished_at", "meta")]
+            closing = new.groupBy("event_id").agg(F.max(F.struct("finished_at", F.to_json("meta").alias("_meta"))).alias("_last"))
+            joined = old.join(closing, "event_id", "left")
+            meta = merge_maps(F.col("meta"), F.from_json(F.col("_last._meta"), "map<string,string>"))
+            return joined.select("event_id", *rest, F.coalesce("_last.finished_at", "finished_at").alias("finished_at"), meta.alias("meta"))
+
+        self.events.merge(rows, combine, "close", batch)
+
+    def add_hits(self, rows: DataFrame, batch: int) -> bool:
+        return self.hits.append(rows, "hits", batch)
+
+    def add_turns(self, rows: DataFrame, batch: int) -> bool:
+        return self.turns.append(rows, "turns", batch)
+
+
 def telemetry_chain(events: DataFrame, hits: DataFrame, chunks: DataFrame,
                     turns: DataFrame) -> DataFrame:
     """Event, its hits, their chunks and the turn that used them; links may be missing."""
