@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,7 +88,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = np.flatnonzero(size[run[1:]] > 2) + 1
         yield _pairs(MEMBER, band[wide], ids[wide])
         at = np.flatnonzero(inside)
-        smallest = pd.Series(ids[at]).groupby(run[at]).cummin().to_numpy()
+        smallest = _smallest_so_far(ids[at], run[at])
         follows = np.flatnonzero(np.concatenate([[False], same])[at])
         if len(follows):
             here, star = ids[at[follows]], smallest[follows - 1]
@@ -102,6 +101,13 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs(EDGE, np.array([carry[0]]), np.array([carry[1]]))
 
 
+def _smallest_so_far(ids: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """For each place the smallest id of its run up to there; runs ascend."""
+    values, rank = np.unique(ids, return_inverse=True)
+    back = run * (len(values) + 1)
+    return values[np.minimum.accumulate(rank - back) + back] if len(ids) else ids
+
+
 def _pairs(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({
         "kind": pa.array(np.full(len(a), kind, np.int32)), "a": pa.array(a), "b": pa.array(b)})

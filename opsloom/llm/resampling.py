@@ -11,16 +11,17 @@ weight plus Gumbel noise.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from opsloom.llm.arrow import mix, text_pieces
-from opsloom.llm.store import fresh, kept, numbered, quoted
+from opsloom.llm.store import fresh, kept, numbered, quoted, small_side
 from opsloom.llm.words import runs_of, words_of
 
 BINS = 1 << 18
@@ -37,6 +38,7 @@ CERTAIN = 5.0
 #: Least log ratio that counts; below it lie shifts of topic or language between samples.
 LEAST_RATIO = float(np.log(2.0))
 _SLICES = 32
+_GROUPS = 64
 
 
 def hashed_ngrams(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -93,22 +95,26 @@ def _counting(models: int):
                         total[m + 1, f] += np.bincount(bins[named[owner] == m], minlength=BINS)
         if total.any():
             parts = total.reshape(models + 1, FEATURES, _SLICES, -1)
-            yield pa.RecordBatch.from_pydict({
-                "part": pa.array(range(_SLICES), pa.int32()),
-                "counts": pa.array([parts[:, :, s].astype("<i8").tobytes() for s in range(_SLICES)], pa.binary())})
+            yield from _slices((s, parts[:, :, s].reshape(-1)) for s in range(_SLICES))
 
     return run
 
 
+def _slices(counted: Iterable[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Counts as bytes, of the narrowest kind that holds them."""
+    for part, counts in counted:
+        kind = "<i4" if counts.max(initial=0) < 1 << 31 else "<i8"
+        yield pa.RecordBatch.from_pydict({
+            "part": pa.array([part], pa.int32()), "kind": pa.array([kind]), "counts": pa.array([counts.astype(kind).tobytes()], pa.binary())})
+
+
 def _adding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for part, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-            counts = np.frombuffer(raw.as_buffer(), "<i8")
-            sums[part] = sums[part] + counts if part in sums else counts.copy()
-    for part, counts in sums.items():
-        yield pa.RecordBatch.from_pydict({
-            "part": pa.array([part], pa.int32()), "counts": pa.array([counts.tobytes()], pa.binary())})
+        for part, kind, raw in zip(batch.column("part").to_pylist(), batch.column("kind").to_pylist(), batch.column("counts")):
+            counts = np.frombuffer(raw.as_buffer(), kind)
+            sums[part] = sums[part] + counts if part in sums else counts.astype(np.int64)
+    yield from _slices(sums.items())
 
 
 def fit_ratio_model(docs: DataFrame, labelled: DataFrame, text: str = "text", key: str = "doc_id",
@@ -136,12 +142,15 @@ def fit_ratio_model(docs: DataFrame, labelled: DataFrame, text: str = "text", ke
     models = [target, *kinds]
     number = F.create_map(*[F.lit(x) for pair in zip(models, range(len(models))) for x in pair])
     fitting = F.broadcast(chosen.filter("fits").select("key", F.get(F.array(number[F.col("kind")]), F.lit(0)).alias("model")))
+    counted = "part int, kind string, counts binary"
+    # Added up in two steps, so no task receives a slice from every task that counts.
     rows = (plain.join(fitting, "key", "left").select("text", "model")
-            .mapInArrow(_counting(len(models)), "part int, counts binary")
-            .repartition("part").mapInArrow(_adding, "part int, counts binary").collect())
+            .mapInArrow(_counting(len(models)), counted)
+            .withColumn("group", F.spark_partition_id() % _GROUPS).repartition("part", "group").drop("group")
+            .mapInArrow(_adding, counted).repartition("part").mapInArrow(_adding, counted).collect())
     total = np.zeros((len(models) + 1, FEATURES, _SLICES, BINS // _SLICES))
-    for part, raw in rows:
-        total[:, :, part] = np.frombuffer(raw, "<i8").reshape(len(models) + 1, FEATURES, -1)
+    for part, kind, raw in rows:
+        total[:, :, part] = np.frombuffer(raw, kind).reshape(len(models) + 1, FEATURES, -1)
     total = total.reshape(len(models) + 1, FEATURES, BINS)
     raw_models = [(k, total[i + 2]) for i, k in enumerate(kinds)] or [("corpus", total[0])]
     ratio = np.stack([_log_ratio(total[1], counts, total[0]) for _, counts in raw_models])
@@ -253,17 +262,25 @@ def gumbel_top_k(weighted: DataFrame, k: int | None = None, seed: int = 7) -> Da
     number of rows takes all, below 1 none.
     """
     table = kept(weighted.withColumn("sample_key", F.col("log_weight") + gumbel(seed, "order", "log_weight")), "keys")
-    n, wanted = table.agg(F.count("*"), F.count_if(F.col("log_weight") >= 0)).first()
+    return _sampled(table, "uid", "log_weight", "sample_key", k)
+
+
+def _sampled(table: DataFrame, uid: str, weight: str, sample_key: str, k: int | None) -> DataFrame:
+    """The k rows of largest key of a written table: those above a threshold, without moving them."""
+    n, wanted = table.agg(F.count("*"), F.count_if(quoted(weight) >= 0)).first()
     k = wanted if k is None else k
     if k >= n:
         return table
     if k < 1:
         return table.limit(0)
-    low, high = kth_largest(table, "sample_key", k)
-    surely = table.filter(F.col("sample_key") >= high)
-    rest = k - surely.count()
-    near = table.filter((F.col("sample_key") >= low) & (F.col("sample_key") < high))
-    return surely.union(near.orderBy(F.desc("sample_key"), "uid").limit(rest))
+    keys = table.select(quoted(uid).alias("uid"), quoted(sample_key).alias("key"))
+    low, high = kth_largest(keys, "key", k)
+    rest = k - keys.filter(F.col("key") >= high).count()
+    near = keys.filter((F.col("key") >= low) & (F.col("key") < high)).orderBy(F.desc("key"), "uid").limit(rest)
+    near = kept(near.select(F.col("uid").alias(uid)), "near")
+    at = quoted(sample_key)
+    last = table.filter((at >= low) & (at < high)).join(small_side(near, max(rest, 0)), uid, "left_semi")
+    return table.filter(at >= high).unionByName(last)
 
 
 def label_kinds(labels: DataFrame) -> DataFrame:
@@ -284,8 +301,29 @@ def resample(docs: DataFrame, labelled: DataFrame, k: int | None = None, seed: i
     return gumbel_top_k(log_weights(docs, model, **columns), k, seed)
 
 
-def selected_documents(docs: DataFrame, labelled: DataFrame, **options) -> DataFrame:
-    """The sampled documents; columns as they were."""
-    (uid,) = fresh(docs, "uid")
-    chosen = kept(resample(docs, labelled, **options).select(F.col("uid").alias(uid)), "chosen")
-    return numbered(docs, uid).join(chosen, uid, "left_semi").drop(uid)
+def selected_documents(docs: DataFrame, labelled: DataFrame, k: int | None = None, seed: int = 7, text: str = "text",
+                       key: str = "doc_id", **options) -> DataFrame:
+    """The sampled documents; columns as they were.
+
+    Documents are written once with their weight and then filtered, so none is
+    moved through a join with the sample.
+    """
+    uid, weight, sample_key = fresh(docs, "uid", "log_weight", "sample_key")
+    model = docs.sparkSession.sparkContext.broadcast(fit_ratio_model(docs, labelled, text, key, **options))
+    rows = numbered(docs, uid)
+    weighed = rows.mapInArrow(_weigh(model, text, weight), StructType([*rows.schema.fields, StructField(weight, DoubleType())]))
+    table = kept(weighed.withColumn(sample_key, quoted(weight) + gumbel(seed, quoted(key), quoted(weight))), "weighed")
+    return _sampled(table, uid, weight, sample_key, k).select(*[quoted(c) for c in docs.columns])
+
+
+def _weigh(model, text: str, weight: str):
+    """Rows as they are, with the log weight of their text behind them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratios = model.value
+        for batch in batches:
+            for low, high, raw, offsets in text_pieces(batch.column(batch.schema.names.index(text))):
+                sums, grams = ratios.scores(raw, offsets)
+                least = (sums - ratios.cost[:, None] * grams).min(axis=0)
+                yield pa.RecordBatch.from_arrays([*batch.slice(low, high - low).columns, pa.array(least)], [*batch.schema.names, weight])
+
+    return run

@@ -8,6 +8,7 @@ from conftest import WORDS, prose
 
 from opsloom.llm import decontaminate, fuzzy_lines, near_duplicates
 from opsloom.llm.arrow import text_pieces
+from opsloom.llm.banding import _smallest_so_far
 from opsloom.llm.components import components, extended
 from opsloom.llm.words import words_of
 
@@ -269,6 +270,11 @@ def test_lines_are_read_and_taken_out_like_splits():
             assert out == "\n".join(x for i, x in enumerate(parts) if i not in (g or [])) and n == len(parts) and k == len(g or [])
 
 
+def test_smallest_of_runs():
+    assert _smallest_so_far(np.array([5, 3, 9, 8, 2, 7]), np.array([0, 0, 0, 2, 2, 3])).tolist() == [5, 3, 3, 8, 2, 7]
+    assert len(_smallest_so_far(np.zeros(0, np.int64), np.zeros(0, np.int64))) == 0
+
+
 def test_windows_and_pairs():
     code = np.arange(50, dtype=np.uint32) % 7
     for width in (1, 3, 5, 8):
