@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from opsloom.catalogue.console import _RULE_VALUES, rules
 from opsloom.catalogue.registry import Tables, query
 from opsloom.plans import tenancy as tn
+from opsloom.session import new_scratch
+from opsloom.sources.keyed_table import KeyedTable
 from opsloom.sources.sinks import latest_state
 from opsloom.streaming import jobs
+from opsloom.streaming.streaks import error_streaks
 
 _STAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -20,6 +23,37 @@ def _stream(t: Tables):
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+#: Files that the events arrive in, one per trigger.
+FILES = 4
+
+
+def _arriving(t: Tables, drop: str = "false"):
+    """The events as files that come one after the other, in order of time but for some rows that come a file late.
+
+    Two rows of no event close the stream: they move the watermark past all others.
+    """
+    folder = new_scratch(t.spark, "arriving")
+    low, high = t.events.agg(F.min("ts"), F.max("ts")).first()
+    part = F.least(F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(low).cast("timestamp")))
+                           * FILES / F.greatest(F.unix_micros(F.lit(high).cast("timestamp")) - F.unix_micros(F.lit(low).cast("timestamp")), F.lit(1))),
+                   F.lit(FILES - 1))
+    late = F.when((F.col("event_id") % 5 == 0) & (F.col("part") < FILES - 1), 1).otherwise(0)
+    placed = t.events.where(~F.expr(drop)).withColumn("part", part).withColumn("file", F.col("part") + late)
+    for n in range(FILES):
+        placed.where(F.col("file") == n).drop("part", "file").write.parquet(f"{folder}/{n}")
+    for n in range(2):
+        end = t.events.limit(1).withColumn("event_id", F.lit(-1 - n).cast("long")).withColumn(
+            "ts", F.timestamp_add("DAY", F.lit(400 * (n + 1)), F.lit(high)).cast(dict(t.events.dtypes)["ts"]))
+        end.write.parquet(f"{folder}/{FILES + n}")
+    return folder
+
+
+def _follow(t: Tables, folder: str, session=None):
+    session = session or jobs.stream_session(t.spark)
+    raw = session.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def _read(t: Tables, stream, mode: str):
     return t.spark.read.parquet(jobs.drain(stream, mode, t.spark))
 
@@ -60,10 +94,21 @@ SELECT user_id AS thread_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_mess
 FROM events GROUP BY 1
 """)
 def stream_threads(t: Tables):
-    rows = _stream(t).withColumnRenamed("user_id", "thread_id")
-    out = jobs.drain(jobs.thread_state(rows, "thread_id", "ts", F.col("event_type") == "view"), "update", t.spark)
-    return latest_state(t.spark, out, ["thread_id"]).select(
-        "thread_id", _text("last_message_at"), "messages", "inbound_messages", "thread_status")
+    """Thread states merged batch by batch into a keyed table; every batch is written twice."""
+    rows = _follow(t, _arriving(t)).where("event_id >= 0").withColumnRenamed("user_id", "thread_id")
+    kind = dict(rows.dtypes)["thread_id"]
+    folder = new_scratch(t.spark, "threads")
+
+    def table(spark):
+        return KeyedTable(spark, folder, f"thread_id {kind}, {jobs.THREADS}", ["thread_id"])
+
+    def write(_):
+        sink = jobs.keyed_sink(table, lambda df: jobs.thread_state(df, "thread_id", "ts", F.col("event_type") == "view"),
+                               jobs.merged_threads("thread_id"), "threads")
+        return lambda df, n: (sink(df, n), sink(df, n))
+
+    jobs.drain(rows, "append", t.spark, write)
+    return table(t.spark).read().select("thread_id", _text("last_message_at"), "messages", "inbound_messages", "thread_status")
 
 
 _SESSIONS = """
@@ -96,9 +141,17 @@ SELECT user_id, strftime(max(ts + to_seconds(3600 * (event_id % 48))), '%Y-%m-%d
  CASE WHEN max(ts + to_seconds(3600 * (event_id % 48))) <= TIMESTAMP '2024-01-31 00:00:00' THEN 'expired' ELSE 'held' END AS lease_state FROM events GROUP BY 1
 """)
 def stream_leases(t: Tables):
+    rows = _follow(t, _arriving(t)).where("event_id >= 0")
+    kind = dict(rows.dtypes)["user_id"]
+    folder = new_scratch(t.spark, "leases")
     seconds = (F.col("event_id") % 48 * 3600).cast("int")
-    stream = jobs.lease_state(_stream(t), "user_id", "ts", seconds, F.lit("2024-01-31 00:00:00").cast("timestamp"))
-    out = latest_state(t.spark, jobs.drain(stream, "update", t.spark), ["user_id"])
+
+    def table(spark):
+        return KeyedTable(spark, folder, f"user_id {kind}, expires_at timestamp", ["user_id"])
+
+    jobs.drain(rows, "append", t.spark, lambda _: jobs.keyed_sink(
+        table, lambda df: jobs.lease_ends(df, "user_id", "ts", seconds), jobs.merged_leases("user_id"), "leases"))
+    out = jobs.lease_state(table(t.spark).read(), F.lit("2024-01-31 00:00:00").cast("timestamp"))
     return out.select("user_id", _text("expires_at"), "lease_state")
 
 
@@ -116,19 +169,20 @@ def stream_budget(t: Tables):
     return latest_state(t.spark, out, ["day", "user_id"]).select(_text("day"), "user_id", "spent", "budget_event")
 
 
+# Searches whose id 7 divides get no hits, those that end in an error no finish.
 @query("stream_retrieval", """
-SELECT event_id, unnest(range(1, event_id % 3 + 2)) AS rank_position, strftime(ts, '%Y-%m-%d %H:%M:%S') AS started_at,
- strftime(ts + to_seconds(event_id % 50), '%Y-%m-%d %H:%M:%S') AS finished_at FROM events WHERE event_type <> 'error'
+SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN unnest(CASE WHEN event_id % 7 = 0 THEN [1] ELSE range(1, event_id % 3 + 2) END) END AS rank_position,
+ strftime(ts, '%Y-%m-%d %H:%M:%S') AS started_at,
+ CASE WHEN event_type <> 'error' THEN strftime(ts + to_seconds(event_id % 50), '%Y-%m-%d %H:%M:%S') END AS finished_at FROM events
 """)
 def stream_retrieval(t: Tables):
-    begins = _stream(t).select("event_id", F.col("ts").alias("started_at"))
+    folder, session = _arriving(t), jobs.stream_session(t.spark)
+    begins = _follow(t, folder, session).select("event_id", F.col("ts").alias("started_at"))
     later = F.timestamp_add("SECOND", (F.col("event_id") % 50).cast("int"), F.col("ts"))
-    finishes = begins.sparkSession.readStream.schema(t.events.schema).parquet(f"{t.folder}/events*.parquet").withColumn(
-        "ts", F.col("ts").cast("timestamp")).where("event_type <> 'error'").select("event_id", later.alias("finished_at"))
-    hits = begins.sparkSession.readStream.schema(t.events.schema).parquet(f"{t.folder}/events*.parquet").withColumn(
-        "ts", F.col("ts").cast("timestamp")).select(
-        "event_id", F.col("ts").alias("hit_at"), F.explode(F.sequence(F.lit(1), (F.col("event_id") % 3 + 1).cast("int"))).alias("rank_position"))
-    out = _read(t, jobs.retrieval_join(begins, finishes, hits), "append")
+    finishes = _follow(t, folder, session).where("event_type <> 'error' OR event_id < 0").select("event_id", later.alias("finished_at"))
+    hits = _follow(t, folder, session).where("event_id % 7 <> 0").select(
+        "event_id", F.col("ts").alias("hit_at"), F.explode(F.sequence(F.lit(1), F.greatest(F.col("event_id") % 3 + 1, F.lit(1)).cast("int"))).alias("rank_position"))
+    out = _read(t, jobs.retrieval_join(begins, finishes, hits, delay="60 days"), "append").where("event_id >= 0")
     return out.select("event_id", F.col("rank_position").cast("long").alias("rank_position"), _text("started_at"), _text("finished_at"))
 
 
@@ -139,7 +193,8 @@ r AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id, island ORDER
 SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS alert_at FROM r WHERE n = 3
 """)
 def stream_error_streaks(t: Tables):
-    out = _read(t, jobs.error_streaks(_stream(t), "user_id", "ts", F.col("event_type") == "error"), "append")
+    rows = _follow(t, _arriving(t))
+    out = _read(t, error_streaks(rows, "user_id", "ts", F.col("event_type") == "error", delay="60 days"), "append")
     return out.select("user_id", _text("alert_at"))
 
 

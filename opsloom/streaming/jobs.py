@@ -6,14 +6,13 @@ watermark; nothing waits for a whole key.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from opsloom.session import ROCKSDB_PROVIDER, new_scratch
+from opsloom.sources.keyed_table import KeyedTable
 from opsloom.sources.sinks import batch_appender
 
 
@@ -33,12 +32,40 @@ def event_counts(events: DataFrame, ts: str, keys: list[str], width: str = "1 ho
     )
 
 
+THREADS = "last_message_at timestamp, messages long, inbound_messages long, thread_status string"
+
+
 def thread_state(messages: DataFrame, thread: str, ts: str, inbound: Column) -> DataFrame:
-    """Running state per thread: last message, counts, who spoke last."""
+    """Per thread: last message, counts, who spoke last. Partial states have the same columns."""
     return messages.groupBy(thread).agg(
         F.max(ts).alias("last_message_at"), F.count(F.lit(1)).alias("messages"),
         F.count_if(inbound).alias("inbound_messages"),
-        F.max_by(F.when(inbound, "open").otherwise("answered"), ts).alias("thread_status"))
+        F.max_by(F.when(inbound, "open").otherwise("answered"), F.struct(F.col(ts), ~inbound)).alias("thread_status"))
+
+
+def merged_threads(thread: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """Put partial thread states together."""
+    def combine(old: DataFrame, new: DataFrame) -> DataFrame:
+        return old.unionByName(new).groupBy(thread).agg(
+            F.max("last_message_at").alias("last_message_at"), F.sum("messages").alias("messages"),
+            F.sum("inbound_messages").alias("inbound_messages"),
+            F.max_by("thread_status", F.struct("last_message_at", F.col("thread_status") == "answered")).alias("thread_status"))
+
+    return combine
+
+
+def keyed_sink(table: Callable[[SparkSession], KeyedTable], partial: Callable[[DataFrame], DataFrame],
+               combine: Callable[[DataFrame, DataFrame], DataFrame], stream: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` sink: a batch is reduced to one row per key and merged into a keyed table.
+
+    The stream itself holds no state, so nothing has to expire in it; the table
+    remembers the last batch of the stream, so a batch that is run again
+    changes nothing.
+    """
+    def write(df: DataFrame, batch_id: int) -> None:
+        table(df.sparkSession).merge(partial(df), combine, stream, batch_id)
+
+    return write
 
 
 def sessions_by_gap(events: DataFrame, key: str, ts: str, gap: str, delay: str = "1 hour") -> DataFrame:
@@ -58,11 +85,23 @@ def heartbeat_timeouts(pings: DataFrame, worker: str, ts: str, timeout: str,
         worker, F.col("last_at").alias("last_ping"), F.col("closed_at").alias("alert_at"))
 
 
-def lease_state(renewals: DataFrame, lease: str, ts: str, seconds: Column, at: Column) -> DataFrame:
-    """Whether the latest renewal of each lease still holds at a moment."""
-    until = F.max(F.timestamp_add("SECOND", seconds, F.col(ts))).alias("expires_at")
-    return renewals.groupBy(lease).agg(until).withColumn(
-        "lease_state", F.when(F.col("expires_at") <= at, "expired").otherwise("held"))
+def lease_ends(renewals: DataFrame, lease: str, ts: str, seconds: Column) -> DataFrame:
+    """(lease, expires_at) by the renewal that reaches farthest."""
+    return renewals.groupBy(lease).agg(F.max(F.timestamp_add("SECOND", seconds, F.col(ts))).alias("expires_at"))
+
+
+def merged_leases(lease: str, forget: Column | None = None) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """Put lease ends together; those that ended before ``forget`` go."""
+    def combine(old: DataFrame, new: DataFrame) -> DataFrame:
+        both = old.unionByName(new).groupBy(lease).agg(F.max("expires_at").alias("expires_at"))
+        return both if forget is None else both.where(F.col("expires_at") >= forget)
+
+    return combine
+
+
+def lease_state(ends: DataFrame, at: Column) -> DataFrame:
+    """Whether each lease still holds at a moment."""
+    return ends.withColumn("lease_state", F.when(F.col("expires_at") <= at, "expired").otherwise("held"))
 
 
 def budget_events(spend: DataFrame, ts: str, key: str, amount: str, limits: DataFrame,
@@ -82,7 +121,12 @@ def budget_events(spend: DataFrame, ts: str, key: str, amount: str, limits: Data
 
 def retrieval_join(begins: DataFrame, finishes: DataFrame, hits: DataFrame, bound: str = "1 hour",
                    delay: str = "10 minutes") -> DataFrame:
-    """Begin, finish and hit streams joined on the event within a time bound."""
+    """Searches with their finish time and hits: event_id, started_at, finished_at, rank_position.
+
+    Left outer joins on the event within ``bound`` of its begin: a search
+    without finish or without hits comes out, with NULLs, once the watermark
+    shows that none can come any more. State is the rows of ``bound``.
+    """
     b = begins.withWatermark("started_at", delay)
     f = finishes.withWatermark("finished_at", delay).withColumnRenamed("event_id", "f_id")
     h = hits.withWatermark("hit_at", delay).withColumnRenamed("event_id", "h_id")
@@ -91,34 +135,9 @@ def retrieval_join(begins: DataFrame, finishes: DataFrame, hits: DataFrame, boun
     hit = F.expr(f"event_id = h_id AND hit_at >= started_at AND hit_at <= started_at + INTERVAL {bound}")
     # A stream carries one event time: the begin time goes on, the finish time
     # becomes a plain column.
-    closed = b.join(f, timed).select(
+    closed = b.join(f, timed, "left_outer").select(
         "event_id", "started_at", F.expr("finished_at + INTERVAL '0' SECOND").alias("finished_at"))
-    return closed.join(h, hit).select("event_id", "started_at", "finished_at", "rank_position")
-
-
-def error_streaks(events: DataFrame, worker: str, ts: str, failed: Column, limit: int = 3) -> DataFrame:
-    """An alert each time a worker reaches ``limit`` errors in a row.
-
-    State is one counter per worker. A trigger's rows of a worker are put in
-    time order first; their number is bounded by the files per trigger.
-    """
-    kind = dict(events.dtypes)[worker]
-    rows = events.select(worker, F.col(ts).cast("timestamp").alias("ts"), failed.alias("failed"))
-
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak = state.get[0] if state.exists else 0
-        ordered = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        alerts = []
-        for at, bad in zip(ordered["ts"], ordered["failed"]):
-            streak = streak + 1 if bad else 0
-            if streak == limit:
-                alerts.append((key[0], at))
-        state.update((streak,))
-        if alerts:
-            yield pd.DataFrame(alerts, columns=[worker, "alert_at"])
-
-    return rows.groupBy(worker).applyInPandasWithState(
-        follow, f"{worker} {kind}, alert_at timestamp", "streak int", "append", GroupStateTimeout.NoTimeout)
+    return closed.join(h, hit, "left_outer").select("event_id", "started_at", "finished_at", "rank_position")
 
 
 def lateness(events: DataFrame, occurred: str, created: str, edges: tuple[int, ...] = (1, 60, 3600, 86400)) -> DataFrame:
@@ -146,16 +165,17 @@ def stream_session(spark: SparkSession) -> SparkSession:
 
 
 def drain(stream: DataFrame, mode: str, spark: SparkSession,
-          write: Callable[[str], Callable[[DataFrame, int], None]] = batch_appender) -> str:
+          write: Callable[[str], Callable[[DataFrame, int], None]] = batch_appender,
+          folder: str | None = None) -> str:
     """Process everything available and stop; returns the folder of the output.
 
     Output and checkpoint live in the shared folder, so the query can restart
-    on other executors.
+    on other executors; with the same ``folder`` it goes on where it stopped.
     """
-    out, checkpoint = new_scratch(spark, "stream-out"), new_scratch(spark, "stream-checkpoint")
+    folder = folder or new_scratch(spark, "stream")
     query = (
-        stream.writeStream.foreachBatch(write(out)).outputMode(mode)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(write(f"{folder}/out")).outputMode(mode)
+        .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return out
+    return f"{folder}/out"
