@@ -50,6 +50,12 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending, by sorting (``np.unique`` may hash, which is slower on whole numbers)."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finish a 64-bit hash so that every bit depends on every input bit."""
     x = x.astype(np.uint64, copy=True)

@@ -59,8 +59,8 @@ def bucket_pairs(signed: DataFrame, tails: bool = True) -> tuple[DataFrame, Data
     else:
         rows = full.select("id", F.explode("bands").alias("band"))
     order = ["band", "tail", "id"] if tails else ["band", "id"]
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    made = kept(placed.select("band", "id").mapInArrow(_runs, "kind int, a long, b long"), "buckets")
+    placed = rows.select(*order).repartitionByRange(*order)
+    made = kept(placed.mapInArrow(_runs, "kind int, a long, b long"), "buckets")
     edges = made.filter(F.col("kind") == EDGE).select(F.col("a").alias("band"), "b")
     across = (edges.groupBy("band").agg(F.min("b").alias("a"), F.count("*").alias("n")).filter("n > 1")
               .join(edges, "band").select(F.lit(WITH_SMALLEST).alias("kind"), "a", "b"))
@@ -69,36 +69,28 @@ def bucket_pairs(signed: DataFrame, tails: bool = True) -> tuple[DataFrame, Data
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    carry = None      # (band, smallest id so far, last id) of the run that goes on
-    for batch in batches:
-        band, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(band):
-            continue
-        if carry is None:
-            yield _pairs(EDGE, band[:1], ids[:1])
-            carry = (band[0] ^ 1, ids[0], ids[0])
-        band, ids = np.concatenate([[carry[0]], band]), np.concatenate([[carry[1]], ids])
-        previous = ids.copy()
-        previous[0] = carry[2]
-        same = band[1:] == band[:-1]
-        run = np.concatenate([[0], np.cumsum(~same)])
-        inside = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        size = np.bincount(run)
-        size[run[[0, -1]]] = 3           # what goes on in another batch or task may be longer
-        wide = np.flatnonzero(size[run[1:]] > 2) + 1
-        yield _pairs(MEMBER, band[wide], ids[wide])
-        at = np.flatnonzero(inside)
-        smallest = _smallest_so_far(ids[at], run[at])
-        follows = np.flatnonzero(np.concatenate([[False], same])[at])
-        if len(follows):
-            here, star = ids[at[follows]], smallest[follows - 1]
-            near = previous[at[follows] - 1]
-            yield _pairs(WITH_SMALLEST, star, here)
-            yield _pairs(WITH_NEIGHBOUR, near[near != star], here[near != star])
-        low = smallest[-1] if len(at) and inside[-1] else ids[-1]
-        carry = (band[-1], low, ids[-1])
-    if carry is not None:
-        yield _pairs(EDGE, np.array([carry[0]]), np.array([carry[1]]))
+    """Pairs, members and edges of the buckets of one range; its rows are a few numbers each."""
+    parts = [[np.asarray(c) for c in batch.columns] for batch in batches if len(batch)]
+    if not parts:
+        return
+    columns = [np.concatenate(c) for c in zip(*parts)]
+    del parts
+    order = np.lexsort(columns[::-1])
+    band, ids = columns[0][order], columns[-1][order]
+    del columns, order
+    same = band[1:] == band[:-1]
+    run = np.concatenate([[0], np.cumsum(~same)])
+    size = np.bincount(run)
+    size[[0, -1]] = 3                # what goes on in another task may be longer
+    wide = np.flatnonzero(size[run] > 2)
+    yield _pairs(MEMBER, band[wide], ids[wide])
+    smallest = _smallest_so_far(ids, run)
+    follows = np.flatnonzero(same) + 1
+    here, star, near = ids[follows], smallest[follows - 1], ids[follows - 1]
+    yield _pairs(WITH_SMALLEST, star, here)
+    yield _pairs(WITH_NEIGHBOUR, near[near != star], here[near != star])
+    edge = np.unique([0, len(ids) - 1])
+    yield _pairs(EDGE, band[edge], smallest[edge])
 
 
 def _smallest_so_far(ids: np.ndarray, run: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsloom.llm.arrow import SpanHasher, mix, ragged, spans, text_pieces
+from opsloom.llm.arrow import SpanHasher, distinct, mix, ragged, spans, text_pieces
 from opsloom.llm.banding import band_keys, linked
 from opsloom.llm.store import BROADCAST_ROWS, fresh, kept, numbered, quoted, small_side
 from opsloom.llm.words import LOWER, WORD
@@ -170,19 +170,19 @@ def _holds(width: int, least: float, rows: int = 2000):
 
 def _pairs_alike(one: pa.Array, two: pa.Array, width: int, least: float) -> np.ndarray:
     """For each pair of lines whether the Jaccard similarity of their distinct shingles is ``least`` or more."""
-    n = len(one)
-    good = np.zeros(n, bool)
+    good = np.zeros(len(one), bool)
     for low, high, raw, offsets in text_pieces(pc.binary_join_element_wise(one, two, "\n"), _PIECE):
+        n = high - low
         lines = Lines(raw, offsets)
         owner, keys = lines.shingles(np.arange(len(lines.text)), width)
-        side = (lines.number[owner] + 1).astype(np.uint8)             # line 0 or 1 of the joined pair
-        owner = lines.text[owner]
-        order = np.lexsort((keys, owner))
-        owner, keys, side = owner[order], keys[order], side[order]
-        new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])))
-        held, of = np.bitwise_or.reduceat(side, new), owner[new]
-        both, any_ = np.bincount(of[held == 3], minlength=high - low), np.bincount(of, minlength=high - low)
-        good[low:high] = both >= least * any_ - 1e-9
+        bits = np.uint64(max(n.bit_length(), 1))                      # the pair in front, the rest of the hash behind
+        code = lines.text[owner].astype(np.uint64) << np.uint64(64) - bits | keys >> bits
+        side = lines.number[owner]
+        first, second = distinct(code[side == 0]), distinct(code[side == 1])
+        every = np.sort(np.concatenate([first, second]))
+        of = lambda c: np.bincount((c >> np.uint64(64) - bits).astype(np.int64), minlength=n)
+        both = of(every[1:][every[1:] == every[:-1]])
+        good[low:high] = both >= least * (of(every) - both) - 1e-9
     return good
 
 
@@ -190,7 +190,7 @@ def _alike(one: np.ndarray, two: np.ndarray, least: float) -> bool:
     """Whether two sets of distinct shingles have a Jaccard similarity of ``least`` or more."""
     if min(len(one), len(two)) < least * max(len(one), len(two)) - 1e-9:
         return False
-    both = len(one) + len(two) - len(np.unique(np.concatenate([one, two])))
+    both = len(one) + len(two) - len(distinct(np.concatenate([one, two])))
     return both >= least * (len(one) + len(two) - both) - 1e-9
 
 
@@ -202,7 +202,7 @@ def _line_sets(lines: pa.Array, width: int) -> list[np.ndarray]:
         owner, keys = form.shingles(np.arange(len(form.text)), width)
         owner = form.text[owner]
         order = np.argsort(owner, kind="stable")
-        out += [np.unique(k) for k in np.split(keys[order], np.searchsorted(owner[order], np.arange(1, high - low)))]
+        out += [distinct(k) for k in np.split(keys[order], np.searchsorted(owner[order], np.arange(1, high - low)))]
     return out
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsloom.llm.arrow import SpanHasher, mix, ragged, text_pieces
+from opsloom.llm.arrow import SpanHasher, distinct, mix, ragged, text_pieces
 from opsloom.llm.banding import band_keys, linked
 from opsloom.llm.store import fresh, kept, numbered, quoted, small_side
 from opsloom.llm.words import Words, shingles_of, words_of, words_of_text
@@ -57,7 +57,7 @@ def prob_minhash(texts: np.ndarray, keys: np.ndarray, weights: np.ndarray, n: in
             better = np.flatnonzero(clock < time[slot])
             better = better[np.argsort(-clock[better], kind="stable")]     # the earliest is written last
             time[slot[better]], first[slot[better]] = clock[better], keys[better]
-            touched = np.unique(texts[better])
+            touched = distinct(texts[better])
             latest[touched] = time.reshape(n, size)[touched].max(axis=1)
     return first.reshape(n, size)
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from opsloom.llm.arrow import mix, spans
+from opsloom.llm.arrow import distinct, mix, spans
 
 _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _NONE = np.zeros(0, np.int64)
@@ -219,12 +219,12 @@ def _to_the_end(levels: list[_Level], edited: dict[int, list[_Open]]) -> list[tu
     steps: dict[int, tuple] = {}
     coming = _NONE
     for h in range(top, 0, -1):
-        code = np.unique(np.concatenate([paths[h].left * wide[h] + paths[h].right, coming]))
+        code = distinct(np.concatenate([paths[h].left * wide[h] + paths[h].right, coming]))
         states[h] = code
         place, x, y = levels[h].both(code // wide[h], code % wide[h])
         below = levels[h].to[x] * wide[h - 1] + levels[h].to[y]
         steps[h] = (place, below, levels[h].skip[x], levels[h].skip[y])
-        coming = np.unique(below)
+        coming = distinct(below)
     alive = np.zeros(1, np.int64)       # composed states that reach the end; on level 0 there is one
     for h in range(1, top + 1):
         place, below, one, two = steps[h]

@@ -45,15 +45,18 @@ def numbered(docs: DataFrame, name: str = "uid") -> DataFrame:
     salt, bits = _file_hash(docs.inputFiles())
     place = F.when(F.shiftright(row, 63 - bits) == 0, F.col(row)).otherwise(
         F.raise_error(F.lit("a file has too many rows to number them")).cast("long"))
-    code = F.xxhash64(F.concat(F.col(file), F.lit(salt))).bitwiseAND((1 << bits) - 1)
+    # Spark writes a local file as file:/a in one place and file:///a in another.
+    path = F.ltrim(F.substring(F.col(file), F.instr(file, ":") + 1, F.length(file)), F.lit("/"))
+    code = F.xxhash64(F.concat(path, F.lit(salt))).bitwiseAND((1 << bits) - 1)
     return out.select(*[quoted(c) for c in docs.columns], F.shiftleft(code, 63 - bits).bitwiseOR(place).alias(name))
 
 
 def _file_hash(files: list[str]) -> tuple[str, int]:
     """(salt, bits) of a hash that tells all files apart; the driver lists them anyway."""
-    bits = max(8, 2 * len(files).bit_length() - 1)
+    paths = {f[f.find(":") + 1:].lstrip("/") for f in files}
+    bits = max(38, 2 * len(paths).bit_length() - 1)
     for salt in map(str, itertools.count()):
-        if len({xxhash.xxh64_intdigest(f + salt, 42) & ((1 << bits) - 1) for f in files}) == len(set(files)):
+        if len({xxhash.xxh64_intdigest(p + salt, 42) & ((1 << bits) - 1) for p in paths}) == len(paths):
             return salt, bits
 
 

@@ -1,3 +1,4 @@
+import xxhash
 from pyspark.sql import functions as F
 
 from opsloom.llm.near_duplicates import one_of_each
@@ -35,11 +36,22 @@ def test_rows_that_are_no_scan_are_written(spark):
     assert len(first) == 10 and first == second
 
 
+def test_files_hash_as_the_driver_checks(spark, tmp_path):
+    """The collision check sees the very hashes that rows get."""
+    path = str(tmp_path / "a b é%c")
+    spark.range(40).repartition(4).write.parquet(path)
+    df = spark.read.parquet(path)
+    salt, bits = _file_hash(df.inputFiles())
+    paths = [f[f.find(":") + 1:].lstrip("/") for f in df.inputFiles()]
+    want = {xxhash.xxh64_intdigest(p + salt, 42) & ((1 << bits) - 1) for p in paths}
+    assert {r.uid >> (63 - bits) for r in numbered(df).collect()} == want and len(want) == 4
+
+
 def test_files_are_told_apart():
     for n in (0, 1, 5, 3000):
         files = [f"file:///a/part-{i}" for i in range(n)]
         salt, bits = _file_hash(files)
-        assert bits >= 8 and isinstance(salt, str)
+        assert bits >= 38 and isinstance(salt, str)
 
 
 def test_copies_go_when_the_cores_change_between_jobs(spark, tmp_path, monkeypatch):
