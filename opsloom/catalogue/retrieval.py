@@ -9,7 +9,9 @@ from opsloom.catalogue.registry import Tables, plain, query
 from opsloom.catalogue.text import sql_list, sql_strip, sql_tokens
 from opsloom.functions import chunking as ch
 from opsloom.functions import text as tx
+from opsloom.functions.vectors import cosine_distance
 from opsloom.operators import topk
+from opsloom.operators.fusion import Ranked, fused_top_k
 from opsloom.operators.literals import fixed_table
 from opsloom.plans import retrieval as rt
 from opsloom.session import new_scratch
@@ -129,21 +131,17 @@ q AS (SELECT unnest({sql_list(_QT)}) AS token),
 s AS (SELECT doc_id, count(*) / {len(_QT)}.0 AS s FROM tok JOIN q USING (token) GROUP BY doc_id),
 k AS (SELECT doc_id AS id, row_number() OVER (ORDER BY s DESC, doc_id) AS kr FROM s),
 {_VEC_SQL.replace("SELECT label, unnest(range", "SELECT 0 AS label, unnest(range")},
-f AS (SELECT id, kr, rank_position AS vrank FROM (SELECT * FROM k WHERE kr <= 50)
-  FULL JOIN (SELECT id, rank_position FROM vr WHERE rank_position <= 50) USING (id)),
+f AS (SELECT id, kr, rank_position AS vrank FROM k FULL JOIN (SELECT id, rank_position FROM vr) USING (id)),
 z AS (SELECT id, coalesce(1.0::DOUBLE / (60 + kr), 0) + coalesce(1.0::DOUBLE / (60 + vrank), 0) AS score FROM f)
 SELECT id, round(score, 6) AS score_final, row_number() OVER (ORDER BY score DESC, id) AS rank_position
 FROM z ORDER BY score DESC, id LIMIT 20
 """)
 def hybrid_rrf(t: Tables):
-    lexical = rt.keyword_top_k(t.documents.select(F.col("doc_id").alias("id"), "text"), QUERY, ["text"], ["id"], 50)
+    words = t.documents.select(F.col("doc_id").alias("id"), rt.keyword_score(F.col("text"), QUERY).alias("score")).where("score > 0")
     vectors = _vectors(t)
-    centre = topk.centroids(vectors.withColumn("query_id", F.lit(0)), "query_id")
-    semantic = topk.vector_top_k(vectors, centre, 50).withColumnRenamed("rank_position", "vector_rank")
-    fused = topk.reciprocal_rank_fusion(
-        lexical.withColumnRenamed("rank_position", "keyword_rank"), semantic, ["id"],
-        "keyword_rank", "vector_rank")
-    best = topk.top_k(fused, [F.col("score_final").desc(), F.col("id").asc()], 20)
+    centre = topk.centroids(vectors.withColumn("query_id", F.lit(0)), "query_id").first()["vec"]
+    near = vectors.where("vec IS NOT NULL").select("id", (-cosine_distance(F.col("vec"), F.array(*[F.lit(x) for x in centre]))).alias("score"))
+    best = fused_top_k([Ranked(words), Ranked(near, falling_ids=True)], 20)
     return best.select("id", F.round("score_final", 6).alias("score_final"),
                        F.col("rank_position").cast("long").alias("rank_position"))
 

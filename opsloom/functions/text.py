@@ -110,14 +110,19 @@ def match_form(c: Column) -> Column:
     """Accent-free lower case with single spaces, for keyword matching.
 
     Compatibility forms (ligatures, full-width letters, fractions, signs) become
-    the letters they stand for, and every combining mark goes. Only texts that
-    hold a form of several letters take the slower way.
+    the letters they stand for, and every combining mark goes. ASCII texts need
+    none of it; of others only the rest that is not ASCII is searched for forms
+    of several letters.
     """
     def fold(text: Column) -> Column:
-        return F.when(text.rlike(_ANY_SEVERAL), _unfold(text)).otherwise(text)
+        def several(near: Column) -> Column:
+            rest = F.regexp_replace(near, r"[\x00-\x7F]+", "")
+            return F.when(rest.rlike(_ANY_SEVERAL), _unfold(near)).otherwise(near)
 
-    whole = bind(F.translate(F.coalesce(c, F.lit("")), _FOLD_FROM, _FOLD_TO), fold)
-    return clean(F.lower(F.regexp_replace(whole, r"\p{M}+", "")))
+        other = F.regexp_replace(bind(F.translate(text, _FOLD_FROM, _FOLD_TO), several), r"\p{M}+", "")
+        return F.when(F.octet_length(text) == F.length(text), text).otherwise(other)
+
+    return clean(F.lower(bind(F.coalesce(c, F.lit("")), fold)))
 
 
 def match_key(word: str) -> str:
@@ -166,6 +171,17 @@ def first_text_match(values: Column, keywords: Sequence[str]) -> Column:
     return F.coalesce(clean(F.get(hit, F.lit(0)), 200), F.lit(""))
 
 
+def with_forms(values: Column) -> Column:
+    """Each value next to its match form, so that several tests fold it once: struct<line, form>."""
+    return F.transform(values, lambda v: F.struct(v.alias("line"), match_form(v).alias("form")))
+
+
+def first_form_match(pairs: Column, keywords: Sequence[str]) -> Column:
+    """``first_text_match`` over values ``with_forms``."""
+    hit = F.filter(pairs, lambda p: contains_any(p["form"], keywords))
+    return F.coalesce(clean(F.get(hit, F.lit(0))["line"], 200), F.lit(""))
+
+
 def first_long_text(values: Column, min_len: int = 3) -> Column:
     """First value of at least ``min_len`` characters after cleaning."""
     cleaned = F.transform(values, lambda v: clean(v, 200))
@@ -187,8 +203,18 @@ def first_time_hint(values: Column) -> Column:
     return F.coalesce(clean(F.get(hit, F.lit(0)), 200), F.lit(""))
 
 
+def first_form_time(pairs: Column) -> Column:
+    """``first_time_hint`` over values ``with_forms``."""
+    hit = F.filter(pairs, lambda p: contains_any(p["form"], fv.QUESTION_TIME) | p["line"].rlike(f"{_CLOCK}|{_DATE}"))
+    return F.coalesce(clean(F.get(hit, F.lit(0))["line"], 200), F.lit(""))
+
+
+def is_noise_form(form: Column) -> Column:
+    return form.rlike(r"(?U)^$|^\d+\s*/\s*\d+|" + any_of(fv.QUESTION_NOISE))
+
+
 def is_noise_line(c: Column) -> Column:
-    return match_form(c).rlike(r"(?U)^$|^\d+\s*/\s*\d+|" + any_of(fv.QUESTION_NOISE))
+    return is_noise_form(match_form(c))
 
 
 # Line ends that Python's splitlines knows.

@@ -93,23 +93,26 @@ def question_summary(items: DataFrame) -> DataFrame:
     """
     texts = F.filter(F.transform("links", lambda e: e["text"]), lambda s: s != "")
     base = settle(items, {"_lines": tx.visible_lines(F.col("raw_text")), "_link_texts": texts})
+    # Every text is folded once; all later tests read its form.
+    base = settle(base, {"_pairs": tx.with_forms(F.col("_lines")), "_links": tx.with_forms(F.col("_link_texts")),
+                         "_ctas": tx.with_forms(F.col("cta_texts")), "_states": tx.with_forms(F.col("status_texts"))})
     base = settle(base, {
-        "_content": F.filter("_lines", lambda s: ~tx.is_noise_line(s)),
-        "_cta": tx.first_text_match(F.concat("cta_texts", "_link_texts"), fv.QUESTION_CTA),
-        "_status": tx.first_text_match(F.concat("status_texts", "_lines"), fv.QUESTION_STATUS),
-        "_product": tx.first_text_match(F.concat("_link_texts", "_lines"), fv.QUESTION_PRODUCT),
-        "_named_buyer": tx.first_text_match(F.col("_lines"), fv.QUESTION_BUYER),
-        "_time": tx.first_time_hint(F.col("_lines")),
+        "_forms": F.filter("_pairs", lambda p: ~tx.is_noise_form(p["form"])),
+        "_cta": tx.first_form_match(F.concat("_ctas", "_links"), fv.QUESTION_CTA),
+        "_status": tx.first_form_match(F.concat("_states", "_pairs"), fv.QUESTION_STATUS),
+        "_product": tx.first_form_match(F.concat("_links", "_pairs"), fv.QUESTION_PRODUCT),
+        "_named_buyer": tx.first_form_match(F.col("_pairs"), fv.QUESTION_BUYER),
+        "_time": tx.first_form_time(F.col("_pairs")),
         "_href": F.coalesce(F.get(F.filter(
             F.transform("links", lambda e: e["href"]),
             lambda h: h.contains(fv.PRODUCT_LINK_HOST)), F.lit(0)), F.lit("")),
     })
+    base = settle(base, {"_content": F.transform("_forms", lambda p: p["line"])})
     bracketed = F.filter("_content", lambda s: s.contains("(") & s.contains(")") & (F.length(s) <= 80))
     buyer = F.when(F.col("_named_buyer") != "", F.col("_named_buyer")).otherwise(
         tx.first_long_text(bracketed, 6))
     base = settle(base, {"_buyer": buyer})
     base = settle(base, {
-        "_forms": F.transform("_content", lambda s: F.struct(s.alias("line"), tx.match_form(s).alias("form"))),
         "_nb": tx.match_form(F.col("_buyer")), "_np": tx.match_form(F.col("_product")),
         "_ns": tx.match_form(F.col("_status")), "_nc": tx.match_form(F.col("_cta")),
         "_nt": tx.match_form(F.col("_time")),
@@ -131,8 +134,7 @@ def question_summary(items: DataFrame) -> DataFrame:
     snippet = F.coalesce(
         blank_null(tx.first_long_text(context, 12)), blank_null(tx.first_long_text(asking, 12)),
         blank_null(tx.first_long_text(other, 12)), tx.first_long_text(rest, 6))
-    linked = F.filter("_link_texts", lambda s: (tx.match_form(s) != F.col("_nc"))
-                      & ~tx.match_form(s).contains("sku "))
+    linked = line(F.filter("_links", lambda s: (s["form"] != F.col("_nc")) & ~s["form"].contains("sku ")))
     product = F.when(F.col("_product") != "", F.col("_product")).otherwise(tx.first_long_text(linked, 8))
     values = {
         "text_snippet": snippet, "product_hint": product, "product_href": F.col("_href"),
