@@ -10,7 +10,7 @@ from opsloom.catalogue.registry import Tables, query
 from opsloom.plans import tenancy as tn
 from opsloom.session import new_scratch
 from opsloom.sources.keyed_table import KeyedTable
-from opsloom.sources.sinks import latest_state
+from opsloom.sources.sinks import batch_appender, latest_state
 from opsloom.streaming import jobs
 from opsloom.streaming.streaks import error_streaks
 
@@ -219,9 +219,15 @@ SELECT e.event_id AS message_id, CASE WHEN rule_id IS NULL THEN 'missed' ELSE 'm
 FROM events e LEFT JOIN (SELECT * FROM m WHERE n = 1) x USING (event_id)
 """)
 def stream_routing(t: Tables):
-    stream = _stream(t)
-    inner = Tables(stream.sparkSession, t.folder)
-    messages = stream.select(F.col("event_id").alias("message_id"), F.col("event_type").alias("channel_id"),
-                             F.col("user_id").cast("string").alias("sender"), F.col("props").alias("body"),
-                             F.col("ts").cast("timestamp_ntz").alias("ts"))
-    return _read(t, tn.route(messages, rules(inner), "ts"), "append").select("message_id", "routing")
+    """Each batch of messages is routed as it comes; a batch that is run again overwrites its own rows."""
+    messages = _follow(t, _arriving(t)).where("event_id >= 0").select(
+        F.col("event_id").alias("message_id"), F.col("event_type").alias("channel_id"),
+        F.col("user_id").cast("string").alias("sender"), F.col("props").alias("body"),
+        F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+    def write(folder: str):
+        append = batch_appender(folder)
+        return lambda df, n: append(tn.route(df, rules(Tables(df.sparkSession, t.folder)), "ts"), n)
+
+    out = jobs.drain(messages, "append", t.spark, write)
+    return t.spark.read.parquet(out).select("message_id", "routing")

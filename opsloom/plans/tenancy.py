@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opsloom.operators.keyed import first_n
-from opsloom.operators.settle import settle
+from opsloom.operators.ranges import as_of, elementary_ranges
 
 
 def visible(rows: DataFrame, access: DataFrame, key: str = "workspace_id") -> DataFrame:
@@ -154,33 +154,61 @@ def limit_state(entitled: DataFrame, usage: DataFrame) -> DataFrame:
     )
 
 
-def route(messages: DataFrame, rules: DataFrame, at: str) -> DataFrame:
-    """First routing rule per message: same channel, rule in force, type matches.
+#: Longest piece of a keyword that rules are indexed by.
+GRAM = 3
+#: Days of a bucket in which messages meet the rules in force.
+RULE_DAYS = 7
+
+
+def _keyword_index(rules: DataFrame) -> DataFrame:
+    """Keyword rules, each under the piece of its keyword that fewest rules of the channel hold."""
+    size = F.least(F.length("match_value"), F.lit(GRAM))
+    starts = F.sequence(F.lit(1), F.length("match_value") - size + 1)
+    pieces = rules.withColumn("_size", size).withColumn(
+        "_grams", F.array_distinct(F.transform(starts, lambda i: F.substring("match_value", i, F.col("_size")))))
+    each = pieces.select("channel_id", "rule_id", F.explode("_grams").alias("_gram"))
+    common = each.groupBy("channel_id", "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = each.join(common, ["channel_id", "_gram"]).groupBy("rule_id").agg(F.min(F.struct("_n", "_gram")).getField("_gram").alias("_gram"))
+    return pieces.join(rarest, "rule_id").drop("_grams")
 
-    The rules of a channel travel as one list sorted by (priority, rule), so a
-    message meets one lookup row and picks its rule in place: messages are
-    not ranked and, while the rules are small enough to broadcast, not moved.
+
+def route(messages: DataFrame, rules: DataFrame, at: str) -> DataFrame:
+    """First routing rule per message by (priority, rule_id): same channel, rule in force, type matches.
+
+    Rules are taken apart by type. Those for any message, and those for one
+    sender, become pieces of time with one winner each, so a message meets at
+    most one of either. Keyword rules are indexed by a rare piece of their
+    keyword, which a message's own pieces are joined to; the keyword itself is
+    then looked for in the body. The least of the candidates wins. message_id
+    is unique; a message without body or sender meets no such rule.
     """
-    listed = rules.groupBy(F.col("channel_id").alias("_channel")).agg(
-        F.array_sort(F.collect_list(F.struct(
-            "priority", "rule_id", "target", "match_type", "match_value", "active_from", "active_to"
-        ))).alias("_rules"))
-
-    def fits(rule: Column) -> Column:
-        kind, value = rule["match_type"], rule["match_value"]
-        return in_force(rule["active_from"], rule["active_to"], F.col(at)) & (
-            (kind == "any")
-            | ((kind == "sender") & (value == F.col("sender")))
-            | ((kind == "keyword") & F.col("body").contains(value))
-        )
-
-    joined = messages.join(listed, F.col("channel_id") == F.col("_channel"), "left")
-    picked = settle(joined, {"_best": F.get(F.filter("_rules", fits), F.lit(0))})
-    return picked.select(
-        "message_id", "channel_id", F.col("_best.rule_id").alias("rule_id"),
-        F.col("_best.target").alias("target"),
-        F.when(F.col("_best").isNull(), "missed").otherwise("matched").alias("routing"),
-    )
+    kinds = rules.where(F.col("channel_id").isNotNull()).withColumn(
+        "_kind", F.when((F.col("match_type") == "keyword") & (F.col("match_value") == ""), "any").otherwise(F.col("match_type")))
+    carried = ["priority", "rule_id", "target", "active_from", "active_to"]
+
+    def won(kind: str, *keys: str) -> DataFrame:
+        chosen = kinds.where(F.col("_kind") == kind).withColumn("sender", F.col("match_value"))
+        pieces = elementary_ranges(chosen.select(*keys, *carried), keys, "active_from", "active_to", ["priority", "rule_id"], open_start=True)
+        return as_of(messages.select("message_id", "channel_id", "sender", at), at, pieces, keys, "active_from", "active_to", "inner", RULE_DAYS)
+
+    index = _keyword_index(kinds.where((F.col("_kind") == "keyword") & F.col("match_value").isNotNull()))
+    grams = [F.regexp_extract_all("body", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, GRAM + 1)]
+    wanted = {r[0] for r in index.select("_size").distinct().collect()}
+    used = [g for n, g in enumerate(grams, 1) if n in wanted]
+    found = [won("any", "channel_id"), won("sender", "channel_id", "sender")]
+    if used:
+        pieces = messages.select("message_id", "channel_id", "body", at, F.explode(F.array_distinct(F.concat(*used))).alias("_gram"))
+        rule = index.select("channel_id", "_gram", "match_value", *carried)
+        found.append(pieces.join(rule, ["channel_id", "_gram"]).where(
+            F.col("body").contains(F.col("match_value")) & in_force(F.col("active_from"), F.col("active_to"), F.col(at))))
+    best = None
+    for part in found:
+        part = part.select("message_id", F.struct("priority", "rule_id", "target").alias("_best"))
+        best = part if best is None else best.unionByName(part)
+    best = best.groupBy("message_id").agg(F.min("_best").alias("_best"))
+    return messages.join(best, "message_id", "left").select(
+        "message_id", "channel_id", F.col("_best.rule_id").alias("rule_id"), F.col("_best.target").alias("target"),
+        F.when(F.col("_best").isNull(), "missed").otherwise("matched").alias("routing"))
 
 
 def best_by_preference(candidates: DataFrame, keys: Sequence[str], preference: str,

@@ -20,7 +20,7 @@ def priced_usage(usage: DataFrame, prices: DataFrame, bucket_days: int | None =
     """
     pieces = elementary_ranges(
         prices, ["provider", "model"], "effective_from", "effective_to",
-        [F.col("effective_from").desc(), F.col("input_price").desc()])
+        ["-effective_from", "-input_price"])
     return as_of(usage, "created_at", pieces, ["provider", "model"], "effective_from",
                  "effective_to", "left", bucket_days)
 

@@ -80,7 +80,7 @@ def test_as_of_latest_start_among_valid(spark):
              for i, s in enumerate(rng.sample(range(90), 40))]
     facts = [(i, rng.choice("abc"), day(rng.randint(-5, 120)) + timedelta(hours=rng.randint(0, 23))) for i in range(400)]
     prices = spark.createDataFrame(price, "m string, f timestamp_ntz, t timestamp_ntz, p double")
-    pieces = ranges.elementary_ranges(prices, ["m"], "f", "t", [F.col("f").desc()])
+    pieces = ranges.elementary_ranges(prices, ["m"], "f", "t", ["-f"])
     df = spark.createDataFrame(facts, "id int, m string, ts timestamp_ntz")
 
     def best(m, ts):
@@ -93,6 +93,28 @@ def test_as_of_latest_start_among_valid(spark):
         assert sorted((r["id"], r["p"]) for r in out.collect()) == want
 
 
+def test_pieces_are_linear_in_a_busy_key(spark):
+    """Twenty thousand overlapping ranges of one key: the best at any time, in a few seconds."""
+    rows = spark.range(20_000).select(
+        F.lit("k").alias("k"), F.timestamp_add("SECOND", F.col("id").cast("int"), F.lit(datetime(2024, 1, 1))).alias("f"),
+        F.when(F.col("id") % 2 == 0, F.timestamp_add("SECOND", (F.col("id") + 5000).cast("int"), F.lit(datetime(2024, 1, 1)))).alias("t"),
+        (F.col("id") * 7919 % 20_000).alias("p"), F.col("id").alias("n"))
+    got = [(r.f, r.t, r.p) for r in ranges.elementary_ranges(rows, ["k"], "f", "t", ["p", "n"]).orderBy("f").collect()]
+    assert all(a[1] == b[0] and a[2] != b[2] for a, b in zip(got, got[1:])) and got[-1][1] is None
+    data = [(r.f, r.t, r.p) for r in rows.collect()]
+    for at in got[::199]:
+        assert min(p for f, t, p in data if f <= at[0] and (t is None or at[0] < t)) == at[2]
+
+
+def test_open_starts(spark):
+    day = lambda n: datetime(2024, 1, n)
+    rows = [("a", None, day(5), 1), ("a", day(3), None, 2), ("a", day(4), day(4), 0), ("b", None, None, 3), ("b", day(2), day(3), 1)]
+    df = spark.createDataFrame(rows, "k string, f timestamp_ntz, t timestamp_ntz, p int")
+    got = ranges.elementary_ranges(df, ["k"], "f", "t", ["p"], open_start=True).collect()
+    assert sorted([(r.k, r.p, r.f, r.t) for r in got], key=str) == sorted([
+        ("a", 1, None, day(5)), ("a", 2, day(5), None), ("b", 3, None, day(2)), ("b", 1, day(2), day(3)), ("b", 3, day(3), None)], key=str)
+
+
 def test_roots_depth_path_and_cycle(spark):
     edges = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(37)] + [("x", "outside"), ("y", "x")]
     rows = {r["node"]: r for r in hierarchy.resolve_roots(
