@@ -174,6 +174,71 @@ def test_attribute_words_spare_main_text():
     assert text_of(f'{inner.replace(" notice", "")}<div class="box Sidebar">no</div><div id=nav>no</div>') == "a b c"
 
 
+def test_adverts_notices_and_comments_inside_articles():
+    aside = ('<div class="advert">no</div><div class="cookie-notice">no</div><ul class="share"><li>no</ul><div class="comment-body">no</div>'
+             '<div class="comment-list">no</div><div class="comments-area">no</div><div id="comments">no</div>')
+    assert text_of(f"<article>Text{aside}<p class=notice>too</p></article>") == "Text too"
+    assert text_of('<main><p>Text</p><article class="related-post">no</article></main>') == "Text"
+
+
+def test_text_outside_articles():
+    long = "long text " * 20
+    assert text_of(f'<div id="content">{long}</div><article class="teaser">Other post</article>') == long.strip()
+    assert text_of(f"<div>{long}</div><article>Short post</article>") == long.strip() + " Short post"
+    assert text_of('<body><div id="legal"><p>Terms</p></div></body>') == "Terms"
+    frame = '<div class="main-sidebar">no</div><div class="site-header">no</div><div class="page-footer">no</div>'
+    assert text_of(f"<body>{frame}<p>Text</p></body>") == "Text"
+
+
+def test_boxes_inside_articles_need_many_pages(table):
+    def texts(n):
+        rows = [(i, "http://q.example/", f"<article><p>own {i}</p><div>box</div></article>", "") for i in range(n)]
+        return [r.text for r in templates.main_texts(table(rows, "page_id long, url string, html string, text string")).orderBy("page_id").collect()]
+
+    assert texts(5) == [f"own {i} box" for i in range(5)] and texts(12) == [f"own {i}" for i in range(12)]
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 60_000 + "</span>" * 60_000 + "x", '<div class="nav">' * 60_000 + "<article>x</article>", "<p><div>" + "<span>" * 60_000 + "<hr>" * 60_000 + "x",
+    "<li><ul>" + "<div>" * 60_000 + "<li></li>" * 60_000 + "x", "<a>" * 200_000 + "x"])
+def test_odd_pages_take_linear_time(page):
+    began = time.time()
+    root = templates.parse(page)
+    templates.hash_subtrees(root)
+    templates.template_candidates(root)
+    assert templates.main_text(root) == "x" and time.time() - began < 20
+
+
+def brute_templates(rows):
+    """(host, text) of outermost repeated divs, counted over the pages' different main texts."""
+    seen = {}
+    for host, own, boxes in rows:
+        for box in boxes:
+            seen.setdefault((host, box), set()).add(own)
+    return {k for k, v in seen.items() if len(v) >= 3}
+
+
+def test_counts_per_host_equal_brute_force(table):
+    pick = random.Random(4)
+    rows = [(pick.choice("abc"), f"own {pick.randint(0, 25)}", [f"box {pick.randint(0, 12)}" for _ in range(pick.randint(0, 4))]) for _ in range(120)]
+    pages = [(i, f"http://{h}.example/", f"<article>{own}</article>" + "".join(f"<div>{b}</div>" for b in boxes), "") for i, (h, own, boxes) in enumerate(rows)]
+    df = table(pages, "page_id long, url string, html string, text string")
+    found = df.select(templates.host_of(F.col("url")).alias("host"), "html", F.col("page_id").alias("uid")).select("uid", "host", "html").mapInArrow(
+        templates._subtrees, "uid long, host string, main long, subtrees array<long>")
+    got = {(r.host, r.subtree) for r in templates.template_subtrees(found).collect()}
+    want = set()
+    for host, box in brute_templates([(f"{h}.example", own, boxes) for h, own, boxes in rows]):
+        root = templates.parse(f"<div>{box}</div>")
+        templates.hash_subtrees(root)
+        want.add((host, root.children[0].key))
+    articles = set()
+    for h, own, _ in rows:
+        root = templates.parse(f"<article>{own}</article>")
+        templates.hash_subtrees(root)
+        articles.add((f"{h}.example", root.children[0].key))
+    assert got - articles == want and want
+
+
 def test_section_templates_of_a_large_host(table):
     page = "<div><p>notice {s}</p></div><div><p>own {i} text</p></div>"
     rows = [(i, "http://l.example/", page.format(s=i // 4, i=i), "") for i in range(400)]
