@@ -282,6 +282,19 @@ def org_tree(t: Tables):
     return out.withColumn("depth", F.col("depth").cast("long"))
 
 
+@query("org_subtree", f"""
+WITH RECURSIVE e AS ({plain(EDGES)}), w AS (
+ SELECT id, id AS root, 0 AS depth, [id] AS path FROM e WHERE parent IS NULL OR parent NOT IN (SELECT id FROM e)
+ UNION ALL SELECT e.id, w.root, w.depth + 1, list_append(w.path, e.id) FROM w JOIN e ON e.parent = w.id),
+n AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY path) - 1 AS low FROM w),
+s AS (SELECT above AS id, count(*) AS below FROM (SELECT unnest(path) AS above FROM w) GROUP BY 1)
+SELECT id AS node, root, depth::BIGINT AS depth, low::BIGINT AS low, (low + below - 1)::BIGINT AS high FROM n JOIN s USING (id)
+""")
+def org_subtree(t: Tables):
+    out = hierarchy.subtree_intervals(t.derive(EDGES), "id", "parent")
+    return out.withColumn("depth", F.col("depth").cast("long"))
+
+
 # Each order replaces an earlier one of its customer: chains of records.
 CHAIN = """
 SELECT o_orderkey AS id, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS replaced_by FROM {orders}
@@ -294,7 +307,7 @@ SELECT o_orderkey AS node, m AS current_id, (row_number() OVER (PARTITION BY o_c
 FROM orders JOIN last USING (o_custkey)
 """)
 def chain_current(t: Tables):
-    out = hierarchy.resolve_roots(t.derive(CHAIN), "id", "replaced_by")
+    out = hierarchy.resolve_roots(t.derive(CHAIN), "id", "replaced_by", path=False)
     return out.select("node", F.col("root").alias("current_id"), F.col("depth").cast("long").alias("steps"))
 
 
