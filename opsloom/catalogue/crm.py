@@ -285,6 +285,97 @@ def attribution(t: Tables):
         F.round(F.avg(wait), 4).alias("avg_response_s"))
 
 
+# Customers play the leads: sold if an order of theirs is final. Clicks are what a campaign pays for.
+_LEADS = """l AS (SELECT c_custkey, 'cmp' || (c_custkey % 8) AS campaign, c_mktsegment AS channel, coalesce(r, 0) AS revenue, r IS NOT NULL AS sold
+ FROM customer LEFT JOIN (SELECT o_custkey, sum(round(o_totalprice * 100)::BIGINT) AS r FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) ON o_custkey = c_custkey),
+p AS (SELECT 'cmp' || (user_id % 9) AS campaign, sum(floor(value * 100)::BIGINT) AS spend FROM events WHERE event_type = 'click' GROUP BY 1)"""
+
+
+def _leads(t: Tables):
+    final = t.orders.where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("r"))
+    return t.customer.join(final, "c_custkey", "left").select(
+        F.concat(F.lit("cmp"), F.col("c_custkey") % 8).alias("campaign"), F.col("c_mktsegment").alias("channel"),
+        F.coalesce("r", F.lit(0)).alias("revenue"), F.col("r").isNotNull().alias("sold"))
+
+
+@query("campaign_returns", f"""WITH {_LEADS}, w AS (SELECT campaign, count(*) AS leads, count(*) FILTER (WHERE sold) AS sales, sum(revenue) AS revenue FROM l GROUP BY 1)
+SELECT campaign, leads::BIGINT AS leads, sales::BIGINT AS sales, revenue::BIGINT AS revenue, spend::BIGINT AS spend, round(spend::DOUBLE / leads, 4) AS cost_per_lead,
+ round(revenue::DOUBLE / leads, 4) AS revenue_per_lead, round(revenue::DOUBLE / spend, 6) AS return_on_spend FROM w FULL JOIN p USING (campaign)
+""")
+def campaign_returns(t: Tables):
+    spend = t.events.where("event_type = 'click'").select(
+        F.concat(F.lit("cmp"), F.col("user_id") % 9).alias("campaign"), F.floor(F.col("value") * 100).alias("spend"))
+    out = kpi.campaign_returns(_leads(t), spend)
+    return out.withColumns({c: F.round(c, n) for c, n in (("cost_per_lead", 4), ("revenue_per_lead", 4), ("return_on_spend", 6))})
+
+
+@query("channel_conversion", f"""WITH {_LEADS}
+SELECT channel, count(*)::BIGINT AS leads, count(*) FILTER (WHERE sold)::BIGINT AS sales, round(count(*) FILTER (WHERE sold)::DOUBLE / count(*), 6) AS conversion FROM l GROUP BY 1
+""")
+def channel_conversion(t: Tables):
+    return kpi.channel_conversion(_leads(t)).withColumn("conversion", F.round("conversion", 6))
+
+
+@query("content_traction", """
+WITH e AS (SELECT 'topic' || (user_id % 6) AS topic, event_type AS k, floor(value * 100)::BIGINT AS views FROM events)
+SELECT topic, sum(views)::BIGINT AS views, count(*)::BIGINT AS interactions, count(*) FILTER (WHERE k = 'click')::BIGINT AS comments,
+ count(*) FILTER (WHERE k = 'purchase')::BIGINT AS shares, count(*) FILTER (WHERE k = 'signup')::BIGINT AS follows,
+ round(count(*) FILTER (WHERE k = 'click')::DOUBLE / count(*), 6) AS comment_share FROM e GROUP BY 1
+""")
+def content_traction(t: Tables):
+    """Clicks play the comments, purchases the shares, signups the follows."""
+    kind = F.col("event_type")
+    return t.events.groupBy(F.concat(F.lit("topic"), F.col("user_id") % 6).alias("topic")).agg(
+        F.sum(F.floor(F.col("value") * 100)).alias("views"), F.count(F.lit(1)).alias("interactions"),
+        F.count_if(kind == "click").alias("comments"), F.count_if(kind == "purchase").alias("shares"),
+        F.count_if(kind == "signup").alias("follows"),
+        F.round(F.count_if(kind == "click").cast("double") / F.count(F.lit(1)), 6).alias("comment_share"))
+
+
+@query("team_targets", """
+WITH r AS (SELECT 'adv' || (o_custkey % 40) AS advisor, 'team' || (o_custkey % 40 % 3) AS team, count(*) AS result FROM orders GROUP BY 1, 2),
+g AS (SELECT 'adv' || (s_suppkey % 40) AS advisor, count(*) * 12 AS target FROM supplier WHERE s_suppkey % 40 < 35 GROUP BY 1),
+b AS (SELECT * FROM r LEFT JOIN g USING (advisor))
+SELECT team, advisor, result::BIGINT AS result, target::BIGINT AS target, (result - target)::BIGINT AS difference, false AS is_team FROM b
+UNION ALL SELECT team, NULL, sum(result), sum(target), sum(result) - sum(target), true FROM b GROUP BY team
+""")
+def team_targets(t: Tables):
+    advisor = lambda c: F.concat(F.lit("adv"), F.col(c) % 40).alias("advisor")
+    results = t.orders.groupBy(advisor("o_custkey"), F.concat(F.lit("team"), F.col("o_custkey") % 40 % 3).alias("team")).agg(
+        F.count(F.lit(1)).alias("result"))
+    targets = t.supplier.where("s_suppkey % 40 < 35").groupBy(advisor("s_suppkey")).agg((F.count(F.lit(1)) * 12).alias("target"))
+    return kpi.team_targets(results, targets, "team", "advisor")
+
+
+@query("controls_by_user_and_source", """
+WITH o AS (SELECT 'user' || (o_custkey % 25) AS u, c_mktsegment AS s FROM orders JOIN customer ON c_custkey = o_custkey)
+SELECT 'by_user' AS control, u AS bucket, count(*)::BIGINT AS n FROM o GROUP BY 2
+UNION ALL SELECT 'by_source', s, count(*) FROM o GROUP BY 2
+""")
+def controls_by_user_and_source(t: Tables):
+    counted = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))       # before the join: one row per customer
+    rows = counted.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    marks = F.array(F.struct(F.lit("by_user").alias("control"), F.concat(F.lit("user"), F.col("o_custkey") % 25).alias("bucket")),
+                    F.struct(F.lit("by_source").alias("control"), F.col("c_mktsegment").alias("bucket")))
+    return rows.select("n", F.explode(marks).alias("m")).groupBy("m.control", "m.bucket").agg(F.sum("n").alias("n"))
+
+
+@query("inbox_channels", """
+WITH c AS (SELECT event_type AS channel, user_id AS chat, max(ts) AS last_at, count(*) AS n, arg_max(value, (ts, event_id)) > 100 AS is_open FROM events GROUP BY 1, 2)
+SELECT channel, count(*)::BIGINT AS chats, count(*) FILTER (WHERE is_open)::BIGINT AS open_chats, sum(n)::BIGINT AS messages,
+ strftime(max(last_at), '%Y-%m-%d %H:%M:%S') AS last_message_at FROM c GROUP BY 1
+""")
+def inbox_channels(t: Tables):
+    """Chats by channel; one whose last message is a large one is open."""
+    chats = t.events.groupBy(F.col("event_type").alias("channel"), "user_id").agg(
+        F.max("ts").alias("last_at"), F.count(F.lit(1)).alias("n"),
+        (F.max_by("value", F.struct("ts", "event_id")) > 100).alias("open"))
+    return chats.groupBy("channel").agg(
+        F.count(F.lit(1)).alias("chats"), F.count_if("open").alias("open_chats"), F.sum("n").alias("messages"),
+        F.date_format(F.max("last_at"), "yyyy-MM-dd HH:mm:ss").alias("last_message_at"))
+
+
 @query("winner_rule", """
 WITH p AS (SELECT user_id AS post_id, min(ts) AS posted_at FROM events GROUP BY 1),
 s AS (SELECT post_id, sum(floor(value * 100)::BIGINT) AS views, count(*) AS interactions FROM events JOIN p ON post_id = user_id

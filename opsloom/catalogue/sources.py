@@ -44,6 +44,20 @@ def activity_scan(t: Tables):
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("valor_previo").cast("double") > 100).alias("n_large"))
 
 
+@query("ads_scan", """
+SELECT event_type AS campaign, count(*)::BIGINT AS n_rows, sum(floor(value * 100)::BIGINT)::BIGINT AS impressions, sum(event_id % 7)::BIGINT AS clicks FROM events GROUP BY 1
+""")
+def ads_scan(t: Tables):
+    """Events exported as an ads report in CSV, then scanned back with its schema."""
+    folder = new_scratch(t.spark, "ads")
+    names = [f.name for f in T._parse_datatype_string(files.ADS_SCHEMA)]
+    values = {names[1]: F.col("event_type"), "impresiones": F.floor(F.col("value") * 100), "clics": F.col("event_id") % 7}
+    t.events.select(*[values.get(n, F.lit(None).cast("string")).alias(n) for n in names]).write.option("header", "true").csv(folder)
+    report = files.ads_report(t.spark, folder)
+    return report.groupBy(F.col(names[1]).alias("campaign")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("impresiones").alias("impressions"), F.sum("clics").alias("clicks"))
+
+
 @query("report_sink", """
 SELECT event_type, count(*)::BIGINT AS n, min(strftime(ts, '%Y-%m-%d')) AS first_day FROM events GROUP BY 1
 """)

@@ -111,6 +111,39 @@ def target_difference(results: DataFrame, targets: DataFrame, keys: Sequence[str
         "difference", F.col("result") - F.col("target"))
 
 
+def team_targets(results: DataFrame, targets: DataFrame, team: str, member: str) -> DataFrame:
+    """Result, target and difference of every member and of every team (member NULL), in one rollup.
+
+    A team's target is the sum of its members'; members without a target count
+    with their result alone.
+    """
+    both = results.join(targets, member, "left")
+    return both.groupingSets([[team, member], [team]], team, member).agg(
+        F.sum("result").alias("result"), F.sum("target").alias("target"),
+        (F.grouping(member) == 1).alias("is_team")).withColumn("difference", F.col("result") - F.col("target"))
+
+
+def campaign_returns(leads: DataFrame, spend: DataFrame) -> DataFrame:
+    """Cost and revenue per lead of every campaign, with spend or leads alone too.
+
+    ``leads`` has campaign, sold (boolean) and revenue; ``spend`` campaign and spend.
+    """
+    won = leads.groupBy("campaign").agg(
+        F.count(F.lit(1)).alias("leads"), F.count_if("sold").alias("sales"), F.sum("revenue").alias("revenue"))
+    paid = spend.groupBy("campaign").agg(F.sum("spend").alias("spend"))
+    both = won.join(paid, "campaign", "full_outer")
+    return both.withColumns({
+        "cost_per_lead": F.try_divide(F.col("spend").cast("double"), F.col("leads").cast("double")),
+        "revenue_per_lead": F.try_divide(F.col("revenue").cast("double"), F.col("leads").cast("double")),
+        "return_on_spend": F.try_divide(F.col("revenue").cast("double"), F.col("spend").cast("double"))})
+
+
+def channel_conversion(leads: DataFrame) -> DataFrame:
+    """Leads, sales and their share for every channel."""
+    return leads.groupBy("channel").agg(F.count(F.lit(1)).alias("leads"), F.count_if("sold").alias("sales")).withColumn(
+        "conversion", F.col("sales") / F.col("leads"))
+
+
 def ads_with_crm(ads: DataFrame, crm: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Both sides kept: spend without leads and leads without spend."""
     return ads.join(crm, list(keys), "full_outer")
