@@ -14,6 +14,7 @@ from opsloom.operators import topk
 from opsloom.operators.fusion import Ranked, fused_top_k
 from opsloom.operators.literals import fixed_table
 from opsloom.plans import retrieval as rt
+from opsloom.plans.search_sql import register_search
 from opsloom.session import new_scratch
 
 QUERY = "the shall of thin die que ist of in une"
@@ -68,7 +69,7 @@ def lexical_and_match(t: Tables):
 
 # A cover runs from one query word to another, holds every word, and neither end
 # can be dropped. Brute force over positions.
-@query("lexical_cover_topk", f"""
+_COVER_SQL = f"""
 WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '{fv.TOKEN_PATTERN}'), lambda x: lower(x)) AS words
   FROM documents),
 h AS (SELECT doc_id, p, words[p] AS token FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS p FROM w)
@@ -87,7 +88,10 @@ m AS (SELECT c.*, s.n AS n0 FROM c JOIN last s ON s.doc_id = c.doc_id AND s.p =
 sc AS (SELECT doc_id, sum(0.1::DOUBLE / (1 + (p - q) - (n - n0))) AS s FROM m GROUP BY doc_id)
 SELECT doc_id, round(s, 4) AS lexical_score, row_number() OVER (ORDER BY s::FLOAT DESC, doc_id DESC) AS rank_position
 FROM sc ORDER BY s::FLOAT DESC, doc_id DESC LIMIT 8
-""")
+"""
+
+
+@query("lexical_cover_topk", _COVER_SQL)
 def lexical_cover_topk(t: Tables):
     best = rt.lexical_top_k(t.documents.select("doc_id", "text"), AND_QUERY, "text", "doc_id")
     return best.select(
@@ -96,6 +100,41 @@ def lexical_cover_topk(t: Tables):
     )
 
 
+def _searchable(t: Tables) -> None:
+    """The chunks as a view with the search functions over it."""
+    joined = t.documents.join(t.embeddings, F.col("doc_id") == F.col("vec_id"), "left")
+    joined.selectExpr("doc_id AS chunk_id", "text AS body", "embedding", "source AS project", "lang AS channel").createOrReplaceTempView("catalog_chunks")
+    register_search(t.spark, "catalog_chunks")
+
+
+@query("sql_lexical_search", "SELECT *, 'both' AS filters FROM (" + _COVER_SQL.replace("FROM documents)", "FROM documents WHERE source = 'src1' AND lang = 'en')", 1)
+       + ") UNION ALL SELECT *, 'none' FROM (" + _COVER_SQL.replace("LIMIT 8", "LIMIT 3") + ")")
+def sql_lexical_search(t: Tables):
+    """Full-text search as SQL users call it: default k with both filters, and k of 3 without."""
+    _searchable(t)
+    out = t.spark.sql(f"""SELECT *, 'both' AS filters FROM lexical_search('{AND_QUERY}', project => 'src1', channel => 'en')
+        UNION ALL SELECT *, 'none' FROM lexical_search('{AND_QUERY}', 3)""")
+    return out.select(F.col("chunk_id").alias("doc_id"), F.round(F.col("score").cast("double"), 4).alias("lexical_score"),
+                      F.col("rank_position").cast("long").alias("rank_position"), "filters")
+
+
+@query("sql_semantic_search", """
+WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 3),
+d AS (SELECT vec_id AS chunk_id, source, list_cosine_distance(embedding::DOUBLE[], v) AS d FROM embeddings JOIN documents ON doc_id = vec_id, q),
+r AS (SELECT 'project' AS filters, chunk_id, d, row_number() OVER (ORDER BY d, chunk_id DESC) AS rank_position FROM d WHERE source = 'src2'
+ UNION ALL SELECT 'none', chunk_id, d, row_number() OVER (ORDER BY d, chunk_id DESC) FROM d)
+SELECT filters, chunk_id, round(d, 6) + 0.0 AS cosine_distance, rank_position FROM r WHERE rank_position <= 8
+""")
+def sql_semantic_search(t: Tables):
+    _searchable(t)
+    vector = t.embeddings.where("vec_id = 3").select("embedding").first()[0]
+    given = "array(" + ", ".join(f"{x!r}D" for x in vector) + ")"
+    out = t.spark.sql(f"""SELECT 'project' AS filters, * FROM semantic_search({given}, project => 'src2')
+        UNION ALL SELECT 'none', * FROM semantic_search({given}, k => 0)""")
+    return out.select("filters", "chunk_id", (F.round("distance", 6) + 0.0).alias("cosine_distance"),
+                      F.col("rank_position").cast("long").alias("rank_position"))
+
+
 def _vectors(t: Tables):
     return t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
 
