@@ -270,7 +270,11 @@ def json_secret_scan(t: Tables):
     )
 
 
-@query("model_reply_parse")
+@query("model_reply_parse", """
+WITH r AS (SELECT event_id, event_id % 4 AS k, props FROM events)
+SELECT event_id, CASE k WHEN 0 THEN props WHEN 1 THEN props WHEN 2 THEN '{"a": {"b": ' || props || '}}' END AS object,
+ CASE WHEN k = 3 THEN 'no object here' END AS rejected FROM r
+""")
 def model_reply_parse(t: Tables):
     kind = F.col("event_id") % 4
     reply = (

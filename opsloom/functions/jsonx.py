@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opsloom import fixed_values as fv
+from opsloom.functions.binding import bind
+from opsloom.functions.text import strip
 
 
 def _quoted(c: Column) -> Column:
@@ -102,20 +104,12 @@ def record_is_valid(text: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def first_json_object(text: pd.Series) -> pd.Series:
-    """First JSON object inside a model reply; NULL when there is none.
-
-    A small helper: nesting depth cannot be tracked by a regular expression.
-    """
+def _decoded_object(text: pd.Series) -> pd.Series:
+    """The object at the first brace of each text, whatever follows it: nesting cannot be tracked by a pattern."""
     decoder = json.JSONDecoder()
 
-    def read(reply: str | None) -> str | None:
-        body = (reply or "").strip()
-        if body.startswith("```"):
-            body = body.partition("\n")[2]
-        if body.endswith("```"):
-            body = body[: body.rindex("```")]
-        at = body.find("{")
+    def read(body: str | None) -> str | None:
+        at = -1 if body is None else body.find("{")
         if at < 0:
             return None
         try:
@@ -125,3 +119,25 @@ def first_json_object(text: pd.Series) -> pd.Series:
         return body[at:end]
 
     return text.map(read)
+
+
+def first_json_object(text: Column) -> Column:
+    """First JSON object inside a model reply; NULL when there is none.
+
+    Code fences go first. Where all from the first brace to the last is one
+    JSON value it is the object, which the JVM finds; only what is left (words
+    with braces behind the object, loose JSON) is decoded in Python.
+    """
+    body = strip(F.coalesce(text, F.lit("")))
+    body = bind(body, lambda b: F.when(b.startswith("```"), F.regexp_replace(b, r"(?s)^[^\n]*\n?", "")).otherwise(b))
+    body = bind(body, lambda b: F.when(b.endswith("```"), F.substring(b, 1, F.length(b) - 3)).otherwise(b))
+    whole = F.regexp_extract(body, r"(?s)\{.*\}", 0)
+
+    def alone(w: Column) -> Column:
+        # Within brackets nothing may follow the value, and it has to be the only one.
+        listed = F.try_parse_json(F.concat(F.lit("["), w, F.lit("]")))
+        return F.when((w != "") & listed.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull(), w)
+
+    found = bind(whole, alone)
+    rest = F.when(found.isNull() & body.contains("{"), body)
+    return F.coalesce(found, _decoded_object(rest))

@@ -82,8 +82,10 @@ def test_stable_json_equals_sorted_dump(spark):
 
 
 def test_first_json_object(spark):
-    replies = ['```json\n{"a": {"b": "}"}}\n```', 'Sure: {"x": 1} and {y}', "none", "{broken", None]
-    assert column(spark, replies, jsonx.first_json_object) == ['{"a": {"b": "}"}}', '{"x": 1}', None, None, None]
+    replies = ['```json\n{"a": {"b": "}"}}\n```', 'Sure: {"x": 1} and {y}', "none", "{broken", None,
+               '```{"gone": 1}```', ' {"x": NaN} ', 'a {"k": "{"} b', '{"k": 1, "k": 2}', "{a} {\"b\": 1}", "```\n{}\n```", '{"a": 1}, {"b": 2}']
+    assert column(spark, replies, jsonx.first_json_object) == [
+        '{"a": {"b": "}"}}', '{"x": 1}', None, None, None, None, '{"x": NaN}', '{"k": "{"}', '{"k": 1, "k": 2}', None, "{}", '{"a": 1}']
 
 
 def test_merge_right_wins(spark):
