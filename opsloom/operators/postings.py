@@ -108,6 +108,8 @@ def posting_blocks(chunks: DataFrame, only: list[str] | None = None, size: int =
     keys = [plain.schema["scope"], plain.schema["chunk_id"]]
     lists = [T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.LongType()))]
     counted = plain.mapInArrow(_count(only), T.StructType([*keys, T.StructField("length", T.LongType()), *lists]))
+    # Written, as putting rows in ranges reads them twice and words are to be found once.
+    counted = _written(counted, "counts")
     order = [F.col("scope"), F.col("length").desc(), F.col("chunk_id")]
     placed = counted.repartitionByRange(*order).sortWithinPartitions(*order)
     made = placed.mapInArrow(_invert(size), T.StructType([
