@@ -88,6 +88,7 @@ class Node:
     children: list = field(default_factory=list)
     key: int = 0
     chars: int = 0
+    length: int = 0          # of the whole page's text as it stands, at the root
     holds: bool = False      # an article that is no reader's comment
     marked: str = ""         # what its class, id and role name: "frame", "comments" or nothing
 
@@ -130,6 +131,7 @@ def parse(page: str) -> Node:
     for m in iter(lambda: _TOKEN.search(page, at), None):
         if m.start() > at:
             stack.nodes[-1].children.append(html.unescape(page[at:m.start()]))
+            root.length += m.start() - at
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
@@ -167,6 +169,7 @@ def parse(page: str) -> Node:
             stack.push(node)
     if at < len(page):
         stack.nodes[-1].children.append(html.unescape(page[at:]))
+        root.length += len(page) - at
     return root
 
 
@@ -304,7 +307,8 @@ def main_text(root: Node, template: set[int] | frozenset[int] = frozenset(), str
         if found:
             main = largest(found)
             kept_ = [n for n in found if n is main or n.key not in template]
-            if ARTICLE_SHARE * sum(_shown(n, drops) for n in kept_) >= _shown(root, lambda n, inside: n is not main and drops(n, inside)):
+            held = ARTICLE_SHARE * sum(_shown(n, drops) for n in kept_)
+            if held >= root.length or held >= _shown(root, lambda n, inside: n is not main and drops(n, inside)):
                 starts = kept_
         text = _blocks(starts, drops)
         if text:
