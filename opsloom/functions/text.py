@@ -247,10 +247,13 @@ def query_tokens(text: str) -> list[str]:
 
 def known_systems(c: Column) -> Column:
     """Systems named in a text as whole words, in list order."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    return F.array_compact(
-        F.array(*[F.when(low.rlike(rf"(?U)\b{re.escape(s)}\b"), F.lit(s)) for s in fv.KNOWN_SYSTEMS])
-    )
+    def named(low: Column) -> Column:
+        # The name comes first in the pattern: word ends are tested where it stands, not at every letter.
+        return F.array_compact(F.array(*[
+            F.when(low.contains(s) & low.rlike(rf"(?U){re.escape(s)}\b(?<=\b{re.escape(s)})"), F.lit(s))
+            for s in fv.KNOWN_SYSTEMS]))
+
+    return bind(F.lower(F.coalesce(c, F.lit(""))), named)
 
 
 def kpi_source(kpi: Column, area: Column) -> Column:

@@ -36,16 +36,17 @@ def normalise_sessions(sessions: DataFrame) -> DataFrame:
             F.transform(F.coalesce(a["selected"], none), tx.strip), lambda o: o != "")),
         "_free": F.transform("answers", lambda a: tx.clean(a["free_text"])),
     })
+    found = settle(placed, {f"pos_{s}": F.array_position("step_ids", s) for s in STEPS}
+                   | {f"_end_{s}": F.array_position("_backwards", s) for s in STEPS})
     columns: dict[str, Column] = {}
     for step, options in fv.STEP_OPTIONS.items():
-        from_end = F.array_position("_backwards", step)
+        from_end = F.col(f"_end_{step}")
         last = F.when(from_end > 0, F.size("step_ids") - from_end).cast("int")
         chosen = F.coalesce(F.get("_chosen", last), none)
-        columns[f"pos_{step}"] = F.array_position("step_ids", step)
         columns[f"options_{step}"] = (
             F.filter(chosen, lambda o: o.isin(*options)) if options else chosen)
         columns[f"free_{step}"] = F.coalesce(F.get("_free", last), F.lit(""))
-    read = settle(placed, columns).drop("_backwards", "_chosen", "_free")
+    read = settle(found, columns).drop("_backwards", "_chosen", "_free", *[f"_end_{s}" for s in STEPS])
     joined = {}
     for step, options in fv.STEP_OPTIONS.items():
         text = F.concat_ws(" ", f"options_{step}", F.nullif(f"free_{step}", F.lit("")))
