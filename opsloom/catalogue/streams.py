@@ -23,14 +23,19 @@ def _stream(t: Tables):
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-#: Files that the events arrive in, one per trigger.
+#: Sets of files that the events arrive in, one set per trigger.
 FILES = 4
 
 
+def _parts(t: Tables) -> int:
+    """Files of a set: one for each core, however large the table is."""
+    return t.spark.sparkContext.defaultParallelism
+
+
 def _arriving(t: Tables, drop: str = "false"):
-    """The events as files that come one after the other, in order of time but for some rows that come a file late.
+    """The events as sets of files that come one after the other, in order of time but for some rows that come a set late.
 
-    Two rows of no event close the stream: they move the watermark past all others.
+    Two sets of rows of no event close the stream: they move the watermark past all others.
     """
     folder = new_scratch(t.spark, "arriving")
     low, high = t.events.agg(F.min("ts"), F.max("ts")).first()
@@ -40,17 +45,18 @@ def _arriving(t: Tables, drop: str = "false"):
     late = F.when((F.col("event_id") % 5 == 0) & (F.col("part") < FILES - 1), 1).otherwise(0)
     placed = t.events.where(~F.expr(drop)).withColumn("part", part).withColumn("file", F.col("part") + late)
     for n in range(FILES):
-        placed.where(F.col("file") == n).drop("part", "file").write.parquet(f"{folder}/{n}")
+        placed.where(F.col("file") == n).drop("part", "file").repartition(_parts(t)).write.parquet(f"{folder}/{n}")
     for n in range(2):
         end = t.events.limit(1).withColumn("event_id", F.lit(-1 - n).cast("long")).withColumn(
             "ts", F.timestamp_add("DAY", F.lit(400 * (n + 1)), F.lit(high)).cast(dict(t.events.dtypes)["ts"]))
-        end.write.parquet(f"{folder}/{FILES + n}")
+        copies = t.spark.range(0, _parts(t), 1, _parts(t)).select().crossJoin(F.broadcast(end))
+        copies.write.parquet(f"{folder}/{FILES + n}")
     return folder
 
 
 def _follow(t: Tables, folder: str, session=None):
     session = session or jobs.stream_session(t.spark)
-    raw = session.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    raw = session.readStream.schema(t.events.schema).option("maxFilesPerTrigger", _parts(t)).parquet(f"{folder}/*")
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

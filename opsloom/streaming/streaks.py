@@ -24,14 +24,14 @@ class _Streaks(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "us long, failed boolean")
-        self.standing = handle.getValueState("standing", "streak int, timer long")
+        self.standing = handle.getValueState("standing", "streak int, timer long, idle boolean")
 
-    def _wait_until(self, streak: int, timer: int, ms: int) -> None:
+    def _wait_until(self, streak: int, timer: int, ms: int, idle: bool = False) -> None:
         if timer != ms:
             if timer >= 0:
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(ms)
-        self.standing.update((streak, ms))
+        self.standing.update((streak, ms, idle))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         earliest = None
@@ -44,15 +44,10 @@ class _Streaks(StatefulProcessor):
         if earliest is not None:
             streak, timer, idle = 0, -1, True
             if self.standing.exists():
-                streak, timer = self.standing.get()
-                idle = not self._others_wait(earliest, timer)
+                streak, timer, idle = self.standing.get()
             self._wait_until(streak, timer, earliest if idle else min(earliest, timer))
         return iter([])
 
-    def _others_wait(self, earliest: int, timer: int) -> bool:
-        """Whether the timer that is set stands at a waiting row before ``earliest`` (and is no idle timer)."""
-        return timer < earliest and any(us // 1000 == timer for us, _ in self.waiting.get())
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
         streak = self.standing.get()[0] if self.standing.exists() else 0
@@ -71,7 +66,7 @@ class _Streaks(StatefulProcessor):
         if left:
             self.waiting.put(left)
         following = left[0][0] // 1000 if left else due[-1][0] // 1000 + self.idle_ms
-        self._wait_until(streak, -1, max(following, mark + 1))
+        self._wait_until(streak, -1, max(following, mark + 1), not left)
         if alerts:
             yield pd.DataFrame({self.worker: [key[0]] * len(alerts), "alert_at": pd.to_datetime(alerts, unit="us")})
 
