@@ -112,7 +112,8 @@ def _workbook(name: pd.Series, area: pd.Series, number: pd.Series) -> pd.Series:
 
 
 def workbooks(t: Tables):
-    return t.supplier.select(
+    # Work per workbook is heavy and its row small: dealt out before it, however few files hold the rows.
+    return t.supplier.repartition(4 * t.spark.sparkContext.defaultParallelism).select(
         F.concat(F.lit("book-"), "s_suppkey").alias("path"),
         _workbook("s_name", F.concat(F.lit("Zona "), "s_nationkey"), F.col("s_suppkey").cast("int")).alias("content"))
 

@@ -44,3 +44,10 @@ def test_triggers_do_not_follow_the_files_of_the_table(spark, tmp_path):
     got = {(r.user_id, r.alert_at) for r in streams.stream_error_streaks(t).collect()}
     # Users 0 and 1 err in every row, the others in every second.
     assert got == {(0, "2024-01-01 00:08:00"), (1, "2024-01-01 00:09:00")}
+
+
+def test_workbooks_are_dealt_out(spark, tmp_path):
+    spark.range(40).select(F.col("id").alias("s_suppkey"), F.lit("n").alias("s_name"), F.lit(1).alias("s_nationkey"),
+                           F.lit(1.0).alias("s_acctbal")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    books = sources.workbooks(Tables(spark, str(tmp_path)))
+    assert books.rdd.getNumPartitions() > 8
