@@ -242,10 +242,12 @@ class Catalog:
 
     def _sync(self, documents: DataFrame, run_id: int, order: Sequence[str]) -> tuple[int, int, int, int]:
         wanted = list(dict.fromkeys([*self.sources.schema.fieldNames(), *order]))
-        last = cut_lineage(keyed.one_per_key(documents.select(*wanted), SOURCE_KEYS, order).select(*self.sources.schema.fieldNames()))
+        last = keyed.one_per_key(documents.select(*wanted), SOURCE_KEYS, order).select(*self.sources.schema.fieldNames())
         touched = cut_lineage(changed_documents(self.sources.read(), last))
         fresh = cut_lineage(chunk_rows(touched))
         changed = touched.count()
         self.chunks.replace(touched.select(source_id().alias("source_id")), fresh, "sync", run_id)
-        self.sources.upsert(touched, writer="sync", sequence=run_id)
-        return documents.count(), changed, last.count() - changed, fresh.count()
+        self.sources.upsert(touched, writer="sync", sequence=run_id, once=True)
+        # Bodies are written once, with what has changed; the others are counted by their keys.
+        keys = documents.select(*SOURCE_KEYS).distinct().count()
+        return documents.count(), changed, keys - changed, fresh.count()

@@ -117,10 +117,15 @@ class KeyedTable:
         names = {s.getPath().getName() for s in fs.listStatus(path)}
         return [b for b in touched if f"{_BUCKET}={b}" in names]
 
-    def upsert(self, new: DataFrame, order: Sequence[str] = (), writer: str = "", sequence: int | None = None) -> list[int]:
-        """Rows of ``new`` replace those with the same key; of several new ones the last by ``order`` stays."""
+    def upsert(self, new: DataFrame, order: Sequence[str] = (), writer: str = "", sequence: int | None = None,
+               once: bool = False) -> list[int]:
+        """Rows of ``new`` replace those with the same key; of several new ones the last by ``order`` stays.
+
+        With ``once`` the caller knows that no key comes twice, and the rows are not grouped again.
+        """
         def combine(old: DataFrame, rows: DataFrame) -> DataFrame:
-            last = one_per_key(rows.select(*self.schema.fieldNames()), self.keys, order)
+            last = rows.select(*self.schema.fieldNames())
+            last = last if once else one_per_key(last, self.keys, order)
             return join_same(old, last.select(*self.keys), self.keys, "left_anti").unionByName(last)
 
         return self.merge(new, combine, writer, sequence)

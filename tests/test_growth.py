@@ -51,3 +51,20 @@ def test_workbooks_are_dealt_out(spark, tmp_path):
                            F.lit(1.0).alias("s_acctbal")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
     books = sources.workbooks(Tables(spark, str(tmp_path)))
     assert books.rdd.getNumPartitions() > 8
+
+
+def test_sync_writes_bodies_once(spark, tmp_path, monkeypatch):
+    kept = []
+    monkeypatch.setattr(ct, "cut_lineage", lambda df, f=ct.cut_lineage: kept.append(df.columns) or f(df))
+    docs = spark.createDataFrame([("s", "d", k, "web", "t", b, b, v) for k, b, v in (
+        ("1", "a", 0), ("1", "b", 1), ("2", "c", 0), (None, "e", 0))],
+        "source_system string, source_entity_type string, source_entity_key string, target_channel string, "
+        "title string, body_text string, content_hash string, version int")
+    catalog = ct.Catalog(spark, str(tmp_path / "c"), buckets=4)
+    catalog.sync(docs, 1, ["version"])
+    catalog.sync(docs.where("source_entity_key = '2'").withColumn("body_text", F.lit("d")).withColumn(
+        "content_hash", F.lit("d")).unionByName(docs.where("version = 1")), 2, ["version"])
+    assert [sum("body_text" in c for c in kept)] == [2]
+    assert sorted(r[2:] for r in catalog.runs.read().collect()) == [(2, 1, 1, 1), (4, 3, 0, 3)]
+    assert sorted((r.source_entity_key or "", r.body_text) for r in catalog.sources.read().collect()) == [
+        ("", "e"), ("1", "b"), ("2", "d")]
