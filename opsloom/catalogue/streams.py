@@ -47,7 +47,7 @@ def _arriving(t: Tables, drop: str = "false"):
     for n in range(FILES):
         placed.where(F.col("file") == n).drop("part", "file").repartition(_parts(t)).write.parquet(f"{folder}/{n}")
     for n in range(2):
-        end = t.events.limit(1).withColumn("event_id", F.lit(-1 - n).cast("long")).withColumn(
+        end = t.events.limit(1).withColumn("event_id", F.lit(-1 - n).cast("long")).withColumn("event_type", F.lit("end")).withColumn(
             "ts", F.timestamp_add("DAY", F.lit(400 * (n + 1)), F.lit(high)).cast(dict(t.events.dtypes)["ts"]))
         copies = t.spark.range(0, _parts(t), 1, _parts(t)).select().crossJoin(F.broadcast(end))
         copies.write.parquet(f"{folder}/{FILES + n}")
