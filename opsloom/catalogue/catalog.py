@@ -48,6 +48,18 @@ SELECT DISTINCT u.workspace_id, u.project_code, u.unit_id, o_orderpriority AS or
   CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS natural_light
 FROM (""" + UNITS + """) u JOIN {orders} ON o_orderkey = l_orderkey
 """
+# The rows of UNIT_PROFILES before DISTINCT: orders are met by their number, and names are made afterwards.
+UNIT_ORDERS = """
+SELECT concat('ws', CAST(l_partkey % 5 AS STRING)) AS workspace_id, concat('P', CAST(l_partkey AS STRING)) AS project_code,
+  concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_suppkey AS STRING)) AS unit_id,
+  o_orderpriority AS orientation, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS natural_light
+FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey
+"""
+
+
+def _unit_profiles(t: Tables):
+    """The rows of ``UNIT_PROFILES``, dealt out once for DISTINCT and for the join with units."""
+    return t.derive(UNIT_ORDERS).repartition(*ct.UNIT_KEYS).distinct()
 
 
 def _facts(t: Tables):
@@ -60,7 +72,7 @@ def documents(t: Tables):
     projects = t.derive(PROJECTS).withColumn("project_tags", F.array("project_name", "project_code"))
     return ct.all_documents(
         ct.project_documents(projects, t.derive(DEVELOPERS), _facts(t), t.derive(PROFILES), t.derive(ASSETS), "web"),
-        ct.unit_documents(t.derive(UNITS), projects, t.derive(UNIT_PROFILES), "web"),
+        ct.unit_documents(t.derive(UNITS), projects, _unit_profiles(t), "web"),
         ct.campaign_documents(t.derive(ASSETS), projects, _facts(t), "web"),
     )
 

@@ -17,7 +17,8 @@ from opsloom.functions.binding import bind
 
 # Python's notion of white space: the Unicode property plus four separators.
 WS = r"[\s\x1c-\x1f]"
-_WS_RUN = f"(?U){WS}+"
+# Runs of it that are not one plain blank: the others stay as they are.
+_WS_RUN = f"(?U) {WS}+|[\\s\\x1c-\\x1f&&[^ ]]{WS}*"
 _WS_CHARS = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 
 
@@ -27,8 +28,11 @@ def strip(c: Column) -> Column:
 
 
 def clean(c: Column, max_chars: int | None = None) -> Column:
-    """Collapse white space runs, trim, NULL to empty, optionally cut."""
-    out = strip(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), _WS_RUN, " "))
+    """Collapse white space runs, trim, NULL to empty, optionally cut.
+
+    Blanks are the only white space that is left to trim, which needs no list of characters.
+    """
+    out = F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), _WS_RUN, " "))
     return out if max_chars is None else F.substring(out, 1, max_chars)
 
 

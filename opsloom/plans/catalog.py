@@ -16,6 +16,8 @@ from opsloom.operators import keyed
 from opsloom.session import cut_lineage
 from opsloom.sources.keyed_table import BUCKETS, EventLog, KeyedTable
 
+#: What names a unit, the key of most values first: sorts compare by the first column's first bytes.
+UNIT_KEYS = ("unit_id", "project_code", "workspace_id")
 SOURCE_KEYS = ("source_system", "source_entity_type", "source_entity_key", "target_channel")
 
 
@@ -115,7 +117,7 @@ def unit_documents(units: DataFrame, projects: DataFrame, profiles: DataFrame,
     """One document per unit of a known project, with its profile if any."""
     names = projects.select("project_code", "project_name")
     rows = units.join(names, "project_code").join(
-        profiles, ["workspace_id", "project_code", "unit_id"], "left"
+        profiles, list(UNIT_KEYS), "left"
     )
     number = F.coalesce(F.nullif("unit_code", F.lit("")), "unit_id")
     rows = rows.withColumn(

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from opsloom.catalogue import sources, streams
+from opsloom.catalogue import catalog, sources, streams
 from opsloom.catalogue.registry import Tables
 from opsloom.functions import text as tx
 from opsloom.operators.settle import STEP, settle
@@ -68,3 +68,49 @@ def test_sync_writes_bodies_once(spark, tmp_path, monkeypatch):
     assert sorted(r[2:] for r in catalog.runs.read().collect()) == [(2, 1, 1, 1), (4, 3, 0, 3)]
     assert sorted((r.source_entity_key or "", r.body_text) for r in catalog.sources.read().collect()) == [
         ("", "e"), ("1", "b"), ("2", "d")]
+
+
+def test_clean_trims_blanks_only(spark):
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    texts = [f"{w}a{w}{v}b c{w}d  e {w}" for w in spaces for v in ("", " ", "\t")] + ["", " ", "a", "\x00 a\u200b", None]
+    out = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.clean(F.col("t")).alias("c"))
+    assert {r.t: r.c for r in out.collect()} == {t: " ".join((t or "").split()) for t in texts}
+    assert "Some(" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_unit_profiles_are_dealt_out_once(spark, tmp_path, monkeypatch):
+    lines = [(1, 10, 5, 1, 3.0, "N", "O"), (1, 10, 5, 1, 3.0, "N", "O"), (1, 11, 5, 2, 3.0, "N", "F"), (2, 10, 6, 1, 4.0, "A", "O"),
+             (2, 10, None, 1, 4.0, "A", "O"), (2, 10, None, 2, 4.0, "A", "O"), (2, None, 6, 3, 4.0, "A", "O"),
+             (None, 10, 6, 1, 4.0, "A", "O"), (3, 10, 6, 1, None, None, None), (4, 12, 6, 1, 4.0, "A", "O")]
+    orders = [(1, "O", "1-URGENT"), (1, "P", "1-URGENT"), (2, "F", None), (2, "F", None), (None, "F", "2-HIGH"), (4, None, "2-HIGH")]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                          "l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(10, "a  b"), (11, "c")], "p long, n string").selectExpr(
+        "concat('P', p) AS project_code", "n AS project_name").write.parquet(f"{tmp_path}/names.parquet")
+    t = Tables(spark, str(tmp_path))
+    key = lambda r: tuple((v is not None, str(v)) for v in r)
+    wanted = t.derive(catalog.UNIT_PROFILES)
+    assert sorted(catalog._unit_profiles(t).select(*wanted.columns).collect(), key=key) == sorted(wanted.collect(), key=key)
+
+    units, names = t.derive(catalog.UNITS), spark.read.parquet(f"{tmp_path}/names.parquet")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        given = []
+        monkeypatch.setattr(catalog.ct, "unit_documents", lambda u, p, profiles, c: given.append(profiles) or units)
+        monkeypatch.setattr(catalog.ct, "project_documents", lambda *a: units)
+        monkeypatch.setattr(catalog.ct, "campaign_documents", lambda *a: units)
+        monkeypatch.setattr(catalog.ct, "all_documents", lambda *a: units)
+        spark.createDataFrame([], "p_partkey long, p_name string, p_size int, p_type string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+        spark.createDataFrame([], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+        catalog.documents(t)
+        monkeypatch.undo()
+        got = ct.unit_documents(units, names, given[0], "web")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        # Units by project and by their key, names, lines and orders by number, profiles by their key.
+        assert plan.count("Exchange hashpartitioning") == 6
+        assert [len(r.body_text.split("\n")) for r in got.where("source_entity_key = 'P10:1-1-5'").collect()].count(8) == 2
+        assert {r.source_entity_key for r in got.collect()} == {"P10:1-1-5", "P11:1-2-5", "P10:2-1-6", "P10", "P10:3-1-6"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
